@@ -78,15 +78,17 @@ def endings(values: DataFrame) -> DataFrame:
     # Words as they stand, at any place but an unfinished end.
     plain = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0))
     known = prose.where(~F.col("marked")).select("stop", plain.alias("w")).select(F.explode(F.when(F.col("stop"), F.col("w")).otherwise(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
-    loose = prose.select("table_name", "row_id", "grp", "n_chars", "at_cap", "marked", "stop", "echo", "hollow", tok.alias("tok"), F.element_at(F.when(F.size(plain) > 0, plain), -1).alias("word")).withColumn("ctx", ctx(n - 1)).drop("tok")
-    x = loose.join(seen, "ctx", "left").join(known, "word", "left")
+    loose = prose.select("table_name", "row_id", "grp", "n_chars", "at_cap", "marked", "stop", "echo", "hollow", tok.alias("tok"), F.element_at(F.when(F.size(plain) > 0, plain), -1).alias("word")).withColumn("ctx", ctx(n - 1)).withColumn("up", ctx(n - 2)).drop("tok")
+    x = loose.join(seen, "ctx", "left").join(known, "word", "left").join(seen.select(F.col("ctx").alias("up"), F.col("n_seen").alias("n_up")), "up", "left")
     p_end = (F.coalesce("n_end", F.lit(0)) + 0.05) / (F.coalesce("n_seen", F.lit(0)) + 1.0)
     by_context = F.log((1 - p_end) / p_end)
     lr = (
         F.when(F.col("hollow") | F.col("echo"), -9.0).when(F.col("marked"), 7.0)
         # A stop is seldom where a cut falls; words that never end a text weigh against it, within bounds.
         .when(F.col("stop"), -4.0 + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), by_context)))
-        .when(F.coalesce("n_word", F.lit(0)) == 0, F.greatest(F.lit(6.0), by_context)).when(F.col("n_seen").isNull(), 2.0).otherwise(by_context)
+        .when(F.coalesce("n_word", F.lit(0)) == 0, F.greatest(F.lit(6.0), by_context))
+        # A known word that nowhere else follows its well-known words is a piece of another word.
+        .when(F.col("n_seen").isNull(), F.when(F.col("n_up") >= 20, 5.0).otherwise(2.0)).otherwise(by_context)
     )
     cols = ["table_name", "row_id", "grp", "n_chars", "at_cap"]
     js = v.where("state is not null").select(*cols, F.when(F.col("state") == "open", 9.0).otherwise(-9.0).alias("log_lr"), F.lit("json").alias("kind"))
