@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("truncation_queries", "transcript_queries", "conversation_queries", "pair_queries", "reading_queries")
+_PARTS = ("truncation_queries", "transcript_queries", "conversation_queries", "pair_queries", "reading_queries", "corpus_queries")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
