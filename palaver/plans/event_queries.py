@@ -98,7 +98,7 @@ def a15(spark, d):
 
 
 @query("A44_accusations_by_half", f""", {REC}, n as (select game_id, count(*) as n_lines from line group by 1), p as (select a.*, n_lines, (select count(*) from line where line.game_id = a.game_id and line.rec_id <= a.line_number) as ord from a join n using (game_id) where line_number is not null)
- select game_id, accused as player, count_if(type = 'werewolf') as werewolf, count_if(type = 'werewolf' and ord * 2 <= n_lines) as werewolf_early, count_if(type = 'deception') as deception, count_if(type = 'deception' and ord * 2 <= n_lines) as deception_early from p where accused <> 'UNKNOWN' group by all""")
+ select game_id, accused as player, count_if(coalesce(type, '') = 'werewolf') as werewolf, count_if(coalesce(type, '') = 'werewolf' and ord * 2 <= n_lines) as werewolf_early, count_if(coalesce(type, '') = 'deception') as deception, count_if(coalesce(type, '') = 'deception' and ord * 2 <= n_lines) as deception_early from p where accused <> 'UNKNOWN' group by all""")
 def a44(spark, d):
     ln = cut(lines(spark, d).select("game_id", "rec_id"))
     n = ln.groupBy("game_id").agg(F.count("*").alias("n_lines"))
