@@ -87,4 +87,4 @@ def word_role(x: Column) -> Column:
 
 def folded(x: Column) -> Column:
     """Without case, accents of Western languages and outer or double spaces."""
-    return F.translate(F.regexp_replace(F.lower(F.trim(x)), r"\s+", " "), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return F.translate(F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
