@@ -59,21 +59,25 @@ def wording(text: Column) -> Column:
 def messages(df: DataFrame) -> DataFrame:
     """Distinct messages: rows delivered twice, or sent again with the same content, become one.
 
-    Two rows are one message if conversation, turn, speaker and content but for spacing agree. Needs
-    episode_id, message_id, agent_name, turn, content, visible_to, sent_at; other columns are ignored.
+    Two rows are one message if conversation, turn, speaker and content but for spacing agree (the
+    content by its 64-bit hash). What the verdicts need of a content is derived where it lies, so no
+    text is shuffled. Needs episode_id, message_id, agent_name, turn, content, visible_to, sent_at;
+    other columns are ignored.
     """
     text = F.trim(F.regexp_replace(F.coalesce(F.col("content"), F.lit("")), r"(?U)\s+", " "))
-    named = F.regexp_extract_all(F.lower(text), F.lit(r"player[ _]?0*(\d+)"), F.lit(1))
-    one = df.select(
-        "episode_id", F.col("turn").cast("long").alias("turn"), speaker(F.col("agent_name")).alias("speaker"), text.alias("content"),
-        "message_id", "sent_at", to_all(F.col("visible_to")).alias("to_all"),
-    )
-    g = one.groupBy("episode_id", "turn", "speaker", "content").agg(F.min(F.struct("sent_at", "message_id", "to_all")).alias("m"), F.count("*").alias("n_rows"))
-    return g.select(
-        "episode_id", "turn", "speaker", "content", "m.message_id", "m.sent_at", "m.to_all", "n_rows", says(F.col("content")).alias("says"),
-        F.xxhash64(wording(F.col("content"))).alias("wording"),
-        F.when((F.col("speaker") == "moderator") & (F.size(F.array_distinct(named)) == 1), F.concat(F.lit("player"), F.element_at(named, 1))).alias("addressee"),
+    named = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"player[ _]?0*(\d+)"), F.lit(1)))
+    moderated = F.col("speaker") == "moderator"
+    one = df.select("episode_id", F.col("turn").cast("long").alias("turn"), speaker(F.col("agent_name")).alias("speaker"), text.alias("text"), "message_id", "sent_at", to_all(F.col("visible_to")).alias("to_all"))
+    one = one.select(
+        "episode_id", "turn", "speaker", F.xxhash64("text").alias("same"), "sent_at", "message_id", "to_all", says(F.col("text")).alias("says"),
+        F.when(moderated, F.xxhash64(wording(F.col("text")))).alias("wording"), F.when(moderated, F.col("text").rlike(REQUEST)).alias("request"),
+        F.when(moderated & (F.size(named) == 1), F.concat(F.lit("player"), F.element_at(named, 1))).alias("addressee"),
     )
+    g = one.groupBy("episode_id", "turn", "speaker", "same").agg(F.min(F.struct("sent_at", "message_id", "to_all", "says", "wording", "request", "addressee")).alias("m"))
+    return g.select("episode_id", "turn", "speaker", "m.*")
+
+
+_CARRIED = ("message_id", "speaker", "to_all", "says", "wording", "request", "addressee")
 
 
 def _kahn(key: tuple, rows: list[dict]) -> Iterator[tuple]:
@@ -109,10 +113,10 @@ def _kahn(key: tuple, rows: list[dict]) -> Iterator[tuple]:
         r = rows[i]
         if not r["ahead"]:
             n = rows[order[k + 1]] if k + 1 < len(order) else None
-            yield (key[0], key[1], r["turn"], k + 1, False, roots, r["message_id"], n and n["speaker"], bool(n and n["says"]))
+            yield (key[0], key[1], r["turn"], k + 1, False, roots, *(r[c] for c in _CARRIED), n and n["speaker"], bool(n and n["says"]))
     for i, r in enumerate(rows):
         if i not in placed and not r["ahead"]:
-            yield (key[0], key[1], r["turn"], None, True, roots, r["message_id"], None, False)
+            yield (key[0], key[1], r["turn"], None, True, roots, *(r[c] for c in _CARRIED), None, False)
 
 
 def ordered(msgs: DataFrame) -> DataFrame:
@@ -121,21 +125,19 @@ def ordered(msgs: DataFrame) -> DataFrame:
     Of more than two messages that claim one turn two enter the graph, which is enough for a cycle.
     ``left_over`` marks what Kahn's algorithm could not place. Messages without turn are not in it.
     """
-    body = F.struct("sent_at", "message_id", "speaker", "content", "to_all", "says", "wording", "addressee")
+    body = F.struct("sent_at", "message_id", "speaker", "to_all", "says", "wording", "request", "addressee")
     slot = msgs.where(F.col("turn").isNotNull()).groupBy("episode_id", "turn").agg(F.min(body).alias("a"), F.max(body).alias("b"), F.count("*").alias("n"))
     nodes = slot.select("episode_id", "turn", F.explode(F.when(F.col("n") > 1, F.array("a", "b")).otherwise(F.array("a"))).alias("m")).select("episode_id", "turn", "m.*")
     block = F.floor(F.col("turn") / BLOCK)
-    here = nodes.withColumn("block", block).withColumn("ahead", F.lit(False))
-    ahead = nodes.where(F.col("turn") % BLOCK == 0).withColumn("block", block - 1).withColumn("ahead", F.lit(True))
-    thin = here.unionByName(ahead).select("episode_id", "block", "turn", "sent_at", "message_id", "speaker", "says", "ahead")
+    # The first turn of a block is also in the block before, to be looked at.
+    both = F.when(F.col("turn") % BLOCK == 0, F.array(F.struct(block.alias("block"), F.lit(False).alias("ahead")), F.struct((block - 1).alias("block"), F.lit(True).alias("ahead")))).otherwise(F.array(F.struct(block.alias("block"), F.lit(False).alias("ahead"))))
+    rows = nodes.select("*", F.explode(both).alias("at")).select("*", "at.block", "at.ahead").drop("at")
     kinds = dict(nodes.dtypes)
-    placed = sorted_groups(
-        thin, ["episode_id", "block"], ["turn"], _kahn,
-        f"episode_id {kinds['episode_id']}, block long, turn long, place int, left_over boolean, roots int, message_id {kinds['message_id']}, next_speaker string, next_says boolean",
+    return sorted_groups(
+        rows, ["episode_id", "block"], ["turn"], _kahn,
+        f"episode_id {kinds['episode_id']}, block long, turn long, place int, left_over boolean, roots int, message_id {kinds['message_id']}, speaker string, to_all boolean, says boolean, "
+        "wording long, request boolean, addressee string, next_speaker string, next_says boolean",
     )
-    # A lone look-ahead row makes a block without rows of its own, which yields nothing.
-    info = nodes.select("episode_id", "turn", "message_id", "speaker", "content", "to_all", "says", "wording", "addressee", "sent_at")
-    return placed.join(info, ["episode_id", "turn", "message_id"])
 
 
 def verdicts(msgs: DataFrame, order: DataFrame, rare: float = 1 / 2000) -> DataFrame:
@@ -164,7 +166,7 @@ def verdicts(msgs: DataFrame, order: DataFrame, rare: float = 1 / 2000) -> DataF
     )
     known = F.broadcast(known)
     called = order.where(F.col("addressee").isNotNull() & (F.coalesce(F.col("next_speaker") == F.col("addressee"), F.lit(False)) & F.col("next_says") == F.lit(False)))
-    missing = called.join(known, "wording", "left").where(F.coalesce("calls", F.col("content").rlike(REQUEST))).select("episode_id").groupBy("episode_id").agg(F.lit(True).alias("missing"))
+    missing = called.join(known, "wording", "left").where(F.coalesce("calls", F.col("request"))).select("episode_id").groupBy("episode_id").agg(F.lit(True).alias("missing"))
     framed = span.join(known.select(F.col("wording").alias("wa"), "opens"), F.col("first.wording") == F.col("wa"), "left").join(
         known.select(F.col("wording").alias("wb"), "closes"), F.col("last.wording") == F.col("wb"), "left"
     )
@@ -189,7 +191,7 @@ def rebuild(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     Nulls anywhere are allowed: a null turn takes no place, a null content says nothing, a null
     conversation id is one conversation. An empty table gives two empty results.
     """
-    msgs = messages(df)
+    msgs = cut(messages(df))
     order = cut(ordered(msgs))
     return verdicts(msgs, order), order
 
@@ -201,7 +203,8 @@ def conversations(df: DataFrame) -> DataFrame:
     rows = order.join(kept, "episode_id", "left_semi")
     # In a kept conversation turns run without hole from t0, so the position follows from the turn.
     first = rows.groupBy("episode_id").agg(F.min("turn").alias("t0"))
-    return rows.join(first, "episode_id").select(
+    text = df.groupBy("message_id").agg(F.min(F.trim(F.regexp_replace(F.coalesce(F.col("content"), F.lit("")), r"(?U)\s+", " "))).alias("content"))
+    return rows.join(first, "episode_id").join(text, "message_id", "left").select(
         "episode_id", (F.col("turn") - F.col("t0") + 1).alias("position"), "message_id",
         F.when(F.col("speaker") == "moderator", "moderator").otherwise("player").alias("speaker_role"), "speaker", "to_all", "content",
     )

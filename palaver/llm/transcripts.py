@@ -162,7 +162,8 @@ def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
     own = label(F.col("speaker"))
     inline = label(F.nullif(F.regexp_extract(F.col("utterance"), _INLINE, 1), F.lit("")))
     x = once.withColumn("label", F.coalesce(own, inline)).withColumn("inline", own.isNull() & inline.isNotNull())
-    who = resolved(x.where("label is not null").select("game_id", "label").distinct(), rosters)
+    # Distinct labels come from all deliveries, so that no text is shuffled for them.
+    who = resolved(lines.select("game_id", F.coalesce(own, inline).alias("label")).where("label is not null").distinct(), rosters)
     # The join is on (game, label), so that a game of very many lines is spread over its labels.
     j = x.join(who, ["game_id", "label"], "left")
     # A colon after words that name nobody is no label: the line keeps them and names no speaker.
