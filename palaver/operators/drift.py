@@ -268,16 +268,18 @@ def unify(df: DataFrame, record: str, keys: list[str], names: dict[str, str], pr
             return float(value) if kind == 8 and value is not None else value
         return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
-    def scan(frames):
-        import pandas as pd
+    arrow = [{8: pa.float64(), 16: pa.bool_()}.get(kinds[c], pa.string()) for c in cols]
 
-        for pdf in frames:
-            rows = []
-            for *ks, text in pdf.itertuples(index=False):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, docs = [], []
+            for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 doc = parsed(text)
                 if doc is not None:
-                    new = renamed(doc, "")
-                    rows.append((*ks, *[one(new.get(c), kinds[c]) for c in cols]))
-            yield pd.DataFrame(rows, columns=[*keys, *outs]).astype({o: "object" for o in outs}) if rows else pd.DataFrame({c: [] for c in [*keys, *outs]})
+                    keep.append(i)
+                    docs.append(renamed(doc, ""))
+            made = [pa.array([one(x.get(c), kinds[c]) for x in docs], type=t) for c, t in zip(cols, arrow)]
+            at = pa.array(keep, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(len(keys))], *made], names=[*keys, *outs])
 
-    return df.select(*keys, record).mapInPandas(scan, schema)
+    return df.select(*keys, record).mapInArrow(scan, schema)

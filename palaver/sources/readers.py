@@ -35,17 +35,20 @@ def read_json(spark: SparkSession, path: str | list[str], schema: str, strict: b
 
 def scan_json(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All ``*.json`` below ``root`` with their ``path``, unreadable ones left out."""
-    raw = (
-        spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("ignoreCorruptFiles", True).json(root)
-    )
-    return _with_file(raw).where("_broken is null").drop("_broken")
+    raw = _with_file(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("ignoreCorruptFiles", True).text(root, wholetext=True))
+    full = _with_broken(spark, schema)
+    x = raw.withColumn("j", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})).where(F.col("j").isNotNull() & F.col("j._broken").isNull())
+    return x.select(*[F.col(f"j.{f.name}").alias(f.name) for f in full.fields if f.name != "_broken"], "path")
+
+
+def _with_broken(spark: SparkSession, schema: str) -> T.StructType:
+    return spark.createDataFrame([], f"{schema}, _broken string").schema
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, broken lines with file and text) of JSON lines; blank lines are no rows."""
     raw = spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).where(F.trim("value") != "")
-    full = T._parse_datatype_string(f"{schema}, _broken string") if hasattr(T, "_parse_datatype_string") else spark.createDataFrame([], f"{schema}, _broken string").schema
+    full = _with_broken(spark, schema)
     x = raw.withColumn("j", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
     names = [f.name for f in full.fields if f.name != "_broken"]
     ok = F.col("j").isNotNull() & F.col("j._broken").isNull()
