@@ -37,7 +37,7 @@ def plan(sizes: DataFrame, targets: DataFrame, budget: float | None = None, most
     x = want.join(size, "source", "left").fillna(0, ["size", "n_docs"])
     live = (F.col("size") > 0) & (F.col("w") > 0) & (F.col("max_repeats") >= 1)
     m = W.partitionBy("mix_name")
-    x = x.withColumn("share", F.when(live, F.col("w") / F.sum(F.when(live, F.col("w"))).over(m)).otherwise(0.0)).withColumn("asked", F.col("w") / F.sum("w").over(m))
+    x = x.withColumn("share", F.when(live, F.col("w") / F.sum(F.when(live, F.col("w"))).over(m)).otherwise(0.0)).withColumn("asked", F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(m)), F.lit(0.0)))
     x = x.withColumn("total", F.min(F.when(live, F.col("max_repeats") * F.col("size") / F.col("share"))).over(m))
     if budget is not None:
         x = x.withColumn("total", F.least("total", F.lit(float(budget))))

@@ -144,7 +144,8 @@ def _blocks(key: tuple, rows: list[dict]) -> Iterator[tuple]:
             if not waits[j]:
                 heapq.heappush(ready, rank(j))
     for k, (name, first, last, lines, texts) in enumerate(runs):
-        yield (key[0], key[1], k, k in (0, len(runs) - 1), name, first, last, lines, " ".join(texts), conflicts if k == 0 else 0)
+        # The second run touches the start too if the first takes its speaker from the block before.
+        yield (key[0], key[1], k, k in (0, len(runs) - 1) or (k == 1 and runs[0][0] is None), name, first, last, lines, " ".join(texts), conflicts if k == 0 else 0)
 
 
 def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
@@ -185,7 +186,7 @@ def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
 
 def _stitched(runs: DataFrame) -> DataFrame:
     inner = runs.where(~F.col("edge")).select("game_id", F.col("first").alias("first_line_id"), F.col("last").alias("last_line_id"), F.col("name").alias("speaker"), "n_lines", "text")
-    # At most two runs of a block of 2,048 record numbers are at its ends.
+    # At most three runs of a block of 2,048 record numbers are at its ends.
     w = W.partitionBy("game_id").orderBy("block", "run")
     e = runs.where("edge").withColumn("who", F.last("name", True).over(w.rowsBetween(W.unboundedPreceding, 0)))
     e = e.withColumn("prev", F.lag(F.struct("block", "run", "who")).over(w))

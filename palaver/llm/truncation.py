@@ -128,7 +128,8 @@ def _fit(key: tuple, rows: list[dict]) -> Iterator[tuple]:
     total = n.sum()
     width = np.where(x <= BINS, 1.0, x / 64 * math.log(2))
     density = np.exp(-0.5 * ((np.log(np.maximum(x, 1.0)) - mu) / sd) ** 2) / (np.maximum(x, 1.0) * sd * math.sqrt(2 * math.pi)) * width
-    spread = np.median(cut[cut > 0]) if (cut > 0).any() else 1.0
+    # The usual number of unfinished values at one length, if there are enough lengths to tell.
+    spread = float(np.median(cut[cut > 0])) if (cut > 0).sum() >= 5 else 1.0
     near = np.array([cut[(np.abs(x - v) <= 25) & (x != v)].sum() / 50 for v in x])
     limits = (cut >= 4) & (cut >= 5 * np.maximum(near, 0.1)) & (cut >= 2 * spread)
     base = float((cut[~limits].sum() + 0.5) / (total + 1.0))
