@@ -156,26 +156,34 @@ def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
     in its game and is left out, as are lines before the first named speaker. Repeated deliveries
     count once; an empty or null utterance says nothing. Empty tables give an empty result.
     """
-    once = first_delivery(lines, ["line_id"], "loaded_at", ["game_id", "rec_id", "speaker", "time_mark", "utterance"]).where(F.col("rec_id").isNotNull())
+    own = label(F.col("speaker"))
+    named = label(F.nullif(F.regexp_extract(F.col("utterance"), _INLINE, 1), F.lit("")))
+    parts = F.split(F.regexp_extract("time_mark", _TIME, 0), ":")
+    number = lambda p: F.coalesce(F.try_to_number(F.nullif(p, F.lit("")), F.lit("99")), F.lit(0)).cast("int")
+    clock = F.aggregate(F.transform(parts, number), F.lit(0), lambda a, b: a * 60 + b)
+    # A line is reduced to what turns need of it before anything is shuffled. Whether a label inside
+    # the utterance names somebody is known only later: both readings of the line are kept.
+    full, rest = spoken(F.col("utterance")), spoken(F.regexp_replace("utterance", _INLINE, ""))
+    texts = [clean(full).alias("text_full"), clean(rest).alias("text_rest")] if text else []
+    thin = lines.where(F.col("rec_id").isNotNull()).select(
+        "line_id", "game_id", F.col("rec_id").cast("long").alias("rec_id"), "loaded_at", F.coalesce(own, named).alias("label"), (own.isNull() & named.isNotNull()).alias("inline"),
+        F.when(F.col("time_mark").rlike(_TIME), clock).alias("clock"), has_word(full).alias("word_full"), has_word(rest).alias("word_rest"), *texts,
+    ).where("word_full")
+    once = first_delivery(thin, ["line_id"], "loaded_at", [c for c in thin.columns if c not in ("line_id", "loaded_at")])
     # Repeated games: the earliest index row with a roster counts.
     late = F.coalesce(F.col("indexed_at").cast("timestamp"), F.to_timestamp(F.lit("9999-01-01")))
     rosters = games.where(F.size("player_names") > 0).groupBy("game_id").agg(F.min(F.struct(late.alias("at"), "player_names")).alias("r")).select("game_id", "r.player_names")
-    own = label(F.col("speaker"))
-    inline = label(F.nullif(F.regexp_extract(F.col("utterance"), _INLINE, 1), F.lit("")))
-    x = once.withColumn("label", F.coalesce(own, inline)).withColumn("inline", own.isNull() & inline.isNotNull())
     # Distinct labels come from all deliveries, so that no text is shuffled for them.
-    who = resolved(lines.select("game_id", F.coalesce(own, inline).alias("label")).where("label is not null").distinct(), rosters)
+    who = resolved(lines.select("game_id", F.coalesce(own, named).alias("label")).where("label is not null").distinct(), rosters)
     # The join is on (game, label), so that a game of very many lines is spread over its labels.
-    j = x.join(who, ["game_id", "label"], "left")
+    j = once.join(who, ["game_id", "label"], "left")
     # A colon after words that name nobody is no label: the line keeps them and names no speaker.
     takes = ~F.col("inline") | F.coalesce("is_known", F.lit(False))
-    said = spoken(F.when(F.col("inline") & takes, F.regexp_replace("utterance", _INLINE, "")).otherwise(F.col("utterance")))
-    parts = F.split(F.regexp_extract("time_mark", _TIME, 0), ":")
-    clock = F.aggregate(F.transform(parts, lambda p: F.expr("0") + F.coalesce(F.try_to_number(F.nullif(p, F.lit("")), F.lit("99")), F.lit(0)).cast("int")), F.lit(0), lambda a, b: a * 60 + b)
-    kept = j.select(
-        "game_id", F.col("rec_id").cast("long").alias("rec_id"), "line_id", F.when(takes, F.col("name")).alias("name"),
-        F.when(F.col("time_mark").rlike(_TIME), clock).alias("clock"), (clean(said) if text else F.lit(None).cast("string")).alias("text"), said.alias("said"),
-    ).where(has_word(F.col("said"))).drop("said").withColumn("block", F.floor(F.col("rec_id") / BLOCK))
+    cut_off = F.col("inline") & takes
+    kept = j.where(F.when(cut_off, F.col("word_rest")).otherwise(F.col("word_full"))).select(
+        "game_id", "rec_id", "line_id", F.when(takes, F.col("name")).alias("name"), "clock",
+        (F.when(cut_off, F.col("text_rest")).otherwise(F.col("text_full")) if text else F.lit(None).cast("string")).alias("text"),
+    ).withColumn("block", F.floor(F.col("rec_id") / BLOCK))
     lid, gid = dict(lines.dtypes)["line_id"], dict(lines.dtypes)["game_id"]
     runs = sorted_groups(
         kept, ["game_id", "block"], ["rec_id", "line_id"], _blocks,
