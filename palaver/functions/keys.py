@@ -88,3 +88,9 @@ def word_role(x: Column) -> Column:
 def folded(x: Column) -> Column:
     """Without case, accents of Western languages and outer or double spaces."""
     return F.translate(F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def prompt_version(x: Column) -> Column:
+    """``v<n>`` of a version in any spelling, null without a number."""
+    n = F.regexp_extract(x, r"(\d+)", 1)
+    return F.when(n != "", F.concat(F.lit("v"), n))

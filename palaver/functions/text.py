@@ -117,3 +117,21 @@ def first_kind(x: Column, kinds: list[tuple[str, str]], other: str) -> Column:
     for pattern, kind in kinds:
         out = F.when(x.rlike(pattern), kind) if out is None else out.when(x.rlike(pattern), kind)
     return out.otherwise(other)
+
+
+def span_at(text: Column, span: Column) -> Column:
+    """0-based (start, end) of a span's first place in a text, null if it is not there."""
+    at = F.position(span, text)
+    return F.when((at > 0) & (F.length(span) > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(span)).alias("end")))
+
+
+def placed_spans(text: Column, spans: Column) -> Column:
+    """Spans in the order of their place, each that does not overlap one before it."""
+    found = F.array_sort(F.filter(F.transform(spans, lambda s: F.struct(F.position(s, text).alias("at"), s.alias("span"))), lambda s: (s["at"] > 0) & (F.length(s["span"]) > 0)))
+    kind = "array<struct<at:int,span:string>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when((F.size(acc) == 0) | (s["at"] >= last["at"] + F.length(last["span"])), F.concat(acc, F.array(s))).otherwise(acc)
+
+    return F.aggregate(found, F.array().cast(kind), step)
