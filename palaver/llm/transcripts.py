@@ -157,17 +157,19 @@ def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
     count once; an empty or null utterance says nothing. Empty tables give an empty result.
     """
     own = label(F.col("speaker"))
-    named = label(F.nullif(F.regexp_extract(F.col("utterance"), _INLINE, 1), F.lit("")))
+    # Patterns run only where they can matter: most lines have a label of their own.
+    named = F.when(own.isNull(), label(F.nullif(F.regexp_extract(F.col("utterance"), _INLINE, 1), F.lit(""))))
+    has_inline = own.isNull() & F.col("utterance").rlike(_INLINE)
     parts = F.split(F.regexp_extract("time_mark", _TIME, 0), ":")
     number = lambda p: F.coalesce(F.try_to_number(F.nullif(p, F.lit("")), F.lit("99")), F.lit(0)).cast("int")
     clock = F.aggregate(F.transform(parts, number), F.lit(0), lambda a, b: a * 60 + b)
     # A line is reduced to what turns need of it before anything is shuffled. Whether a label inside
     # the utterance names somebody is known only later: both readings of the line are kept.
     full, rest = spoken(F.col("utterance")), spoken(F.regexp_replace("utterance", _INLINE, ""))
-    texts = [clean(full).alias("text_full"), clean(rest).alias("text_rest")] if text else []
+    texts = [clean(full).alias("text_full"), F.when(has_inline, clean(rest)).alias("text_rest")] if text else []
     thin = lines.where(F.col("rec_id").isNotNull()).select(
         "line_id", "game_id", F.col("rec_id").cast("long").alias("rec_id"), "loaded_at", F.coalesce(own, named).alias("label"), (own.isNull() & named.isNotNull()).alias("inline"),
-        F.when(F.col("time_mark").rlike(_TIME), clock).alias("clock"), has_word(full).alias("word_full"), has_word(rest).alias("word_rest"), *texts,
+        F.when(F.col("time_mark").rlike(_TIME), clock).alias("clock"), has_word(full).alias("word_full"), F.when(has_inline, has_word(rest)).alias("word_rest"), *texts,
     ).where("word_full")
     once = first_delivery(thin, ["line_id"], "loaded_at", [c for c in thin.columns if c not in ("line_id", "loaded_at")])
     # Repeated games: the earliest index row with a roster counts.
