@@ -152,7 +152,9 @@ def posteriors(ends: DataFrame, most_groups: int = 20_000) -> DataFrame:
     unfinished values among those at their cap is their prior. The fits are broadcast if there are
     no more than ``most_groups`` rows of them, else joined.
     """
-    f = fits(ends)
+    from palaver.session import cut
+
+    f = cut(fits(ends))
     cap = ends.where("at_cap").agg(((F.sum((F.col("log_lr") > 0).cast("long")) + 0.5) / (F.count("*") + 1.0)).alias("cap_prior"))
     hint = F.broadcast if f.limit(most_groups + 1).count() <= most_groups else (lambda d: d)
     base = f.where("bin is null").select("table_name", F.col("grp").alias("g"), F.col("prior").alias("base"))
