@@ -31,7 +31,7 @@ def test_annotation_splits_leave_other_files_out(spark, tmp_path):
     d.mkdir(parents=True)
     game = {"video_name": "v", "Game_ID": "Game1", "Dialogue": [{"Rec_Id": 1, "speaker": "A", "utterance": "u", "annotation": ["X"]}]}
     (d / "train.json").write_text(json.dumps([game]))
-    (d / "avalon.json").write_text(json.dumps([game]))
+    (d / "other.json").write_text(json.dumps([game]))
     r = R.annotation_games(spark, str(tmp_path)).collect()
     assert len(r) == 1 and (r[0]["source"], r[0]["split"], r[0]["Dialogue"][0]["annotation"]) == ("Tube", "train", '["X"]')
 
@@ -68,7 +68,7 @@ def test_latex(spark):
 
 def test_xml_lexicon(spark, tmp_path):
     p = tmp_path / "l.xml"
-    p.write_text('<dimlex><entry id="1"><orths><orth type="cont"><part type="phrasal">as long as</part></orth></orths><syn><sem><pdtb3_relation sense="contingency.condition" freq="5"/></sem></syn></entry></dimlex>')
+    p.write_text('<lexicon><entry id="1"><orths><orth type="cont"><part type="phrasal">as long as</part></orth></orths><syn><sem><pdtb3_relation sense="contingency.condition" freq="5"/></sem></syn></entry></lexicon>')
     r = R.read_lexicon_xml(spark, str(p)).collect()
     assert [(x["marker"], x["category"], x["frequency"], x["is_discontinuous"]) for x in r] == [("as long as", "Contingency", 5, False)]
 
