@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from palaver.session import cut
+
 TYPES = ("object", "array", "string", "number", "boolean")
 SKETCH = 16
 _BIT = {dict: 1, list: 2, str: 4, int: 8, float: 8, bool: 16}
@@ -203,18 +205,28 @@ def changes(prof: DataFrame, files: DataFrame) -> DataFrame:
     return paired.unionByName(same)
 
 
-def steady_names(prof: DataFrame, changed: DataFrame, least: float = 0.25, most: int = 200_000) -> dict[str, str]:
+def steady_names(prof: DataFrame, changed: DataFrame, most: int = 200_000) -> dict[str, str]:
     """Every field path mapped to one steady path.
 
-    Distinct (former, new) name pairs of all runs whose mean likeness is at least ``least`` join
-    their names; of joined names the one in most files stands for all. The pairs are schema names,
-    not data: beyond ``most`` of them this stops with an error. Parents are mapped before children.
+    Every distinct (former, new) name pair of all runs joins its names, the likest pairs first; of
+    joined names the one in most files stands for all. Names that one file holds side by side are
+    two fields and never joined, directly or through others, as one of their values would be lost.
+    The pairs are schema names, not data: beyond ``most`` of them this stops with an error. Parents
+    are mapped before children.
     """
-    pairs = changed.where("kind = 'renamed'").groupBy("former", "path").agg(F.avg("likeness").alias("l")).where(F.col("l") >= least)
+    pairs = cut(changed.where("kind = 'renamed'").groupBy("former", "path").agg(F.avg("likeness").alias("l")))
     names = prof.where("path != ''").groupBy("path").agg(F.count("*").alias("n"), F.max("types").alias("types"))
-    got, known = pairs.limit(most + 1).collect(), names.limit(most + 1).collect()
-    if max(len(got), len(known)) > most:
+    paired = pairs.select(F.explode(F.array("former", "path")).alias("path")).distinct()
+    side = prof.join(paired, "path").select("run", "seq", "path", F.regexp_replace("path", r"\.?[^.]*$", "").alias("parent"))
+    beside = side.join(side.withColumnRenamed("path", "other"), ["run", "seq", "parent"]).where("path < other").select("path", "other").distinct()
+    got, known, met = pairs.limit(most + 1).collect(), names.limit(most + 1).collect(), beside.limit(most + 1).collect()
+    if max(len(got), len(known), len(met)) > most:
         raise ValueError(f"more than {most} field names: not a table with steady columns")
+    got.sort(key=lambda r: (-r["l"], r["former"], r["path"]))
+    together: dict[str, set[str]] = {}
+    for a, b in met:
+        together.setdefault(a, set()).add(b)
+        together.setdefault(b, set()).add(a)
     weight = {r["path"]: r["n"] for r in known}
     steady: dict[str, str] = {}
     for depth in range(1, 1 + max((p.count(".") + 1 for p in weight), default=0)):
@@ -229,14 +241,17 @@ def steady_names(prof: DataFrame, changed: DataFrame, least: float = 0.25, most:
             return x
 
         count: dict[str, int] = {}
+        held: dict[str, set[str]] = {}
         for p in level:
             count[up(p)] = count.get(up(p), 0) + weight[p]
+            held.setdefault(up(p), set()).add(p)
         for r in got:
             if r["path"].count(".") + 1 == depth and r["path"] in weight and r["former"] in weight:
                 a, b = find(up(r["former"])), find(up(r["path"]))
-                if a != b:
+                if a != b and not any(together.get(p, set()) & held[b] for p in held[a]):
                     keep, lose = sorted((a, b), key=lambda x: (-count.get(x, 0), x))
                     root[lose] = keep
+                    held[keep] |= held.pop(lose)
         for p in level:
             steady[p] = find(up(p))
     return steady

@@ -87,6 +87,26 @@ def test_unify_gives_steady_columns(spark):
     assert got[2]["record_no_value"] == 7.0 and json.loads(got[0]["o"]).keys() == json.loads(got[1]["o"]).keys()
 
 
+def _unified(spark, rows):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA)
+    prof = profile(df, "run_dir", "file_seq", "record")
+    names = steady_names(prof, changes(prof, df.selectExpr("run_dir as run", "file_seq as seq").distinct()))
+    return names, {r["record_no"]: r for r in unify(df, "record", ["record_no"], names, prof).collect()}
+
+
+def test_unlike_names_of_one_field_are_unified(spark):
+    rows = [("r", 1, '{"evidence": "a", "o": {"justification": "p"}}'), ("r", 2, '{"evidence": "b", "o": {"justification": "q"}}'), ("r", 3, '{"quote": "c", "o": {"why": "s"}}')]
+    names, got = _unified(spark, rows)
+    assert names["quote"] == "evidence" and names["o.why"] == "o.justification"
+    assert [got[i]["evidence"] for i in range(3)] == ["a", "b", "c"] and json.loads(got[2]["o"]) == {"justification": "s"}
+
+
+def test_names_side_by_side_in_a_file_keep_both_values(spark):
+    rows = [("r", 1, '{"evidence": "a"}'), ("r", 2, '{"quote": "b"}'), ("s", 1, '{"evidence": "c", "quote": "d"}'), ("r", 3, '{"span": "e"}')]
+    _, got = _unified(spark, rows)
+    assert (got[2]["evidence"], got[2]["quote"]) == ("c", "d")
+
+
 def test_likeness_bounds():
     assert likeness("line_number", "lineNumber", [1], [1]) == pytest.approx(1.0)
     assert likeness("a", "zz", [1], [2]) < 0.2
