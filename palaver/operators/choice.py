@@ -21,25 +21,43 @@ from palaver.functions.mathx import chi2_sf, normal_sf
 from palaver.session import cut
 
 
-def choice_sets(ballot: DataFrame, keys: list[str], alternative: str, count: str, features: list[str]) -> DataFrame:
-    """One row for each key with a vote: ``key``, ``h`` (a hash), ``x``, ``n``, ``alts``.
+def choice_sets(ballot: DataFrame, keys: list[str], alternative: str, count: str, features: list[str], group: str | None = None) -> DataFrame:
+    """One row for each key with a vote: ``key``, ``group``, ``h`` (a hash), ``x``, ``n``, ``alts``.
 
-    A set is one key's alternatives (a ballot). Sets without any count are left out; null features
-    are 0.
+    A set is one key's alternatives (a ballot) for one voter (``group``). Sets without any count are
+    left out; null features are 0. ``h`` is of the key alone, so all groups have the same folds.
     """
+    voter = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
     key = F.concat_ws(" | ", *[F.col(k).cast("string") for k in keys])
     rows = F.array_sort(F.collect_list(F.struct(F.col(alternative).cast("string").alias("a"), F.coalesce(F.col(count), F.lit(0)).cast("double").alias("n"), F.array(*[F.coalesce(F.col(f), F.lit(0)).cast("double") for f in features]).alias("x"))))
-    g = ballot.groupBy(key.alias("key")).agg(rows.alias("r"))
-    g = g.select("key", hash_rank(F.col("key")).alias("h"), F.flatten(F.col("r.x")).alias("x"), F.col("r.n").alias("n"), F.col("r.a").alias("alts"))
+    g = ballot.groupBy(key.alias("key"), voter.alias("group")).agg(rows.alias("r"))
+    g = g.select("key", "group", hash_rank(F.col("key")).alias("h"), F.flatten(F.col("r.x")).alias("x"), F.col("r.n").alias("n"), F.col("r.a").alias("alts"))
     return g.where(F.aggregate("n", F.lit(0.0), lambda a, b: a + b) > 0)
 
 
+def moments_by(sets: DataFrame, k: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """:func:`moments` of each group."""
+    rows = _moment_rows(sets, k)
+    found = {r["group"]: _spread(r[1:], k) for r in rows.groupBy("group").agg(*_moment_sums(k)).collect()}
+    return {g: v[0] for g, v in found.items()}, {g: v[1] for g, v in found.items()}
+
+
 def moments(sets: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population deviation (1 if 0) of each feature over all alternatives."""
+    return _spread(_moment_rows(sets, k).agg(*_moment_sums(k)).first(), k)
+
+
+def _moment_rows(sets: DataFrame, k: int) -> DataFrame:
     part = lambda i: F.filter("x", lambda v, at: at % k == i)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    x = sets.select(F.size("n").alias("m"), *[total(part(i)).alias(f"s{i}") for i in range(k)], *[total(F.transform(part(i), lambda v: v * v)).alias(f"q{i}") for i in range(k)])
-    r = x.agg(F.sum("m"), *[F.sum(f"s{i}") for i in range(k)], *[F.sum(f"q{i}") for i in range(k)]).first()
+    return sets.select("group", F.size("n").alias("m"), *[total(part(i)).alias(f"s{i}") for i in range(k)], *[total(F.transform(part(i), lambda v: v * v)).alias(f"q{i}") for i in range(k)])
+
+
+def _moment_sums(k: int) -> list:
+    return [F.sum("m"), *[F.sum(f"s{i}") for i in range(k)], *[F.sum(f"q{i}") for i in range(k)]]
+
+
+def _spread(r: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
     m = max(float(r[0] or 0), 1.0)
     mean = np.array([float(v or 0) for v in r[1 : k + 1]]) / m
     var = np.maximum(np.array([float(v or 0) for v in r[k + 1 :]]) / m - mean**2, 0)
@@ -56,7 +74,7 @@ def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Problem:
-    """A weighting of choice sets and a penalty. ``only``: sets with fold == / != ``fold`` of ``seed``."""
+    """A weighting of choice sets and a penalty: sets of ``group`` (all if None), with fold == / != ``fold`` of ``seed``."""
 
     l2: float = 0.0
     l1: float = 0.0
@@ -65,14 +83,16 @@ class Problem:
     fold: int = -1
     inside: bool = False
     half: bool = False
+    group: str | None = None
 
-    def weights(self, h: np.ndarray) -> np.ndarray:
+    def weights(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
+        on = np.ones(len(h), dtype=bool) if self.group is None else group == self.group
         if self.half:
-            return (_uniform(h, self.seed) < 0.5).astype(float)
+            on = on & (_uniform(h, self.seed) < 0.5)
         if self.folds:
             at = np.floor(_uniform(h, self.seed) * self.folds).astype(int)
-            return ((at == self.fold) == self.inside).astype(float)
-        return np.ones(len(h))
+            on = on & ((at == self.fold) == self.inside)
+        return on.astype(float)
 
 
 @dataclass
@@ -87,8 +107,20 @@ class Sums:
     null: np.ndarray
     meat: np.ndarray = field(default=None)
 
+    def only(self, i: int) -> Sums:
+        """The sums of one problem."""
+        return Sums(*[None if v is None else v[[i]] for v in (self.ll, self.grad, self.hess, self.n, self.hits, self.null, self.meat)])
+
+
+#: Means or deviations of the features: of all sets, or of each group.
+Scale = np.ndarray | dict[str, np.ndarray]
 
-def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray, mean: np.ndarray, sd: np.ndarray, meat: bool = False, permute: int | None = None) -> Sums:
+
+def _of(scale: Scale, group: str) -> np.ndarray:
+    return scale[group] if isinstance(scale, dict) else scale
+
+
+def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray, mean: Scale, sd: Scale, meat: bool = False, permute: int | None = None) -> Sums:
     """Log-likelihood, gradient, Hessian, counts, hits and null log-likelihood of all problems."""
     p = len(problems)
 
@@ -96,12 +128,13 @@ def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray,
         ll, n, hits, null = (np.zeros(p) for _ in range(4))
         grad, hess, outer = np.zeros((p, k)), np.zeros((p, k, k)), np.zeros((p, k, k) if meat else (0,))
         for pdf in frames:
-            w = np.stack([q.weights(pdf["h"].to_numpy()) for q in problems])
-            for j, (h, x, c) in enumerate(zip(pdf["h"], pdf["x"], pdf["n"])):
+            hashes, groups = pdf["h"].to_numpy(), pdf["group"].to_numpy()
+            w = np.stack([q.weights(hashes, groups) for q in problems])
+            for j, (h, group, x, c) in enumerate(zip(hashes, groups, pdf["x"], pdf["n"])):
                 on = np.flatnonzero(w[:, j])
                 if not len(on):
                     continue
-                X, c = (np.asarray(x, float).reshape(-1, k) - mean) / sd, np.asarray(c, float)
+                X, c = (np.asarray(x, float).reshape(-1, k) - _of(mean, group)) / _of(sd, group), np.asarray(c, float)
                 if permute is not None:
                     X = X.copy()
                     X[:, permute] = X[np.argsort(_uniform(np.arange(len(c), dtype=np.uint64) + np.uint64(int(h)), 11)), permute]
@@ -125,7 +158,7 @@ def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray,
 
     # One row for each task comes back: problems x features squared numbers.
     total = None
-    for r in sets.select("h", "x", "n").mapInPandas(scan, "v array<double>").toLocalIterator():
+    for r in sets.select("h", "group", "x", "n").mapInPandas(scan, "v array<double>").toLocalIterator():
         v = np.array(r[0])
         total = v if total is None else total + v
     size = p * (4 + k + k * k + (k * k if meat else 0))
@@ -135,28 +168,26 @@ def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray,
     return Sums(parts[0], parts[1].reshape(p, k), parts[2].reshape(p, k, k), parts[3], parts[4], parts[5], parts[6].reshape(p, k, k) if meat else None)
 
 
-def _lasso_step(b: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The minimiser of the local quadratic model plus an l1 penalty, by coordinate descent."""
+def _lasso_steps(b: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The minimisers of local quadratic models plus l1 penalties, by coordinate descent, a row for each problem."""
     x = b.copy()
-    grad = -g + h @ (x - b)
+    grad = -g + np.einsum("pij,pj->pi", h, x - b)
     for _ in range(rounds):
         worst = 0.0
-        for i in range(len(b)):
-            if h[i, i] <= 1e-12:
-                continue
-            z = x[i] - grad[i] / h[i, i]
-            new = np.sign(z) * max(abs(z) - l1[i] / h[i, i], 0.0)
-            d = new - x[i]
-            if d:
-                grad += h[:, i] * d
-                x[i] = new
-                worst = max(worst, abs(d))
+        for i in range(b.shape[1]):
+            d2 = np.maximum(h[:, i, i], 1e-12)
+            z = x[:, i] - grad[:, i] / d2
+            new = np.where(h[:, i, i] <= 1e-12, x[:, i], np.sign(z) * np.maximum(np.abs(z) - l1[:, i] / d2, 0.0))
+            d = new - x[:, i]
+            grad += h[:, :, i] * d[:, None]
+            x[:, i] = new
+            worst = max(worst, float(np.abs(d).max(initial=0.0)))
         if worst < 1e-10:
             break
     return x
 
 
-def solve(sets: DataFrame, k: int, problems: list[Problem], mean: np.ndarray, sd: np.ndarray, free: tuple[int, ...] = (), rounds: int = 30) -> tuple[np.ndarray, Sums]:
+def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Scale, free: tuple[int, ...] = (), rounds: int = 30) -> tuple[np.ndarray, Sums]:
     """Coefficients of all problems by (proximal) Newton steps with halving; ``free`` ones unpenalised."""
     p = len(problems)
     pen = np.ones(k)
@@ -171,12 +202,14 @@ def solve(sets: DataFrame, k: int, problems: list[Problem], mean: np.ndarray, sd
     best = objective(s, beta)
     scale = np.ones(p)
     for _ in range(rounds):
-        new = beta.copy()
-        for i in range(p):
-            g = s.grad[i] - l2[i] * pen * beta[i]
-            h = s.hess[i] + np.diag(l2[i] * pen + 1e-9)
-            step = _lasso_step(beta[i], g, h, l1[i] * pen) - beta[i] if l1[i] else np.linalg.lstsq(h, g, rcond=None)[0]
-            new[i] = beta[i] + scale[i] * np.clip(step, -5, 5)
+        new, lasso = beta.copy(), np.flatnonzero(l1)
+        g = s.grad - l2[:, None] * pen * beta
+        h = s.hess + np.einsum("pi,ij->pij", l2[:, None] * pen + 1e-9, np.eye(k))
+        step = np.zeros((p, k))
+        step[lasso] = _lasso_steps(beta[lasso], g[lasso], h[lasso], l1[lasso, None] * pen) - beta[lasso]
+        for i in np.flatnonzero(l1 == 0):
+            step[i] = np.linalg.lstsq(h[i], g[i], rcond=None)[0]
+        new += scale[:, None] * np.clip(step, -5, 5)
         if np.abs(new - beta).max() < 1e-8:
             break
         t = evaluate(sets, k, problems, new, mean, sd)
@@ -206,6 +239,23 @@ def fitted(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), l2:
     return {"beta": beta[0], "vcov": inv @ s.meat[0] @ inv, "model_vcov": inv, "sums": s, "mean": mean, "sd": sd, "sets": sets, "features": features}
 
 
+def fitted_by(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), l2: float = 0.0) -> dict[str, dict]:
+    """The fit of each group, as from :func:`fitted`, all solved in the same passes."""
+    k = len(features)
+    sets = cut(sets)
+    mean, sd = moments_by(sets, k)
+    groups = sorted(mean)
+    if not groups:
+        return {}
+    beta, _ = solve(sets, k, [Problem(l2=l2, group=g) for g in groups], mean, sd, free)
+    s = evaluate(sets, k, [Problem(group=g) for g in groups], beta, mean, sd, meat=True)
+    out = {}
+    for i, g in enumerate(groups):
+        inv = np.linalg.pinv(s.hess[i])
+        out[g] = {"beta": beta[i], "vcov": inv @ s.meat[i] @ inv, "model_vcov": inv, "sums": s.only(i), "mean": mean[g], "sd": sd[g], "sets": sets.where(F.col("group") == g), "features": features}
+    return out
+
+
 def odds_table(fit: dict) -> list[tuple]:
     """(feature, odds ratio, lower, upper, z, p, Bonferroni p) of each feature."""
     b, se = fit["beta"], np.sqrt(np.maximum(np.diag(fit["vcov"]), 0))
@@ -226,56 +276,63 @@ def wald(fit: dict, added: list[str]) -> tuple[float, int, float]:
 
 
 def cross_validated(sets: DataFrame, features: list[str], penalties: list[float], free: tuple[int, ...] = (), folds: int = 5, seeds: tuple[int, ...] = (0, 1, 2), l1: bool = False) -> list[tuple]:
-    """(penalty, mean held-out log-likelihood, its deviation, hit rate, pseudo R squared).
+    """(group, penalty, mean held-out log-likelihood, its deviation, hit rate, pseudo R squared).
 
-    All folds, seeds and penalties are solved together, so the sets are read once for each step.
+    All groups, folds, seeds and penalties are solved together, so the sets are read once for each step.
     Folds come from a hash of the set's key.
     """
     k = len(features)
     sets = cut(sets)
-    mean, sd = moments(sets, k)
-    train = [Problem(l2=0 if l1 else p, l1=p if l1 else 0, seed=s, folds=folds, fold=f) for p in penalties for s in seeds for f in range(folds)]
+    mean, sd = moments_by(sets, k)
+    if not mean:
+        return []
+    cells = [(g, p) for g in sorted(mean) for p in penalties]
+    train = [Problem(l2=0 if l1 else p, l1=p if l1 else 0, seed=s, folds=folds, fold=f, group=g) for g, p in cells for s in seeds for f in range(folds)]
     beta, _ = solve(sets, k, train, mean, sd, free)
-    held = evaluate(sets, k, [Problem(seed=q.seed, folds=folds, fold=q.fold, inside=True) for q in train], beta, mean, sd)
+    held = evaluate(sets, k, [Problem(seed=q.seed, folds=folds, fold=q.fold, inside=True, group=q.group) for q in train], beta, mean, sd)
     out, per = [], len(seeds) * folds
-    for i, p in enumerate(penalties):
+    for i, (g, p) in enumerate(cells):
         at = [j for j in range(i * per, (i + 1) * per) if held.n[j] > 0]
         ll, hit, r2 = held.ll[at] / held.n[at], held.hits[at] / held.n[at], 1 - held.ll[at] / held.null[at]
-        out.append((float(p), float(ll.mean()), float(ll.std()), float(hit.mean()), float(r2.mean())))
+        out.append((g, float(p), float(ll.mean()), float(ll.std()), float(hit.mean()), float(r2.mean())))
     return out
 
 
 def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int, ...] = (), samples: int = 50, tries: int = 12) -> list[tuple]:
-    """(feature, how often a lasso on half of the sets keeps it, lambda).
+    """(group, feature, how often a lasso on half of the sets keeps it, lambda).
 
-    The penalty keeps about ``target`` features on all sets, bisected on a log scale; then all half
-    samples are solved together.
+    A group's penalty keeps about ``target`` features on all of its sets, bisected on a log scale;
+    then all half samples of all groups are solved together.
     """
     k = len(features)
     sets = cut(sets)
-    mean, sd = moments(sets, k)
-    lo, hi = 1e-4, 1e4
+    mean, sd = moments_by(sets, k)
+    if not mean:
+        return []
+    ends = {g: (1e-4, 1e4) for g in sorted(mean)}
     for _ in range(tries):
-        grid = np.exp(np.linspace(np.log(lo), np.log(hi), 6))[1:-1]
-        beta, _ = solve(sets, k, [Problem(l1=float(g)) for g in grid], mean, sd, free)
+        grid = [(g, float(x)) for g, (lo, hi) in ends.items() for x in np.exp(np.linspace(np.log(lo), np.log(hi), 6))[1:-1]]
+        beta, _ = solve(sets, k, [Problem(l1=x, group=g) for g, x in grid], mean, sd, free)
         kept = [(b != 0).sum() - sum(b[i] != 0 for i in free) for b in beta]
-        over = [g for g, n in zip(grid, kept) if n > target]
-        under = [g for g, n in zip(grid, kept) if n <= target]
-        lo, hi = (max(over) if over else lo), (min(under) if under else hi)
-        if hi / lo < 1.05:
+        for g, (lo, hi) in ends.items():
+            over = [x for (q, x), n in zip(grid, kept) if q == g and n > target]
+            under = [x for (q, x), n in zip(grid, kept) if q == g and n <= target]
+            ends[g] = (max(over) if over else lo), (min(under) if under else hi)
+        if all(hi / lo < 1.05 for lo, hi in ends.values()):
             break
-    lam = float(np.sqrt(lo * hi))
-    beta, _ = solve(sets, k, [Problem(l1=lam / 2, seed=100 + i, half=True) for i in range(samples)], mean, sd, free)
-    return [(f, float((beta[:, i] != 0).mean()), lam) for i, f in enumerate(features)]
+    lam = {g: float(np.sqrt(lo * hi)) for g, (lo, hi) in ends.items()}
+    beta, _ = solve(sets, k, [Problem(l1=v / 2, seed=100 + i, half=True, group=g) for g, v in lam.items() for i in range(samples)], mean, sd, free)
+    return [(g, f, float((beta[j * samples : (j + 1) * samples, i] != 0).mean()), lam[g]) for j, g in enumerate(lam) for i, f in enumerate(features)]
 
 
-def permutation_importance(fit: dict) -> list[tuple]:
-    """(feature, loss of mean log-likelihood when it is permuted within sets)."""
-    base = fit["sums"].ll[0] / fit["sums"].n[0]
+def permutation_importance(fits: dict[str, dict]) -> list[tuple]:
+    """(group, feature, loss of mean log-likelihood when it is permuted within sets) of all fits."""
     out = []
-    for i, f in enumerate(fit["features"]):
-        s = evaluate(fit["sets"], len(fit["features"]), [Problem()], fit["beta"][None], fit["mean"], fit["sd"], permute=i)
-        out.append((f, float(base - s.ll[0] / s.n[0])))
+    for g, fit in fits.items():
+        base = fit["sums"].ll[0] / fit["sums"].n[0]
+        for i, f in enumerate(fit["features"]):
+            s = evaluate(fit["sets"], len(fit["features"]), [Problem()], fit["beta"][None], fit["mean"], fit["sd"], permute=i)
+            out.append((g, f, float(base - s.ll[0] / s.n[0])))
     return out
 
 

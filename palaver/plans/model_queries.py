@@ -37,17 +37,24 @@ def features(spark, d):
     return summed_by_name(slots(spark, d).select("game_id", "slot", "player", "end_role", "vote"), [pt, ac], ["game_id"], "player", A + BB)
 
 
-def ballot(spark, d, model: str = "quill-31b", circle: bool = True):
+def ballot(spark, d, circle: bool = True):
+    """Alternatives of each model and game with the model's stochastic votes for them."""
     f = features(spark, d).withColumn("is_circle_option", F.lit(0.0)).select("game_id", "player", *A, *BB, "is_circle_option")
     if circle:
         none = f.select("game_id").distinct().select("game_id", F.lit("No Werewolf").alias("player"), *[F.lit(0.0).alias(c) for c in A + BB], F.lit(1.0).alias("is_circle_option"))
         f = f.unionByName(none)
-    n = valid_votes(spark, d).where((F.col("model_name") == model) & (F.col("decoding") == "stochastic")).groupBy("game_id", F.col("target").alias("player")).agg(F.count("*").alias("n"))
-    return f.join(n, ["game_id", "player"], "left").fillna(0, ["n"])
+    n = valid_votes(spark, d).where("decoding = 'stochastic'").groupBy(F.coalesce("model_name", F.lit("")).alias("model_name"), "game_id", F.col("target").alias("player")).agg(F.count("*").alias("n"))
+    return n.select("model_name", "game_id").distinct().join(f, "game_id").join(n, ["model_name", "game_id", "player"], "left").fillna(0, ["n"])
 
 
 def sets(spark, d, cols, circle=True):
-    return C.choice_sets(ballot(spark, d, circle=circle), ["game_id"], "player", "n", cols)
+    return C.choice_sets(ballot(spark, d, circle), ["game_id"], "player", "n", cols, "model_name")
+
+
+def fits(spark, d, cols=None, circle=True):
+    """The fit of each model."""
+    cols = cols or FULL
+    return C.fitted_by(sets(spark, d, cols, circle), cols, (cols.index("is_circle_option"),) if circle else ())
 
 
 FULL = A + BB + ["is_circle_option"]
@@ -71,19 +78,18 @@ def f55(spark, d):
 
 @query("M09_coefficients")
 def m09(spark, d):
-    fit = C.fitted(sets(spark, d, FULL), FULL, (len(FULL) - 1,))
-    return spark.createDataFrame([(f, float(b)) for f, b in zip(FULL, fit["beta"])], "feature string, coefficient double")
+    return spark.createDataFrame([(m, f, float(b)) for m, fit in fits(spark, d).items() for f, b in zip(FULL, fit["beta"])], "model_name string, feature string, coefficient double")
 
 
 @query("M11_choice_metrics")
 def m11(spark, d):
-    s = C.fitted(sets(spark, d, FULL), FULL, (len(FULL) - 1,))["sums"]
-    return spark.createDataFrame([(float(s.ll[0] / s.n[0]), float(s.hits[0] / s.n[0]), float(s.null[0] / s.n[0]))], "mean_ll double, hit_rate double, null_ll double")
+    sums = [(m, fit["sums"]) for m, fit in fits(spark, d).items()]
+    return spark.createDataFrame([(m, float(s.ll[0] / s.n[0]), float(s.hits[0] / s.n[0]), float(s.null[0] / s.n[0])) for m, s in sums], "model_name string, mean_ll double, hit_rate double, null_ll double")
 
 
 @query("M12_cross_validation")
 def m12(spark, d):
-    return spark.createDataFrame(C.cross_validated(sets(spark, d, FULL), FULL, [0.1, 1.0, 10.0], (len(FULL) - 1,)), "penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
+    return spark.createDataFrame(C.cross_validated(sets(spark, d, FULL), FULL, [0.1, 1.0, 10.0], (len(FULL) - 1,)), "model_name string, penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
 
 
 @query("M15_grid")
@@ -92,42 +98,44 @@ def m15(spark, d):
     for name, cols in (("A", A), ("B", BB), ("both", A + BB)):
         full = cols + ["is_circle_option"]
         rows += [(name, *r) for r in C.cross_validated(sets(spark, d, full), full, [1.0, 10.0], (len(full) - 1,), seeds=(0,))]
-    return spark.createDataFrame(rows, "block string, penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
+    return spark.createDataFrame(rows, "block string, model_name string, penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
 
 
 @query("M14_permutation")
 def m14(spark, d):
-    return spark.createDataFrame(C.permutation_importance(C.fitted(sets(spark, d, FULL), FULL, (len(FULL) - 1,))), "feature string, loss double")
+    return spark.createDataFrame(C.permutation_importance(fits(spark, d)), "model_name string, feature string, loss double")
 
 
 @query("M16_odds_ratios")
 def m16(spark, d):
-    return spark.createDataFrame(C.odds_table(C.fitted(sets(spark, d, FULL), FULL, (len(FULL) - 1,))), "feature string, odds_ratio double, lo double, hi double, z double, p double, p_bonferroni double")
+    return spark.createDataFrame([(m, *r) for m, fit in fits(spark, d).items() for r in C.odds_table(fit)], "model_name string, feature string, odds_ratio double, lo double, hi double, z double, p double, p_bonferroni double")
 
 
 @query("M17_block_test")
 def m17(spark, d):
-    fit = C.fitted(sets(spark, d, FULL), FULL, (len(FULL) - 1,))
-    return spark.createDataFrame([("B over A", *C.wald(fit, BB)), ("A over B", *C.wald(fit, A))], "test string, chi2 double, df int, p double")
+    return spark.createDataFrame([(m, t, *C.wald(fit, cols)) for m, fit in fits(spark, d).items() for t, cols in (("B over A", BB), ("A over B", A))], "model_name string, test string, chi2 double, df int, p double")
 
 
 @query("M18_stability")
 def m18(spark, d):
-    return spark.createDataFrame(C.stability(sets(spark, d, FULL), FULL, 4, (len(FULL) - 1,), samples=20, tries=4), "feature string, frequency double, penalty double")
+    return spark.createDataFrame(C.stability(sets(spark, d, FULL), FULL, 4, (len(FULL) - 1,), samples=20, tries=4), "model_name string, feature string, frequency double, penalty double")
 
 
 @query("M19_block_bootstrap")
 def m19(spark, d):
-    a = C.set_scores(C.fitted(sets(spark, d, A + ["is_circle_option"]), A + ["is_circle_option"], (len(A),))).withColumnRenamed("ll", "lb")
-    b = C.set_scores(C.fitted(sets(spark, d, FULL), FULL, (len(FULL) - 1,))).withColumnRenamed("ll", "la")
-    return B.paired(cut(a.join(b, "key")), "key", "la", "lb", 200)
+    a, b = fits(spark, d, A + ["is_circle_option"]), fits(spark, d)
+    out = None
+    for m in b:
+        x = C.set_scores(a[m]).withColumnRenamed("ll", "lb").join(C.set_scores(b[m]).withColumnRenamed("ll", "la"), "key")
+        one = B.paired(cut(x), "key", "la", "lb", 200).select(F.lit(m).alias("model_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("M20_iia")
 def m20(spark, d):
-    full = C.fitted(sets(spark, d, FULL), FULL, (len(FULL) - 1,))
-    rest = C.fitted(sets(spark, d, A + BB, circle=False), A + BB)
-    return spark.createDataFrame([C.iia(full, rest)], "statistic double, df int, p double, verdict string")
+    full, rest = fits(spark, d), fits(spark, d, A + BB, circle=False)
+    return spark.createDataFrame([(m, *C.iia(full[m], rest[m])) for m in full if m in rest], "model_name string, statistic double, df int, p double, verdict string")
 
 
 def pairs(spark, d):
@@ -155,7 +163,11 @@ def m13(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     b = cut(ballot(spark, d).withColumn("label", (F.col("n") > 0).cast("double")).withColumn("w", F.greatest(F.col("n"), F.lit(1)).cast("double")))
-    model, x = C.boosted_ranker(b, FULL, "label", "w")
-    scored = model.transform(x).select("game_id", "player", "n", vector_to_array("probability")[1].alias("p"))
-    top = scored.groupBy("game_id").agg(F.max_by("n", F.struct("p", "player")).alias("hit"), F.sum("n").alias("n")).where("n > 0")
-    return top.agg((F.sum("hit") / F.sum("n")).alias("hit_rate"), F.count("*").alias("n_games"))
+    out = None
+    for m in sorted(r[0] for r in b.select("model_name").distinct().collect()):
+        model, x = C.boosted_ranker(b.where(F.col("model_name") == m), FULL, "label", "w")
+        scored = model.transform(x).select("game_id", "player", "n", vector_to_array("probability")[1].alias("p"))
+        top = scored.groupBy("game_id").agg(F.max_by("n", F.struct("p", "player")).alias("hit"), F.sum("n").alias("n")).where("n > 0")
+        one = top.agg(F.lit(m).alias("model_name"), (F.sum("hit") / F.sum("n")).alias("hit_rate"), F.count("*").alias("n_games"))
+        out = one if out is None else out.unionByName(one)
+    return out

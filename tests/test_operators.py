@@ -180,6 +180,27 @@ def test_sets_without_votes_are_left_out(spark):
     assert [r["key"] for r in C.choice_sets(df, ["g"], "a", "n", ["f"]).collect()] == ["h"]
 
 
+def test_groups_are_fitted_apart_in_one_pass(spark):
+    a, cols = _simulated(spark, 120, np.array([1.0, -0.5]), seed=5)
+    b, _ = _simulated(spark, 120, np.array([-1.0, 0.3]), seed=6)
+    both = a.withColumn("m", F.lit("a")).unionByName(b.withColumn("m", F.lit("b")))
+    got = C.fitted_by(C.choice_sets(both, ["g"], "a", "n", cols, "m"), cols)
+    assert sorted(got) == ["a", "b"]
+    for m, df in (("a", a), ("b", b)):
+        alone = C.fitted(C.choice_sets(df, ["g"], "a", "n", cols), cols)
+        assert np.abs(got[m]["beta"] - alone["beta"]).max() < 1e-5 and got[m]["sums"].n[0] == alone["sums"].n[0]
+
+
+def test_model_queries_cover_every_model(spark, monkeypatch):
+    import palaver.plans.model_queries as Q
+
+    f = spark.createDataFrame([(g, p, "v", float(i)) for g in ("g1", "g2") for i, p in enumerate("xyz")], "game_id string, player string, end_role string, f double")
+    monkeypatch.setattr(Q, "features", lambda s, d: f.select("game_id", "player", *[F.col("f").alias(c) for c in Q.A + Q.BB]))
+    v = spark.createDataFrame([("m1", "stochastic", "g1", "x"), ("m2", "stochastic", "g1", "y"), ("m2", "stochastic", "g2", "z"), ("m2", "greedy", "g2", "x")], "model_name string, decoding string, game_id string, target string")
+    monkeypatch.setattr(Q, "valid_votes", lambda s, d: v)
+    assert sorted((r["group"], r["key"], sum(r["n"]), len(r["alts"])) for r in Q.sets(spark, "", Q.FULL).collect()) == [("m1", "g1", 1.0, 4), ("m2", "g1", 1.0, 4), ("m2", "g2", 1.0, 4)]
+
+
 def test_lexicon_matchers_differ(spark):
     lex = {"as long as": "C", "as": "T", "if": "C", "even if": "X", "long as it": "Z"}
     df = spark.createDataFrame([("As long as it rains, even if cold, as is.",), (None,), ("",)], "x string")
