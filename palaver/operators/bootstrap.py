@@ -65,17 +65,18 @@ def difference(clusters: DataFrame, key: str, value: str, arm: str, first: str,
     return point.join(interval(both, F.col("d")))
 
 
-def paired(clusters: DataFrame, key: str, a: str, b: str, reps: int, weights: str | None = None, least: float = 0.5) -> DataFrame:
+def paired(clusters: DataFrame, key: str, a: str, b: str, reps: int, weights: str | None = None, least: float = 0.5, by: list[str] = ()) -> DataFrame:
     """Mean of a - b over clusters that have both, optionally weighted.
 
     Null if fewer than ``least`` of the replicates give a value.
     """
     w = F.col(weights) if weights else F.lit(1.0)
-    x = clusters.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, (w * (F.col(a) - F.col(b))).alias("num"), w.alias("den"))
-    point = x.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("difference"), F.count("*").alias("n"))
-    ci = interval(replicate_sums(x, key, ["num", "den"], reps), F.try_divide("num", "den"))
+    x = clusters.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, key, (w * (F.col(a) - F.col(b))).alias("num"), w.alias("den"))
+    point = x.groupBy(*by).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("difference"), F.count("*").alias("n"))
+    ci = interval(replicate_sums(x, key, ["num", "den"], reps, by), F.try_divide("num", "den"), by)
     ok = F.col("n_draws") >= least * reps
-    return point.join(ci).select("difference", "n", "n_draws", F.when(ok, F.col("lo")).alias("lo"), F.when(ok, F.col("hi")).alias("hi"))
+    both = point.join(ci, list(by)) if by else point.join(ci)
+    return both.select(*by, "difference", "n", "n_draws", F.when(ok, F.col("lo")).alias("lo"), F.when(ok, F.col("hi")).alias("hi"))
 
 
 def ratio(clusters: DataFrame, key: str, num: str, den: str, reps: int, by: list[str] = (), per: float = 100.0, tests: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ matrices are as large as the number of features. No set is ever collected.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -74,7 +74,7 @@ def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Problem:
-    """A weighting of choice sets and a penalty: sets of ``group`` (all if None), with fold == / != ``fold`` of ``seed``."""
+    """A weighting of choice sets and a penalty: sets of ``group`` (all if None), with fold == / != ``fold`` of ``seed``, and of these the same with the inner folds."""
 
     l2: float = 0.0
     l1: float = 0.0
@@ -84,6 +84,9 @@ class Problem:
     inside: bool = False
     half: bool = False
     group: str | None = None
+    inner: int = 0
+    inner_fold: int = -1
+    inner_inside: bool = False
 
     def weights(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
         on = np.ones(len(h), dtype=bool) if self.group is None else group == self.group
@@ -92,6 +95,9 @@ class Problem:
         if self.folds:
             at = np.floor(_uniform(h, self.seed) * self.folds).astype(int)
             on = on & ((at == self.fold) == self.inside)
+        if self.inner:
+            at = np.floor(_uniform(h, self.seed + 1000) * self.inner).astype(int)
+            on = on & ((at == self.inner_fold) == self.inner_inside)
         return on.astype(float)
 
 
@@ -298,6 +304,61 @@ def cross_validated(sets: DataFrame, features: list[str], penalties: list[float]
     return out
 
 
+#: The penalties that inner folds choose from.
+PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+def tuned(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), learner: str = "l2", penalties: tuple[float, ...] = PENALTIES, folds: int = 5, inner: int = 3, seeds: tuple[int, ...] = (0, 1, 2)) -> dict:
+    """The fits of each group, seed and fold without that fold's sets, as held-out ``problems`` and ``beta``.
+
+    ``learner`` is clogit (no penalty), l2 or l1. A penalty is the one with the best mean
+    log-likelihood over inner folds of the training sets. All are solved together.
+    """
+    k = len(features)
+    sets = cut(sets)
+    mean, sd = moments_by(sets, k)
+    train = [Problem(seed=s, folds=folds, fold=f, group=g) for g in sorted(mean) for s in seeds for f in range(folds)]
+    out = {"sets": sets, "mean": mean, "sd": sd, "features": features, "problems": [], "beta": np.zeros((0, k))}
+    if not train:
+        return out
+    if learner != "clogit":
+        tries = [replace(q, **{learner: p}, inner=inner, inner_fold=i) for q in train for p in penalties for i in range(inner)]
+        beta, _ = solve(sets, k, tries, mean, sd, free)
+        held = evaluate(sets, k, [replace(q, inner_inside=True) for q in tries], beta, mean, sd)
+        ll = np.where(held.n > 0, held.ll / np.maximum(held.n, 1), np.nan).reshape(len(train), len(penalties), inner)
+        n = (~np.isnan(ll)).sum(2)
+        score = np.where(n > 0, np.nansum(ll, 2) / np.maximum(n, 1), -np.inf)
+        train = [replace(q, **{learner: penalties[int(np.argmax(v))]}) for q, v in zip(train, score)]
+    beta, _ = solve(sets, k, train, mean, sd, free)
+    return out | {"problems": [replace(q, inside=True) for q in train], "beta": beta}
+
+
+def held_out(fit: dict, permute: int | None = None) -> Sums:
+    """The sums of each held-out problem of :func:`tuned`."""
+    return evaluate(fit["sets"], len(fit["features"]), fit["problems"], fit["beta"], fit["mean"], fit["sd"], permute=permute)
+
+
+def held_out_scores(fit: dict) -> DataFrame:
+    """group, key and mean held-out log-likelihood for each choice of every set, averaged over seeds."""
+    k, problems, beta, mean, sd = len(fit["features"]), fit["problems"], fit["beta"], fit["mean"], fit["sd"]
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            hashes, groups = pdf["h"].to_numpy(), pdf["group"].to_numpy()
+            w = np.stack([q.weights(hashes, groups) for q in problems])
+            out = []
+            for j, (g, key, x, n) in enumerate(zip(groups, pdf["key"], pdf["x"], pdf["n"])):
+                v = ((np.asarray(x, float).reshape(-1, k) - mean[g]) / sd[g]) @ beta[w[:, j] > 0].T
+                v -= v.max(axis=0)
+                c = np.asarray(n, float)
+                out.append((g, key, float((c @ np.maximum(v - np.log(np.exp(v).sum(axis=0)), np.log(1e-12)) / c.sum()).mean())))
+            yield pd.DataFrame(out, columns=["group", "key", "ll"])
+
+    if not problems:
+        return fit["sets"].select("group", "key", F.lit(0.0).alias("ll"))
+    return fit["sets"].select("group", "key", "h", "x", "n").mapInPandas(scan, "group string, key string, ll double")
+
+
 def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int, ...] = (), samples: int = 50, tries: int = 12) -> list[tuple]:
     """(group, feature, how often a lasso on half of the sets keeps it, lambda).
 
@@ -325,14 +386,18 @@ def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int
     return [(g, f, float((beta[j * samples : (j + 1) * samples, i] != 0).mean()), lam[g]) for j, g in enumerate(lam) for i, f in enumerate(features)]
 
 
-def permutation_importance(fits: dict[str, dict]) -> list[tuple]:
-    """(group, feature, loss of mean log-likelihood when it is permuted within sets) of all fits."""
-    out = []
-    for g, fit in fits.items():
-        base = fit["sums"].ll[0] / fit["sums"].n[0]
-        for i, f in enumerate(fit["features"]):
-            s = evaluate(fit["sets"], len(fit["features"]), [Problem()], fit["beta"][None], fit["mean"], fit["sd"], permute=i)
-            out.append((g, f, float(base - s.ll[0] / s.n[0])))
+def permutation_importance(fit: dict) -> list[tuple]:
+    """(group, feature, loss of held-out mean log-likelihood when it is permuted within sets, share of folds with a loss).
+
+    ``fit`` is from :func:`tuned`; losses are means over folds and seeds.
+    """
+    base, out = held_out(fit), []
+    for i, f in enumerate(fit["features"]):
+        s = held_out(fit, permute=i)
+        for g in sorted(fit["mean"]):
+            at = [j for j, q in enumerate(fit["problems"]) if q.group == g and base.n[j] > 0]
+            loss = (base.ll[at] - s.ll[at]) / base.n[at]
+            out.append((g, f, float(loss.mean()), float((loss > 0).mean())))
     return out
 
 
@@ -351,23 +416,6 @@ def iia(full: dict, restricted: dict) -> tuple[float, int, float | None, str]:
     return stat, len(shared), p, "rejected" if p < 0.05 else "no evidence against"
 
 
-def set_scores(fit: dict) -> DataFrame:
-    """key and mean log-likelihood for each choice of every set, for paired bootstraps."""
-    k, b, mean, sd = len(fit["features"]), fit["beta"], fit["mean"], fit["sd"]
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for key, x, n in zip(pdf["key"], pdf["x"], pdf["n"]):
-                v = ((np.asarray(x, float).reshape(-1, k) - mean) / sd) @ b
-                v -= v.max()
-                c = np.asarray(n, float)
-                out.append((key, float(c @ (v - np.log(np.exp(v).sum())) / c.sum())))
-            yield pd.DataFrame(out, columns=["key", "ll"])
-
-    return fit["sets"].select("key", "x", "n").mapInPandas(scan, "key string, ll double")
-
-
 def binary_logit(rows: DataFrame, features: list[str], label: str, c: float = 1.0, positive_weight: float = 1.0):
     """A ridge logit by MLlib with regParam 1 / (C sum of weights), unstandardised."""
     from pyspark.ml.classification import LogisticRegression

@@ -58,6 +58,7 @@ def fits(spark, d, cols=None, circle=True):
 
 
 FULL = A + BB + ["is_circle_option"]
+BLOCKS = {"A": A, "B": BB, "both": A + BB}
 
 
 @query("M08_features", f""", pt as (select game_id, lower(trim(player)) as k, count(*) as n, {', '.join(f"count_if(list_contains(labels, '{k}')) as c{i}" for i, k in enumerate(LABELS))} from line where player is not null group by all)
@@ -103,7 +104,8 @@ def m15(spark, d):
 
 @query("M14_permutation")
 def m14(spark, d):
-    return spark.createDataFrame(C.permutation_importance(fits(spark, d)), "model_name string, feature string, loss double")
+    fit = C.tuned(sets(spark, d, FULL), FULL, (len(FULL) - 1,))
+    return spark.createDataFrame(C.permutation_importance(fit), "model_name string, feature string, loss double, share_positive double")
 
 
 @query("M16_odds_ratios")
@@ -123,13 +125,17 @@ def m18(spark, d):
 
 @query("M19_block_bootstrap")
 def m19(spark, d):
-    a, b = fits(spark, d, A + ["is_circle_option"]), fits(spark, d)
+    """Held-out log-likelihood of one block less that of another, games resampled."""
+    score = {}
+    for name, cols in BLOCKS.items():
+        full = [*cols, "is_circle_option"]
+        score[name] = cut(C.held_out_scores(C.tuned(sets(spark, d, full), full, (len(cols),))))
     out = None
-    for m in b:
-        x = C.set_scores(a[m]).withColumnRenamed("ll", "lb").join(C.set_scores(b[m]).withColumnRenamed("ll", "la"), "key")
-        one = B.paired(cut(x), "key", "la", "lb", 200).select(F.lit(m).alias("model_name"), "*")
+    for a, b in (("A", "B"), ("B", "both"), ("A", "both")):
+        x = score[b].withColumnRenamed("ll", "la").join(score[a].withColumnRenamed("ll", "lb"), ["group", "key"])
+        one = x.select(F.col("group").alias("model_name"), F.lit(f"{b} - {a}").alias("comparison"), "key", "la", "lb")
         out = one if out is None else out.unionByName(one)
-    return out
+    return B.paired(cut(out), "key", "la", "lb", 2000, by=["model_name", "comparison"])
 
 
 @query("M20_iia")

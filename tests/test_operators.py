@@ -191,6 +191,20 @@ def test_groups_are_fitted_apart_in_one_pass(spark):
         assert np.abs(got[m]["beta"] - alone["beta"]).max() < 1e-5 and got[m]["sums"].n[0] == alone["sums"].n[0]
 
 
+def test_scores_are_held_out(spark):
+    df, cols = _simulated(spark, 40, np.array([0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), seed=8)
+    x = C.choice_sets(df, ["g"], "a", "n", cols)
+    inside = C.fitted(x, cols)["sums"]
+    fit = C.tuned(x, cols, learner="clogit", seeds=(0, 1))
+    got = {r["key"]: r["ll"] for r in C.held_out_scores(fit).collect()}
+    held = C.held_out(fit)
+    # Each set is scored once for each seed, under a fit that has not seen it: noise does not help.
+    assert len(got) == 40 and held.n.sum() == 2 * inside.n[0] and held.ll.sum() / held.n.sum() < inside.null[0] / inside.n[0] < inside.ll[0] / inside.n[0]
+    assert np.mean(list(got.values())) == pytest.approx(held.ll.sum() / held.n.sum(), abs=1e-9)
+    loss = C.permutation_importance(C.tuned(x, cols, penalties=(0.1, 10.0), folds=3, inner=2, seeds=(0,)))
+    assert len(loss) == 6 and all(0 <= r[3] <= 1 for r in loss)
+
+
 def test_model_queries_cover_every_model(spark, monkeypatch):
     import palaver.plans.model_queries as Q
 
