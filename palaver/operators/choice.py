@@ -338,6 +338,18 @@ def held_out(fit: dict, permute: int | None = None) -> Sums:
     return evaluate(fit["sets"], len(fit["features"]), fit["problems"], fit["beta"], fit["mean"], fit["sd"], permute=permute)
 
 
+def tuned_metrics(fit: dict) -> list[tuple]:
+    """(group, mean held-out log-likelihood, its deviation, hit rate, its deviation, pseudo R squared) over folds and seeds of :func:`tuned`."""
+    if not fit["problems"]:
+        return []
+    s, out = held_out(fit), []
+    for g in sorted(fit["mean"]):
+        at = [j for j, q in enumerate(fit["problems"]) if q.group == g and s.n[j] > 0]
+        ll, hit, r2 = s.ll[at] / s.n[at], s.hits[at] / s.n[at], 1 - s.ll[at] / s.null[at]
+        out.append((g, float(ll.mean()), float(ll.std()), float(hit.mean()), float(hit.std()), float(r2.mean())))
+    return out
+
+
 def held_out_scores(fit: dict) -> DataFrame:
     """group, key and mean held-out log-likelihood for each choice of every set, averaged over seeds."""
     k, problems, beta, mean, sd = len(fit["features"]), fit["problems"], fit["beta"], fit["mean"], fit["sd"]
@@ -363,7 +375,7 @@ def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int
     """(group, feature, how often a lasso on half of the sets keeps it, lambda).
 
     A group's penalty keeps about ``target`` features on all of its sets, bisected on a log scale;
-    then all half samples of all groups are solved together.
+    then all half samples of all groups are solved together at that penalty.
     """
     k = len(features)
     sets = cut(sets)
@@ -382,7 +394,7 @@ def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int
         if all(hi / lo < 1.05 for lo, hi in ends.values()):
             break
     lam = {g: float(np.sqrt(lo * hi)) for g, (lo, hi) in ends.items()}
-    beta, _ = solve(sets, k, [Problem(l1=v / 2, seed=100 + i, half=True, group=g) for g, v in lam.items() for i in range(samples)], mean, sd, free)
+    beta, _ = solve(sets, k, [Problem(l1=v, seed=100 + i, half=True, group=g) for g, v in lam.items() for i in range(samples)], mean, sd, free)
     return [(g, f, float((beta[j * samples : (j + 1) * samples, i] != 0).mean()), lam[g]) for j, g in enumerate(lam) for i, f in enumerate(features)]
 
 

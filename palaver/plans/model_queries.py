@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palaver.functions.keys import hash_rank
 from palaver.operators import bootstrap as B
 from palaver.operators import choice as C
 from palaver.operators.joins import summed_by_name
@@ -90,16 +91,35 @@ def m11(spark, d):
 
 @query("M12_cross_validation")
 def m12(spark, d):
-    return spark.createDataFrame(C.cross_validated(sets(spark, d, FULL), FULL, [0.1, 1.0, 10.0], (len(FULL) - 1,)), "model_name string, penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
+    """Every penalty by itself, and (penalty null) the one chosen in inner folds of each training set."""
+    x = cut(sets(spark, d, FULL))
+    free = (len(FULL) - 1,)
+    rows = C.cross_validated(x, FULL, list(C.PENALTIES), free)
+    rows += [(m, None, ll, sd, hit, r2) for m, ll, sd, hit, _, r2 in C.tuned_metrics(C.tuned(x, FULL, free))]
+    return spark.createDataFrame(rows, "model_name string, penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
+
+
+def rule_hits(b, score: str, draws: int = 25):
+    """Hit rate of voting for the highest ``score`` of each ballot, averaged over random tie-breaks."""
+    x = b.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    best = F.struct(F.col(score).alias("s"), hash_rank(F.col("model_name"), F.col("game_id"), F.col("player"), F.col("draw")).alias("h"))
+    top = x.groupBy("model_name", "game_id", "draw").agg(F.max_by("n", best).alias("hit"), F.sum("n").alias("n")).where("n > 0")
+    return top.groupBy("model_name").agg((F.sum("hit") / F.sum("n")).alias("hit_rate"))
 
 
 @query("M15_grid")
 def m15(spark, d):
+    """Every block and learner, and the rules that vote for the most talkative or most accused player."""
+    b = cut(ballot(spark, d))
     rows = []
-    for name, cols in (("A", A), ("B", BB), ("both", A + BB)):
-        full = cols + ["is_circle_option"]
-        rows += [(name, *r) for r in C.cross_validated(sets(spark, d, full), full, [1.0, 10.0], (len(full) - 1,), seeds=(0,))]
-    return spark.createDataFrame(rows, "block string, model_name string, penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
+    for block, cols in BLOCKS.items():
+        full = [*cols, "is_circle_option"]
+        x = cut(C.choice_sets(b, ["game_id"], "player", "n", full, "model_name"))
+        for learner in ("clogit", "l2", "l1"):
+            rows += [(m, block, learner, *r) for m, *r in C.tuned_metrics(C.tuned(x, full, (len(cols),), learner))]
+    for rule, score in (("most_talkative", "n_utterances"), ("most_accused", "acc_werewolf")):
+        rows += [(r["model_name"], rule, "rule", None, None, float(r["hit_rate"]), None, None) for r in rule_hits(b, score).collect()]
+    return spark.createDataFrame(rows, "model_name string, block string, learner string, mean_ll double, sd_ll double, hit_rate double, sd_hit double, pseudo_r2 double")
 
 
 @query("M14_permutation")
@@ -120,7 +140,7 @@ def m17(spark, d):
 
 @query("M18_stability")
 def m18(spark, d):
-    return spark.createDataFrame(C.stability(sets(spark, d, FULL), FULL, 4, (len(FULL) - 1,), samples=20, tries=4), "model_name string, feature string, frequency double, penalty double")
+    return spark.createDataFrame(C.stability(sets(spark, d, FULL), FULL, 5, (len(FULL) - 1,), samples=200, tries=4), "model_name string, feature string, frequency double, penalty double")
 
 
 @query("M19_block_bootstrap")

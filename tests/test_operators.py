@@ -205,6 +205,13 @@ def test_scores_are_held_out(spark):
     assert len(loss) == 6 and all(0 <= r[3] <= 1 for r in loss)
 
 
+def test_rule_hits_break_ties_at_random(spark):
+    from palaver.plans.model_queries import rule_hits
+
+    b = spark.createDataFrame([("m", f"g{g}", p, s, n) for g in range(40) for p, s, n in (("x", 1.0, 1), ("y", 1.0, 0), ("z", 0.0, 3))], "model_name string, game_id string, player string, s double, n int")
+    assert abs(rule_hits(b, "s").first()["hit_rate"] - 0.125) < 0.02  # x or y, a vote of four for x
+
+
 def test_model_queries_cover_every_model(spark, monkeypatch):
     import palaver.plans.model_queries as Q
 
