@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["A02_label_share", "A16_vote_distribution", "A15_conflict_features", "J10_ballot", "J18_asof_line", "B05_ratio", "H01_chi_square", "X03_alternation", "X17_cycles", "U04_line_sets", "K05_stratified", "p6_found", "F34_vote_errors", "stream_sessions"]
+SOME = ["A02_label_share", "A16_vote_distribution", "A15_conflict_features", "J10_ballot", "J18_asof_line", "B05_ratio", "H01_chi_square", "X03_alternation", "X17_cycles", "U04_line_sets", "p6_subtypes", "K05_stratified", "p6_found", "F34_vote_errors", "stream_sessions"]
 
 
 def _norm(v):

@@ -1,6 +1,6 @@
 """Nested records: positions, nulls, blanks, empties, clashing names."""
 
-from palaver.operators.shred import Level, leaves, shred, subtype, variants
+from palaver.operators.shred import Level, leaves, shred, subtype, subtypes, variants, write_subtypes
 
 SCHEMA = "record_id long, extra string, items array<struct<item_no:int,n:int,relations:array<struct<type:string,accused:array<string>>>>>"
 LEVELS = [Level("items", "items", "item_no"), Level("relations", "relations", "relation_no"), Level("accused", "accused", "accused_no")]
@@ -58,3 +58,26 @@ def test_variants_route_to_subtypes(spark):
     cols = {x: subtype(t["relations"], x, ["record_id", "item_no", "relation_no"]).columns for x in v}
     assert any("type" not in c for c in cols.values()) and any("type" in c for c in cols.values())
     assert sum(subtype(t["relations"], x, ["record_id"]).count() for x in v) == t["relations"].count()
+
+
+def test_states_of_children_reach_the_parent(spark):
+    t = shred(spark.createDataFrame(ROWS, SCHEMA), "record_id", "records", LEVELS)
+    root = {r["record_id"]: (r["variant"], r["class"]) for r in t["records"].collect()}
+    # Record 1: one item with a full and a childless relation (p), null, two childless items (e).
+    assert root == {1: ("{items:[0|e|p]}", "p"), 2: ("{items:0}", "e"), 3: ("{items:[]}", "e"), 4: ("{items:[0]}", "e"), 5: ("{items:[p]}", "p")}
+    items = {(r["record_id"], r["item_no"]): r["variant"] for r in t["items"].collect()}
+    assert items[(1, 1)] == "{item_no:1,n:1,relations:[0|e|f]}" and items[(1, 3)] == "{item_no:1,n:0,relations:0}"
+
+
+def test_subtypes_in_one_pass_equal_each_subtype(spark, tmp_path):
+    t = shred(spark.createDataFrame(ROWS, SCHEMA), "record_id", "records", LEVELS)
+    rows = subtypes(t, "record_id", LEVELS, {"items": ["n"], "relations": ["type"], "accused": ["value"]}).collect()
+    assert len(rows) == sum(x.count() for x in t.values())
+    keys = ["record_id", "item_no", "relation_no"]
+    for v in {r["variant"] for r in rows if r["table_name"] == "relations"}:
+        one = subtype(t["relations"], v, keys)
+        want = {tuple(r[k] for k in keys): r["type"] if "type" in one.columns else None for r in one.collect()}
+        assert want == {tuple(r[k] for k in keys): r["type"] for r in rows if r["table_name"] == "relations" and r["variant"] == v}
+    write_subtypes(t["relations"], str(tmp_path / "relations"))
+    back = spark.read.parquet(str(tmp_path / "relations"))
+    assert back.count() == t["relations"].count() and len(list((tmp_path / "relations").glob("variant=*"))) == back.select("variant").distinct().count()
