@@ -67,8 +67,17 @@ def binomial_two_sided(k: int, n: int) -> float:
     """The exact two-sided test of k of n at one half."""
     if n == 0:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n
-    return min(1.0, 2 * tail)
+    low = min(k, n - k)
+    if n <= 1_000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(low + 1)) / 2**n)
+    # From the largest term down, until what is left adds nothing: some sqrt(n) terms.
+    term = total = math.exp(math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) - n * math.log(2))
+    for i in range(low, 0, -1):
+        term *= i / (n - i + 1)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, 2 * total)
 
 
 def student_sf(t: float, df: float) -> float:

@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from palaver.operators.runs import sorted_groups
 from palaver.session import cut
 
 _TEXTS = {"nodes": ("id", "role", "text"), "edges": ("source", "target", "relation", "grp")}
@@ -49,24 +52,79 @@ def normalised(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return new_nodes, new_edges, repairs.groupBy("graph", "repair").agg(F.sum("n").alias("n"))
 
 
-def cyclic(edges: DataFrame, most_rounds: int = 1_000) -> DataFrame:
-    """Graphs with a cycle (X17), with the number of edges on or between cycles.
-
-    Edges from nodes without incoming edges and into nodes without outgoing edges are peeled off
-    until nothing changes; what is left lies on or between cycles. Rounds are at most the longest
-    path; each works on distinct edges by (graph, node), so a large graph is spread.
+#: Edges of a graph that one task peels by itself; larger graphs are peeled by all tasks together.
+LOCAL_EDGES = 200_000
+
+
+def _peel(key: tuple, rows: list[dict]) -> Iterator[tuple]:
+    """Peels one graph: edges without an edge into their source or out of their target go."""
+    out: dict[str, list[int]] = {}
+    into: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        out.setdefault(r["source"], []).append(i)
+        into.setdefault(r["target"], []).append(i)
+    n_in, n_out = {v: len(x) for v, x in into.items()}, {v: len(x) for v, x in out.items()}
+    here = [True] * len(rows)
+    todo = [v for v in out if v not in into] + [v for v in into if v not in out]
+    while todo:
+        v = todo.pop()
+        for i in (*out.get(v, ()), *into.get(v, ())):
+            if here[i]:
+                here[i] = False
+                s, t = rows[i]["source"], rows[i]["target"]
+                n_out[s] -= 1
+                n_in[t] -= 1
+                if not n_in[t]:
+                    todo.append(t)
+                if not n_out[s]:
+                    todo.append(s)
+    if any(here):
+        yield (*key, sum(here))
+
+
+def _peeled_together(left: DataFrame) -> DataFrame:
+    """(graph, n_edges_left) of large graphs, by rounds over all tasks until nothing changes.
+
+    A round drops edges at open ends, then joins the two edges of a random half of the nodes on
+    plain paths into one that counts for both, so a long path takes rounds in its logarithm.
     """
-    left = cut(edges.select("graph", "source", "target").where("source is not null and target is not null").distinct())
-    count = left.count()
-    for _ in range(most_rounds):
+    left = cut(left.withColumn("w", F.lit(1).cast("long")))
+    turn = 0
+    while True:
+        before = left.count()
         into, out = left.select("graph", F.col("target").alias("source")).distinct(), left.select("graph", F.col("source").alias("target")).distinct()
         less = cut(left.join(into, ["graph", "source"], "left_semi").join(out, ["graph", "target"], "left_semi"))
-        now = less.count()
-        left = less
-        if now == count:
-            break
-        count = now
-    return left.groupBy("graph").agg(F.count("*").alias("n_edges_left"))
+        deg = less.select("graph", F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("target").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("d"))
+        plain = deg.groupBy("graph", F.col("d.node").alias("target")).agg(F.sum("d.i").alias("i"), F.sum("d.o").alias("o")).where("i = 1 and o = 1").select("graph", "target")
+        way = cut(less.join(plain, ["graph", "target"]).where("source <> target").select("graph", F.col("target").alias("mid"), F.col("source").alias("p"), F.col("w").alias("w1")))
+        if less.count() == before and way.isEmpty():
+            return less.groupBy("graph").agg(F.sum("w").alias("n_edges_left"))
+        coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2))  # noqa: E731, B023
+        mid = way.where((coin("mid") == 1) & (coin("p") == 0))
+        joined = less.join(mid.withColumnRenamed("mid", "source"), ["graph", "source"]).select("graph", F.col("p").alias("source"), "target", (F.col("w") + F.col("w1")).alias("w"))
+        rest = less.join(mid.select("graph", F.col("mid").alias("source")), ["graph", "source"], "left_anti").join(mid.select("graph", F.col("mid").alias("target")), ["graph", "target"], "left_anti")
+        left = cut(rest.select("graph", "source", "target", "w").unionByName(joined).groupBy("graph", "source", "target").agg(F.sum("w").alias("w")))
+        turn += 1
+
+
+def cyclic(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """Graphs with a cycle (X17), with the number of distinct edges on or between cycles.
+
+    Edges from nodes without incoming edges and into nodes without outgoing edges are peeled off
+    until nothing changes; what is left lies on or between cycles, whatever the length of paths. A
+    graph of at most ``local`` distinct edges is peeled in one task, larger ones by all tasks
+    together; both are exact. Edges with a null end count for none. No edges give no rows.
+    """
+    e = edges.select("graph", "source", "target").where("source is not null and target is not null").distinct()
+    large = e.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > local).select("graph")
+    kinds = dict(e.dtypes)
+    schema = f"graph {kinds['graph']}, n_edges_left long"
+    if large.isEmpty():
+        return sorted_groups(e, ["graph"], [], _peel, schema)
+    e, large = cut(e), cut(large)
+    same = F.col("graph").eqNullSafe(F.col("g"))
+    small = sorted_groups(e.join(large.withColumnRenamed("graph", "g"), same, "left_anti"), ["graph"], [], _peel, schema)
+    return small.unionByName(_peeled_together(e.join(large.withColumnRenamed("graph", "g"), same, "left_semi")))
 
 
 def expected_groups(edges: DataFrame) -> DataFrame:

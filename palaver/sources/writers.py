@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,17 +56,21 @@ def completed(df: DataFrame, error: str, items: str, expected: str) -> DataFrame
     return df.where(F.col(error).isNull() & F.col(items).isNotNull() & (F.size(F.array_except(F.coalesce(F.col(expected), F.array().cast("array<int>")), got)) == 0))
 
 
-def check_manifest(path: str, signature: dict) -> bool:
+def check_manifest(spark: SparkSession, path: str, signature: dict) -> bool:
     """Writes a run's signature, or compares it with the one that is there.
 
-    True if it was written now, False if it agrees; a different one is an error.
+    True if it was written now, False if it agrees; a different one is an error. Works on any file
+    system that Spark can reach; a signature that is written meanwhile by another run is an error.
     """
-    p = Path(path)
-    if not p.exists():
-        p.parent.mkdir(parents=True, exist_ok=True)
-        p.write_text(json.dumps(signature, sort_keys=True, indent=1))
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(signature, sort_keys=True, indent=1).encode()))
+        out.close()
         return True
-    old = json.loads(p.read_text())
+    old = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     if old != signature:
         raise ValueError(f"another run's manifest: {sorted(k for k in {*old, *signature} if old.get(k) != signature.get(k))} differ")
     return False
@@ -84,5 +87,8 @@ def latex(df: DataFrame, columns: list[str], most: int = 1_000) -> str:
 
 
 def examples_text(df: DataFrame, title: str, body: str, most: int = 1_000) -> str:
-    """Titled examples as plain text."""
-    return "\n\n".join(f"== {r[0]}\n{r[1]}" for r in df.select(title, body).limit(most).collect())
+    """Titled examples as plain text (S22); more than ``most`` rows are an error."""
+    rows = df.select(title, body).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return "\n\n".join(f"== {r[0]}\n{r[1]}" for r in rows)

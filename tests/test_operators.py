@@ -243,3 +243,25 @@ def test_graphs(spark):
     nodes, edges, repairs = G.normalised(n, e)
     assert {r["id"] for r in nodes.where("graph = 'c'").collect()} == {"n1", "n2", "n3"}
     assert {(r["graph"], r["repair"]) for r in repairs.collect()} >= {("c", "outer_whitespace_trimmed"), ("t", "exact_duplicate_node_removed"), ("t", "exact_duplicate_edge_removed")}
+
+
+def test_cycles_are_exact_on_long_chains_and_large_graphs(spark):
+    chain = [("chain", f"v{i}", f"v{i + 1}") for i in range(5_000)]
+    loop = [("loop", f"v{i}", f"v{(i + 1) % 700}") for i in range(700)] + [("loop", "v3", "out"), ("loop", "in", "v5")]
+    e = spark.createDataFrame(chain + loop, "graph string, source string, target string")
+    assert {r["graph"]: r["n_edges_left"] for r in G.cyclic(e).collect()} == {"loop": 700}
+    small = [("chain", f"v{i}", f"v{i + 1}") for i in range(24)]
+    tied = [("tied", *x) for x in ("ab", "bc", "ca", "cd", "de", "ef", "fd", "xa", "fy")] + [("self", "z", "z"), ("self", "z", "w")]
+    f = spark.createDataFrame(small + tied, "graph string, source string, target string")
+    want = {r["graph"]: r["n_edges_left"] for r in G.cyclic(f).collect()}
+    assert want == {"tied": 7, "self": 1}  # the edge between the two cycles counts
+    assert {r["graph"]: r["n_edges_left"] for r in G.cyclic(f, local=3).collect()} == want
+
+
+def test_large_exact_binomials():
+    from palaver.functions.mathx import binomial_two_sided
+
+    exact = lambda k, n: min(1.0, 2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)
+    for k, n in ((0, 1001), (450, 1001), (990, 2000), (1500, 3000), (100, 3000)):
+        assert math.isclose(binomial_two_sided(k, n), exact(k, n), rel_tol=1e-9)
+    assert 0 < binomial_two_sided(499_990_000, 1_000_000_000) < 1

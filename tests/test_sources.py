@@ -56,9 +56,9 @@ def test_owned_directory_and_manifest(spark, tmp_path):
     Wr.write_tables({"a": df, "b": df}, root)
     assert Wr.write_tables({"a": df}, root) == ["b"] and spark.read.parquet(f"{root}/a").count() == 3
     m = str(tmp_path / "m/manifest.json")
-    assert Wr.check_manifest(m, {"x": 1}) and not Wr.check_manifest(m, {"x": 1})
+    assert Wr.check_manifest(spark, m, {"x": 1}) and not Wr.check_manifest(spark, m, {"x": 1})
     with pytest.raises(ValueError):
-        Wr.check_manifest(m, {"x": 2})
+        Wr.check_manifest(spark, m, {"x": 2})
 
 
 def test_latex(spark):
