@@ -149,12 +149,59 @@ def test_isotonic_is_monotone_and_least_squares():
 
 
 def test_own_counts_are_taken_out():
-    cut = R.Ngrams()
-    keys, _ = cut("A rare phrase indeed. Another one.")
-    t = np.zeros((R._TABLES, R.BUCKETS), dtype=np.int32)
+    cutter = R.Ngrams(1 << 16)
+    text = "A rare phrase indeed. Another one. A rare phrase indeed."
+    keys = cutter([text]).keys
+    t = np.zeros((R._TABLES, 1 << 16, 3), dtype=np.int32)
     for k in range(R._TABLES):
-        np.add.at(t[k], keys[k], 1)
-    model = np.stack([t, np.zeros_like(t), np.zeros_like(t)])
-    own = R.grade_of(model, cut, "A rare phrase indeed. Another one.", [0])
-    none = R.grade_of(np.zeros_like(model), cut, "A rare phrase indeed. Another one.")
-    assert own[0] == pytest.approx(none[0], abs=1e-9)
+        np.add.at(t[k, :, 0], keys[k], 2)
+    own = R.summaries(t, cutter, [text, "x"], [[0, 0], [1]])
+    none = R.summaries(np.zeros_like(t), cutter, [text, "x"])
+    assert own[0].tolist() == [0, 1] and own[1][0] == pytest.approx(none[1][0], abs=1e-6)
+
+
+def test_tokens_equal_a_plain_reading():
+    import re
+
+    texts = ["The Seer Ann spoke. She saw NOTHING at all!\n- one, two; 3 cards…  And Übung\r\nTHE END OF BOB.", "", " ?! ", None, "naïve don't x2y 12:30 \u0130stanbul 𝔸b 😀.", "No stop", "A.b C. d"]
+
+    def plain(text):
+        out = []
+        for s in re.split(r"(?<=[.!?…])\s+|[\r\n]+", text or ""):
+            words = re.findall(r"[^\W\d_]+|\d+|[.,;:!?]", s)
+            if any(w[0].isalnum() for w in words):
+                out.append(["N" if i and s.upper() != s and w[0].isupper() else "".join(c.lower()[0] for c in w) for i, w in enumerate(words)])
+        return out
+
+    cutter = R.Ngrams(1 << 30)
+    got, names = [], {}
+    for which, part in R.sliced(texts, 30):
+        t = cutter(part)
+        for d, at, n in zip(t.doc, t.starts, t.lengths):
+            got.append((which[d], t.keys[0][at : at + n - 1].tolist()))
+    want = [(i, s) for i, t in enumerate(texts) for s in plain(t)]
+    assert [(i, len(s)) for i, s in got] == [(i, len(s)) for i, s in want]
+    for (_, hashes), (_, words) in zip(got, want):
+        for h, w in zip(hashes, words):
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_parts_of_a_text_are_as_the_whole():
+    rng = np.random.default_rng(0)
+    t = rng.integers(0, 5, (R._TABLES, 1 << 16, 3)).astype(np.int32)
+    texts = [d[1] for d in _docs(3, 30)] + ["", None]
+    cutter = R.Ngrams(1 << 16)
+    whole = R.summaries(t, cutter, texts)
+    for x, y in zip(R.sentences(t, cutter(texts[:1])), np.concatenate([R.sentences(t, cutter(p)) for _, p in R.sliced(texts[:1], 50)])):
+        assert x == pytest.approx(y)
+    assert whole[1].shape == (30, 2)
+
+
+def test_quantiles_by_group():
+    rng = np.random.default_rng(0)
+    doc, x = rng.integers(0, 6, 200), rng.random(200)
+    doc[doc == 4] = 5
+    for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = R.quantile_by(doc, x, q, 6)
+        assert np.isnan(got[4]) and all(got[g] == pytest.approx(np.quantile(x[doc == g], q)) for g in (0, 1, 2, 3, 5))
