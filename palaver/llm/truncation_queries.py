@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import truncation as t
-from palaver.session import cut
 from palaver.tables import table
 
 
 def _ends(spark: SparkSession, d: str) -> DataFrame:
     cap = F.col("debug_info.output_token_count") >= F.col("max_new_tokens")
-    return cut(t.endings(t.values(
+    return t.endings(t.values(
         ("vote_results", table(spark, d, "vote_results"), "result_id", "source", "raw_response", cap, None),
         ("prelim_results", table(spark, d, "prelim_results"), "prelim_id", "model_name", "raw_response", cap, F.col("question")),
         ("vote_file_level", table(spark, d, "vote_file_level"), "file_row_id", "source", "justification", None, None),
-    )))
+    ))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -36,16 +36,40 @@ def test_prose_endings(spark):
     assert 903 not in p and 904 not in p
 
 
-def test_limit_is_found_and_censoring_fitted(spark):
+ENDS = "table_name string, row_id long, grp string, n_chars long, at_cap boolean, sign int"
+
+
+@pytest.mark.parametrize("limit", [300, 8192, 65_535])
+def test_limit_is_found_and_censoring_fitted(spark, limit):
     rng = np.random.default_rng(0)
-    full = np.exp(rng.normal(5.5, 0.5, 3000))
-    limit = 300
+    full = np.exp(rng.normal(math.log(limit) - 0.2, 0.5, 3000))
     lengths, cut = np.minimum(full, limit).astype(int), full > limit
     mu, sd = T.fit_censored(*map(np.array, zip(*[(x, (~cut & (lengths == x)).sum(), (cut & (lengths == x)).sum()) for x in np.unique(lengths)])))
-    assert abs(mu - 5.5) < 0.03 and abs(sd - 0.5) < 0.03
-    ends = spark.createDataFrame([("t", i, "s", int(n), False, 9.0 if c else -9.0, "json") for i, (n, c) in enumerate(zip(lengths, cut))], "table_name string, row_id long, grp string, n_chars long, at_cap boolean, log_lr double, kind string")
-    f = T.fits(ends).where("bin is not null").collect()
-    assert [r["bin"] for r in f] == [limit] and f[0]["prior"] > 0.95
+    assert abs(mu - math.log(limit) + 0.2) < 0.03 and abs(sd - 0.5) < 0.03
+    ends = spark.createDataFrame([("t", i, "s", int(n), False, T._AT["open" if c else "closed"]) for i, (n, c) in enumerate(zip(lengths, cut))], ENDS)
+    f = T.fits(ends).collect()
+    assert [r["bin"] for r in f if r["bin"]] == [limit] and f[1]["prior"] > 0.95
+    assert abs(f[0]["mu"] - mu) < 0.05 and f[0]["n_cut"] == pytest.approx(cut.sum(), abs=2)
+
+
+def test_limit_decides_an_ambiguous_ending(spark):
+    rng = np.random.default_rng(1)
+    full = np.exp(rng.normal(5.2, 0.5, 4000)).astype(int)
+    limit = 250
+    rows = [("t", i, "s", int(min(n, limit)), False, T._AT["stop" if n <= limit else "torn_word"]) for i, n in enumerate(full)]
+    rows += [("t", 10_000, "s", limit, False, T._AT["even"]), ("t", 10_001, "s", limit - 13, False, T._AT["even"]), ("t", 10_002, "s", limit, False, T._AT["stop"]), ("t", 10_003, "s", limit, False, T._AT["usual"])]
+    # Another source without the limit: the same ending at the same length is whole there.
+    rows += [("t", 20_000 + i, "o", int(n), False, T._AT["stop"]) for i, n in enumerate(full)] + [("t", 10_004, "o", limit, False, T._AT["even"])]
+    p = {r["row_id"]: r for r in T.posteriors(spark.createDataFrame(rows, ENDS)).where("row_id between 10000 and 10004").collect()}
+    assert {i: r["posterior"] > 0.5 for i, r in p.items()} == {10_000: True, 10_001: False, 10_002: False, 10_003: False, 10_004: False}
+    assert p[10_000]["prior"] > 0.9 > 0.1 > p[10_001]["prior"]
+
+
+def test_token_cap_is_a_limit(spark):
+    rows = [("t", i, "s", 200 + i % 40, i % 5 == 0, T._AT["torn_word" if i % 5 == 0 and i % 10 else "stop"]) for i in range(2000)]
+    rows += [("t", 9000, "s", 215, True, T._AT["even"]), ("t", 9001, "s", 215, False, T._AT["even"])]
+    p = {r["row_id"]: r["posterior"] for r in T.posteriors(spark.createDataFrame(rows, ENDS)).where("row_id >= 9000").collect()}
+    assert p[9000] > 0.5 > p[9001]
 
 
 def test_bins_are_bounded(spark):
