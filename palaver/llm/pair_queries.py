@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from palaver.llm import pairs as p
 from palaver.llm import truncation as t
-from palaver.session import cut
 from palaver.tables import first_delivery, table
 
 
@@ -15,12 +14,12 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     rows = first_delivery(table(spark, d, "prelim_results"), ["prelim_id"], "created_at", ["question", "raw_response", "max_new_tokens", "debug_info", "model_name"])
     cap = F.col("debug_info.output_token_count") >= F.col("max_new_tokens")
     ends = t.posteriors(t.endings(t.values(("prelim_results", rows, "prelim_id", "model_name", "raw_response", cap, F.col("question")))))
-    got = rows.join(ends.select(F.col("row_id").alias("prelim_id"), F.col("log_lr").alias("cut_lr"), F.col("posterior").alias("cut_p")), "prelim_id", "left")
-    return p.judged(got.select(F.col("prelim_id").alias("row_id"), "question", F.col("raw_response").alias("raw"), "cut_lr", "cut_p", cap.alias("at_cap")))
+    got = rows.join(ends.select(F.col("row_id").alias("prelim_id"), F.col("log_lr").alias("cut_lr"), F.col("prior").alias("cut_prior")), "prelim_id", "left")
+    return p.judged(got.select(F.col("prelim_id").alias("row_id"), "question", F.col("raw_response").alias("raw"), "cut_lr", "cut_prior", cap.alias("at_cap")), table(spark, d, "documents"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every defective pair of ``prelim_results`` with its likeliest defect."""
+    """Every defective pair of ``prelim_results`` with one defect, in the order of ``pairs.DEFECTS``."""
     return p.worst(p.defects(_judged(spark, d))).select(F.col("row_id").alias("prelim_id"), "defect")
 
 
