@@ -37,7 +37,7 @@ _NOTHING = {"", "null", "none", "n/a", "na", "nan", "nil", "see above", "unknown
 
 # Function words of a speaker and of denial in four languages.
 _SELF = set("i i'm i'd i'll i've me my myself ich mich mir mein meine je j moi mon mes yo mí mi puedo debo quiero".split())
-_DENY = set("not no nothing never cannot can't won't don't unable nicht nichts kein keine niemanden ne n pas rien no nada nunca".split())
+_DENY = set("not no nothing never cannot can't won't don't unable decline refuse refrain nicht nichts kein keine niemanden ne n pas rien no nada nunca".split())
 _FRAME = re.compile(r"^\W*(?:(?:the )?question(?: is| was)?|you asked(?: me)?|asked|q\d*|die frage(?: ist| lautet)?|du fragst|frage|la question(?: est)?|vous demandez|question|la pregunta(?: es)?|pregunta|preguntas)\s*:", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -223,14 +223,17 @@ class Voter:
         if not p.words or not (p.body or not p.hollow):
             return [0, 0, -1, 0, 0]
         asked = set(p.asked)
-        per = [float(self.weights[features(s, asked)].sum()) for s in p.sentences]
+        own = [self.weights[features(s, asked)] for s in p.sentences]
+        # A feature that no labelled pair has weighs exactly nothing; words that are mostly so tell nothing.
+        known = sum(int((w != 0).sum()) for w in own) >= 0.5 * sum(map(len, own))
+        per = [float(w.sum()) for w in own]
         score = self.prior + sum(per)
         bad = sum(x + self.prior > 0 for x in per)
         said = [{y for w in map(str.lower, _WORD.findall(s)) for y in (w, *re.split("['’]", w))} for s in p.sentences]
         declines = sum(bool(w & _SELF and w & _DENY) for w in said)
         shared = sum(w in asked for w in p.words if len(w) > 4)
         return [
-            int(score > 0) if abs(score) > 1 else -1, 1 if bad == len(per) else 0 if not bad else -1,
+            int(score > 0) if known and abs(score) > 1 else -1, -1 if not known else 1 if bad == len(per) else 0 if not bad else -1,
             int(p.hollow and covered(p.words, p.asked) <= 0.6) if p.answer is not None and p.body else -1,
             1 if 2 * declines >= len(said) else -1, 0 if shared > 2 else -1,
         ]
