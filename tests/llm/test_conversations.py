@@ -74,7 +74,35 @@ def test_nulls_and_empty_table(spark):
 
 
 def test_kahn_reveals_cycles_and_roots():
-    row = lambda t, s: {"turn": t, "sent_at": s, "message_id": s, "speaker": "a", "says": True, "ahead": False, "to_all": True, "wording": 1, "request": None, "addressee": None}
+    row = lambda t, s: {"turn": t, "sent_at": s, "message_id": s, "speaker": "a", "says": True, "ahead": False, "to_all": True, "wording": 1, "same": s, "spoken": True, "addressee": None}
     out = list(C._kahn(("e", 0), [row(1, 1), row(2, 3), row(2, 2), row(3, 4)]))
     assert [o[4] for o in out] == [False, True, True, True]
     assert {o[5] for o in C._kahn(("e", 0), [row(1, 1), row(3, 2)])} == {2}
+
+
+def test_verdicts_do_not_hang_on_the_number_of_conversations(spark):
+    blank, hole = _episode("blank", replies=("I saw it.", "...")), _episode("hole")
+    del hole[3]
+    some = [*_common()[:3], blank, hole, _episode("odd", replies=("Yes.", "No."))]
+    some[-1][0][3] = "A wording that nobody else uses opens this."
+    few, df = _run(spark, some)
+    copies = [[[f"{r[0]}#{k}", *r[1:]] for r in ep] for k in range(10) for ep in some]
+    many, _ = _run(spark, copies)
+    assert {k.split("#")[0]: v for k, v in many.items()} == few and len(many) == 10 * len(few)
+    assert few["odd"] is None and few["blank"] == "missing_reply" and few["hole"] == "broken"
+    # The way for very many wordings gives the same.
+    order = C.ordered(C.messages(df))
+    assert {r["episode_id"]: r["reason"] for r in C.verdicts(order, most=0).collect()} == few
+
+
+def test_messages_without_turn_or_id_are_kept(spark):
+    ep = _common()
+    ep[0].append(["ok0", "player1", None, "Said at no turn.", "all"])
+    ep[0].append(["ok0", "player2", None, "Said too.", "all"])
+    _, df = _run(spark, ep)
+    from pyspark.sql import functions as F
+
+    df = df.withColumn("message_id", F.when(F.col("turn") != 2, F.col("message_id")))
+    rows = C.conversations(df).where("episode_id = 'ok0'").collect()
+    assert sorted(r["content"] for r in rows if r["position"] is None) == ["Said at no turn.", "Said too."]
+    assert {r["position"]: r["content"] for r in rows}[3] == "I saw it." and len(rows) == 8
