@@ -1,22 +1,28 @@
 """Transcript lines into clean, ordered speaker turns.
 
 Labels are resolved once for each distinct (game, label). Lines are then ordered by a precedence
-graph: the record number gives the strong edges, the clock the weak ones; a clock edge against the
-dialogue order is in conflict and dropped, and Kahn's algorithm orders what remains. Lines without a
-name are cued to the line before. Games are ordered in blocks of record numbers, and only the runs
-that touch a block's ends are joined across blocks, so a very long game is no single task.
+graph with edges of three weights: dialogue order (record numbers) is the strongest, then the cue
+that ties a line without a name to the line before, then the clock, which leads from each timed line
+to the next later one. Kahn's algorithm orders the graph; where a cycle
+stops it, the cycle's weakest edge is dropped and counts as a conflict of the turn it led to. Games
+are ordered in blocks of record numbers, and only the runs that touch a block's ends are joined
+across blocks, so a very long game is no single task.
+
+A sound note is bracketed text of at most 80 characters, a label inside an utterance has at most 40;
+longer ones are speech.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palaver.operators.runs import sorted_groups
+from palaver.session import cut
 from palaver.tables import first_delivery
 
 BLOCK = 2048
@@ -99,62 +105,107 @@ def resolved(labels: DataFrame, rosters: DataFrame) -> DataFrame:
     return x.select("game_id", "label", F.trim(name).alias("name"), (F.size(exact) > 0).alias("is_exact"), (is_voice | seat.isNotNull() | (F.size(begins) == 1) | close | (F.size(exact) > 0)).alias("is_known"))
 
 
-def _blocks(key: tuple, rows: list[dict]) -> Iterator[tuple]:
-    """Orders a block by its precedence graph and yields its runs; ``edge`` marks those at its ends."""
-    n = len(rows)
-    after: list[list[int]] = [[] for _ in rows]
-    waits = [0] * n
+ORDER, CUE, CLOCK = 3, 2, 1
+
+
+def precedence(rows: list[dict]) -> dict[tuple[int, int], int]:
+    """Edges (earlier, later) with their weights, of lines sorted by record number and line id."""
+    edges: dict[tuple[int, int], int] = {}
+    timed = sorted((r["clock"], r["rec_id"], r["line_id"], i) for i, r in enumerate(rows) if r["clock"] is not None)
+    for a, b in zip(timed, timed[1:]):
+        if a[0] < b[0]:
+            edges[a[3], b[3]] = CLOCK
+    for i, r in enumerate(rows):
+        if i and r["name"] is None:
+            edges[i - 1, i] = CUE
     groups: list[list[int]] = []
     for i, r in enumerate(rows):
         if groups and rows[groups[-1][0]]["rec_id"] == r["rec_id"]:
             groups[-1].append(i)
         else:
             groups.append([i])
-    edges = set()
-    for a, b in zip(groups, groups[1:]):  # dialogue order
-        edges.update((i, j) for i in a[-1:] for j in b)
-        edges.update((i, j) for i in a[:-1] for j in b[:1])
-    for g in groups:  # within one number the clock decides
-        timed = sorted((rows[i]["clock"], rows[i]["line_id"], i) for i in g if rows[i]["clock"] is not None)
-        edges.update((x[2], y[2]) for x, y in zip(timed, timed[1:]) if x[0] < y[0])
-    conflicts, top = 0, None
-    for r in rows:  # a clock that steps back is an edge against the dialogue order: dropped
-        if r["clock"] is not None:
-            conflicts += top is not None and r["clock"] < top
-            top = r["clock"] if top is None else max(top, r["clock"])
-    for i, j in edges:
+    for a, b in zip(groups, groups[1:]):
+        for i, j in (*((i, j) for i in a[-1:] for j in b), *((i, j) for i in a[:-1] for j in b[:1])):
+            edges[i, j] = ORDER
+    return edges
+
+
+def topological(n: int, edges: dict[tuple[int, int], int], rank: Callable[[int], tuple]) -> tuple[list[int], dict[int, int]]:
+    """(order, edges dropped by the node they led to) by Kahn's algorithm that drops the weakest edge of each cycle.
+
+    Where it stops, a walk back along the heaviest blocking edges, from the first line that waits,
+    ends in a cycle; of its edges the weakest goes.
+    """
+    after: list[list[int]] = [[] for _ in range(n)]
+    before: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    waits = [0] * n
+    for (i, j), w in sorted(edges.items(), key=lambda e: (e[1], e[0])):
         after[i].append(j)
+        before[j].append((w, i))
         waits[j] += 1
-    rank = lambda i: (rows[i]["rec_id"], rows[i]["line_id"], i)
     ready = [rank(i) for i in range(n) if not waits[i]]
     heapq.heapify(ready)
-    runs: list[list] = []
-    while ready:
+    placed, gone, order, dropped = [False] * n, set(), [], {}
+    low = 0
+    while len(order) < n:
+        while not ready:
+            while placed[low]:
+                low += 1
+            path, at = [low], {low: 0}
+            while True:
+                j = path[-1]
+                while placed[before[j][-1][1]] or (before[j][-1][1], j) in gone:
+                    before[j].pop()
+                i = before[j][-1][1]
+                if i in at:
+                    break
+                at[i] = len(path)
+                path.append(i)
+            ring = [*path[at[i] :], i]  # each follows from the next
+            i, j = min(((b, a) for a, b in zip(ring, ring[1:])), key=lambda e: (edges[e], rank(e[1])))
+            gone.add((i, j))
+            dropped[j] = dropped.get(j, 0) + 1
+            waits[j] -= 1
+            if not waits[j]:
+                heapq.heappush(ready, rank(j))
         i = heapq.heappop(ready)[-1]
+        placed[i] = True
+        order.append(i)
+        for j in after[i]:
+            if (i, j) not in gone:
+                waits[j] -= 1
+                if not waits[j]:
+                    heapq.heappush(ready, rank(j))
+    return order, dropped
+
+
+def _blocks(key: tuple, rows: list[dict]) -> Iterator[tuple]:
+    """Orders a block by its precedence graph and yields its runs; ``edge`` marks those at its ends."""
+    order, dropped = topological(len(rows), precedence(rows), lambda i: (rows[i]["rec_id"], rows[i]["line_id"], i))
+    runs: list[list] = []
+    for i in order:
         r = rows[i]
         if runs and (r["name"] is None or r["name"] == runs[-1][0]):
             runs[-1][2] = r["line_id"]
             runs[-1][3] += 1
             if r["text"]:
                 runs[-1][4].append(r["text"])
+            runs[-1][5] += dropped.get(i, 0)
         else:
-            runs.append([r["name"], r["line_id"], r["line_id"], 1, [r["text"]] if r["text"] else []])
-        for j in after[i]:
-            waits[j] -= 1
-            if not waits[j]:
-                heapq.heappush(ready, rank(j))
-    for k, (name, first, last, lines, texts) in enumerate(runs):
+            runs.append([r["name"], r["line_id"], r["line_id"], 1, [r["text"]] if r["text"] else [], dropped.get(i, 0)])
+    for k, (name, first, last, lines, texts, conflicts) in enumerate(runs):
         # The second run touches the start too if the first takes its speaker from the block before.
-        yield (key[0], key[1], k, k in (0, len(runs) - 1) or (k == 1 and runs[0][0] is None), name, first, last, lines, " ".join(texts), conflicts if k == 0 else 0)
+        yield (key[0], key[1], k, k in (0, len(runs) - 1) or (k == 1 and runs[0][0] is None), name, first, last, lines, " ".join(texts), conflicts)
 
 
-def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
-    """The turns of every game: game_id, first_line_id, last_line_id, speaker, n_lines, text.
+def turns(lines: DataFrame, games: DataFrame, text: bool = True, most_labels: int = 500_000) -> DataFrame:
+    """The turns of every game: game_id, first_line_id, last_line_id, speaker, n_lines, n_conflicts, text.
 
     ``lines`` needs line_id, game_id, rec_id, speaker, time_mark, utterance, loaded_at; ``games``
     game_id, player_names, indexed_at. Other columns are ignored. A line without rec_id has no place
     in its game and is left out, as are lines before the first named speaker. Repeated deliveries
-    count once; an empty or null utterance says nothing. Empty tables give an empty result.
+    count once; an empty or null utterance says nothing. Empty tables give an empty result. The
+    distinct labels of all games are broadcast if there are no more than ``most_labels``, else joined.
     """
     own = label(F.col("speaker"))
     # Patterns run only where they can matter: most lines have a label of their own.
@@ -176,9 +227,9 @@ def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
     late = F.coalesce(F.col("indexed_at").cast("timestamp"), F.to_timestamp(F.lit("9999-01-01")))
     rosters = games.where(F.size("player_names") > 0).groupBy("game_id").agg(F.min(F.struct(late.alias("at"), "player_names")).alias("r")).select("game_id", "r.player_names")
     # Distinct labels come from all deliveries, so that no text is shuffled for them.
-    who = resolved(lines.select("game_id", F.coalesce(own, named).alias("label")).where("label is not null").distinct(), rosters)
+    who = cut(resolved(lines.select("game_id", F.coalesce(own, named).alias("label")).where("label is not null").distinct(), rosters))
     # The join is on (game, label), so that a game of very many lines is spread over its labels.
-    j = once.join(who, ["game_id", "label"], "left")
+    j = once.join(F.broadcast(who) if who.limit(most_labels + 1).count() <= most_labels else who, ["game_id", "label"], "left")
     # A colon after words that name nobody is no label: the line keeps them and names no speaker.
     takes = ~F.col("inline") | F.coalesce("is_known", F.lit(False))
     cut_off = F.col("inline") & takes
@@ -195,7 +246,7 @@ def turns(lines: DataFrame, games: DataFrame, text: bool = True) -> DataFrame:
 
 
 def _stitched(runs: DataFrame) -> DataFrame:
-    inner = runs.where(~F.col("edge")).select("game_id", F.col("first").alias("first_line_id"), F.col("last").alias("last_line_id"), F.col("name").alias("speaker"), "n_lines", "text")
+    inner = runs.where(~F.col("edge")).select("game_id", F.col("first").alias("first_line_id"), F.col("last").alias("last_line_id"), F.col("name").alias("speaker"), "n_lines", F.col("conflicts").alias("n_conflicts"), "text")
     # At most three runs of a block of 2,048 record numbers are at its ends.
     w = W.partitionBy("game_id").orderBy("block", "run")
     e = runs.where("edge").withColumn("who", F.last("name", True).over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -203,9 +254,9 @@ def _stitched(runs: DataFrame) -> DataFrame:
     starts = F.col("prev").isNull() | ~F.col("who").eqNullSafe(F.col("prev.who")) | ((F.col("prev.block") == F.col("block")) & (F.col("run") > F.col("prev.run") + 1))
     e = e.withColumn("turn", F.sum(starts.cast("int")).over(w)).where("who is not null")
     part = F.struct("block", "run", "first", "last", "text")
-    joined = e.groupBy("game_id", "turn", "who").agg(F.min(part).alias("a"), F.max(part).alias("z"), F.sum("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.struct("block", "run", "text"))).alias("t"))
+    joined = e.groupBy("game_id", "turn", "who").agg(F.min(part).alias("a"), F.max(part).alias("z"), F.sum("n_lines").alias("n_lines"), F.sum("conflicts").alias("n_conflicts"), F.array_sort(F.collect_list(F.struct("block", "run", "text"))).alias("t"))
     edge = joined.select(
-        "game_id", F.col("a.first").alias("first_line_id"), F.col("z.last").alias("last_line_id"), F.col("who").alias("speaker"), "n_lines",
+        "game_id", F.col("a.first").alias("first_line_id"), F.col("z.last").alias("last_line_id"), F.col("who").alias("speaker"), "n_lines", "n_conflicts",
         F.array_join(F.filter(F.col("t.text"), lambda s: s != ""), " ").alias("text"),
     )
     return inner.unionByName(edge)

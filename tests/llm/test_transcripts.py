@@ -65,3 +65,31 @@ def test_same_number_is_ordered_by_clock():
     r = lambda i, c, n: {"rec_id": 1, "line_id": i, "name": n, "clock": c, "text": ""}
     out = list(T._blocks(("g", 0), [r(1, 9, "A"), r(2, 3, "B")]))
     assert [(o[4], o[5]) for o in out] == [("B", 2), ("A", 1)]
+
+
+def test_weakest_edges_of_cycles_are_dropped_and_counted():
+    r = lambda n, i, name, clock=None: {"rec_id": n, "line_id": i, "name": name, "clock": clock, "text": ""}
+    # The clock of the second line is ahead of the third: its edge runs against the dialogue order.
+    rows = [r(1, 1, "A", 10), r(2, 2, "B", 50), r(3, 3, "C", 30), r(4, 4, None, 60)]
+    edges = T.precedence(rows)
+    assert edges[(2, 1)] == T.CLOCK and edges[(2, 3)] == T.ORDER and edges[(0, 2)] == T.CLOCK
+    assert T.topological(4, edges, lambda i: (rows[i]["rec_id"], i)) == ([0, 1, 2, 3], {1: 1})
+    assert [o[-1] for o in T._blocks(("g", 0), rows)] == [0, 1, 0]
+    # Within one record number the clock decides, but a line without a name stays behind its own.
+    same = [r(1, 1, "A", 9), r(1, 2, "B", 5), r(2, 3, None, 1)]
+    assert T.topological(3, T.precedence(same), lambda i: (same[i]["rec_id"], same[i]["line_id"], i))[0] == [1, 0, 2]
+
+
+def test_strong_edges_always_hold():
+    import random
+
+    rng = random.Random(0)
+    for _ in range(60):
+        n = rng.randrange(1, 40)
+        rows = sorted(({"rec_id": rng.randrange(15), "line_id": i, "name": rng.choice(["A", "B", None]), "clock": rng.choice([None, rng.randrange(50)]), "text": ""} for i in range(n)), key=lambda r: (r["rec_id"], r["line_id"]))
+        edges = T.precedence(rows)
+        order, dropped = T.topological(n, edges, lambda i: (rows[i]["rec_id"], rows[i]["line_id"], i))
+        at = {v: k for k, v in enumerate(order)}
+        assert sorted(order) == list(range(n)) and all(at[i] < at[j] for (i, j), w in edges.items() if w > T.CLOCK)
+        assert sum(dropped.values()) >= sum(at[i] > at[j] for i, j in edges)
+
