@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -24,14 +24,37 @@ from palaver.session import cut
 TYPES = ("object", "array", "string", "number", "boolean")
 SKETCH = 16
 _BIT = {dict: 1, list: 2, str: 4, int: 8, float: 8, bool: 16}
+#: The bits of JSON types; further bits tell numbers with a fraction, integers beyond 53 and 64 bits.
+_KINDS, _FRACTION, _WIDE, _HUGE = 31, 32, 64, 128
 _SALTS = np.array([xxhash.xxh64_intdigest(b"%d" % i) for i in range(SKETCH)], dtype=np.uint64)
 _FLUSH = 20_000
 
 
+def below(path: str, name: str) -> str:
+    """The path of a field; a dot within a name is written %2E, so that it cannot pass for a step."""
+    if "." in name or "%2E" in name:
+        name = name.replace("%", "%25").replace(".", "%2E")
+    return f"{path}.{name}" if path else name
+
+
+def shown(path: Column) -> Column:
+    """A path with the dots of its names as they stand in the records."""
+    return F.when(path.contains("%2E"), F.replace(F.replace(path, F.lit("%2E"), F.lit(".")), F.lit("%25"), F.lit("%"))).otherwise(path)
+
+
+def _bits(value: object) -> int:
+    out = _BIT[type(value)]
+    if type(value) is float:
+        out |= _FRACTION
+    elif type(value) is int and abs(value) > 1 << 53:
+        out |= _WIDE | (_HUGE if not -(1 << 63) <= value < 1 << 63 else 0)
+    return out
+
+
 def _walk(node: object, path: str, seen: dict, depth: int = 0) -> None:
     if isinstance(node, dict):
         for k, v in node.items():
-            p = f"{path}.{k}" if path else k
+            p = below(path, k)
             seen.setdefault(p, []).append(v)
             if isinstance(v, (dict, list)):
                 _walk(v, p, seen, depth + 1)
@@ -53,6 +76,8 @@ def parsed(text: str | None) -> dict | None:
 def profile(df: DataFrame, run: str, seq: str, record: str) -> DataFrame:
     """One row for each (run, seq, path): ``types`` bit set, counts and value sketch.
 
+    A name with a dot is escaped in its path, see :func:`below`.
+
     Records are parsed where they lie. Each task first merges what it saw of a (file, path), so the
     shuffle carries profiles and no records, however many rows one file has. A path is there if a
     record that parses holds it, null or not. Rows that do not parse are counted under path ''.
@@ -87,7 +112,7 @@ def profile(df: DataFrame, run: str, seq: str, record: str) -> DataFrame:
                         if x is None:
                             v[2] += 1
                             continue
-                        v[0] |= _BIT[type(x)]
+                        v[0] |= _bits(x)
                         mark = x if isinstance(x, str) else json.dumps(x, sort_keys=True) if not isinstance(x, dict) else ",".join(sorted(x))
                         h = np.uint64(xxhash.xxh64_intdigest(mark.encode("utf-8", "surrogatepass")))
                         np.minimum(v[3], (_SALTS ^ h) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1), out=v[3])
@@ -176,7 +201,7 @@ def changes(prof: DataFrame, files: DataFrame) -> DataFrame:
     nxt = files.select("run", "seq").distinct().withColumn("next", F.lead("seq").over(W.partitionBy("run").orderBy("seq")))
     first = F.min("seq").over(W.partitionBy("run"))
     at = nxt.withColumn("is_first", F.col("seq") == first)
-    p = prof.where(F.col("path") != "").join(at, ["run", "seq"])
+    p = prof.where(F.col("path") != "").withColumn("types", F.col("types").bitwiseAND(_KINDS)).join(at, ["run", "seq"])
     cols = ["path", "types", "sketch"]
     # A file's profile meets that of the next file by the key (run, seq of the later file, path).
     both = p.where(~F.col("is_first")).select("run", "seq", *cols, F.lit(True).alias("new")).unionByName(
@@ -257,44 +282,71 @@ def steady_names(prof: DataFrame, changed: DataFrame, most: int = 200_000) -> di
     return steady
 
 
-def unify(df: DataFrame, record: str, keys: list[str], names: dict[str, str], prof: DataFrame) -> DataFrame:
+def _sql_type(kinds: int) -> str:
+    """The column type that holds every value of a field exactly; string for several types."""
+    if kinds & _KINDS == 16:
+        return "boolean"
+    if kinds & _KINDS == 8 and not kinds & _HUGE:
+        return "bigint" if not kinds & _FRACTION else "string" if kinds & _WIDE else "double"
+    return "string"
+
+
+def unify(df: DataFrame, record: str, keys: list[str], names: dict[str, str], prof: DataFrame, spare: str = "other_values") -> DataFrame:
     """One row for each record that parses, with a column for each steady top-level field.
 
-    Numbers come out as double, booleans as boolean, everything else as string; objects and arrays
-    as JSON text with steady names inside. A field that has several types in the files becomes a
-    string. Columns that clash with ``keys`` get the suffix ``_value``. Rows that do not parse are
-    left to :func:`unparsed`.
+    Integers come out as bigint, other numbers as double, booleans as boolean, everything else as
+    string; objects and arrays as JSON text with steady names inside. A field that has several types
+    in the files, or numbers that neither type holds exactly, becomes the string of its JSON text.
+    Where a record holds several spellings of one field, the first that is not null counts; the
+    values of the others that differ are in ``spare`` as JSON by their original path, so none is
+    lost. Columns that clash with ``keys`` get the suffix ``_value``.
     """
     kinds: dict[str, int] = {}
     for r in prof.where("path != '' and instr(path, '.') = 0").groupBy("path").agg(F.bit_or("types").alias("t")).collect():
         kinds[names[r["path"]]] = kinds.get(names[r["path"]], 0) | r["t"]
     cols = sorted(kinds)
-    sql = {8: "double", 16: "boolean"}
-    outs = [f"{c}_value" if c in keys else c for c in cols]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema] + [f"`{o}` {sql.get(kinds[c], 'string')}" for o, c in zip(outs, cols)])
-
-    def renamed(node: object, path: str) -> object:
-        if isinstance(node, dict):
-            return {names.get(p := (f"{path}.{k}" if path else k), p).rpartition(".")[2]: renamed(v, p) for k, v in node.items()}
-        return [renamed(v, path) for v in node] if isinstance(node, list) else node
-
-    def one(value: object, kind: int) -> object:
-        if value is None or kind in (8, 16):
-            return float(value) if kind == 8 and value is not None else value
+    sql = {c: _sql_type(kinds[c]) for c in cols}
+    taken = {*keys, spare}
+    outs = [f"{c}_value" if c in taken else c for c in cols]
+    tick = lambda c: "`" + c.replace("`", "``") + "`"
+    schema = ", ".join([f"{tick(f.name)} {f.dataType.simpleString()}" for f in df.select(*keys).schema] + [f"{tick(o)} {sql[c]}" for o, c in zip(outs, cols)] + [f"{tick(spare)} string"])
+
+    def renamed(node: object, path: str, other: dict[str, list]) -> object:
+        if isinstance(node, list):
+            return [renamed(v, path, other) for v in node]
+        if not isinstance(node, dict):
+            return node
+        out: dict[str, object] = {}
+        for k, v in node.items():
+            p = below(path, k)
+            name, v = names.get(p, p).rpartition(".")[2], renamed(v, p, other)
+            if out.get(name) is None:
+                out[name] = v
+            elif v is not None and v != out[name]:
+                other.setdefault(p, []).append(v)
+        return out
+
+    def one(value: object, kind: str) -> object:
+        if value is None or kind in ("boolean", "bigint"):
+            return value
+        if kind == "double":
+            return float(value)
         return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
-    arrow = [{8: pa.float64(), 16: pa.bool_()}.get(kinds[c], pa.string()) for c in cols]
+    arrow = [{"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}.get(sql[c], pa.string()) for c in cols]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, docs = [], []
+            keep, docs, others = [], [], []
             for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 doc = parsed(text)
                 if doc is not None:
+                    other: dict[str, list] = {}
                     keep.append(i)
-                    docs.append(renamed(doc, ""))
-            made = [pa.array([one(x.get(c), kinds[c]) for x in docs], type=t) for c, t in zip(cols, arrow)]
+                    docs.append(renamed(doc, "", other))
+                    others.append(json.dumps(other, ensure_ascii=False, sort_keys=True) if other else None)
+            made = [pa.array([one(x.get(c), sql[c]) for x in docs], type=t) for c, t in zip(cols, arrow)]
             at = pa.array(keep, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(len(keys))], *made], names=[*keys, *outs])
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(len(keys))], *made, pa.array(others, type=pa.string())], names=[*keys, *outs, spare])
 
     return df.select(*keys, record).mapInArrow(scan, schema)
