@@ -31,52 +31,44 @@ def stopped(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def _balanced(text: str | None, aware: bool) -> str | None:
-    if not isinstance(text, str):
-        return None
-    starts = [m.start() for m in re.finditer(r"\{", text)]
-    for at in starts if aware else starts[:1]:
-        depth, inside, escaped = 0, False, False
-        for i in range(at, len(text)):
-            ch = text[i]
-            if aware and inside:
-                escaped, inside = (False, True) if escaped else (ch == "\\", ch != '"')
-                continue
-            if aware and ch == '"':
-                inside = True
-            depth += (ch == "{") - (ch == "}")
-            if ch == "}" and depth == 0:
-                piece = text[at : i + 1]
-                if not aware:
-                    return piece
-                try:
-                    json.loads(piece)
-                    return piece
-                except ValueError:
-                    break
-        else:
-            # Nothing closes this brace; a later one may still close.
-            continue
+def first_object(text: str | None) -> str | None:
+    """The first stretch of ``text`` that a JSON parser reads as an object; None without one."""
+    parser, at = json.JSONDecoder(), -1
+    while isinstance(text, str) and (at := text.find("{", at + 1)) >= 0:
+        try:
+            return text[at : parser.raw_decode(text, at)[1]]
+        except (ValueError, RecursionError):
+            pass
     return None
 
 
+def brace_span(text: str) -> str | None:
+    """From the first opening brace to the one with which closing braces draw level, quotes or not."""
+    level, begin = 0, text.find("{")
+    for m in re.finditer("[{}]", text[begin:]) if begin >= 0 else ():
+        level += 1 if m[0] == "{" else -1
+        if not level:
+            return text[begin : begin + m.end()]
+    return None
+
+
+def fenced_object(text: str) -> str | None:
+    """The content of the first code fence that is one braced block, fences tagged json before others."""
+    inside = [re.fullmatch(r"(\w*)\s*(.*?)\s*", part, re.S) for part in text.split("```")[1:-1:2]]
+    blocks = [(m[1].lower(), m[2]) for m in inside if m and m[2].startswith("{") and m[2].endswith("}")]
+    return next((b for tag in ("json", "") for t, b in blocks if t == tag), None)
+
+
 @F.pandas_udf(T.StringType())
 def balanced_object(x: pd.Series) -> pd.Series:
-    """The first balanced, string-aware object that parses (F32)."""
-    return x.map(lambda t: _balanced(t, True)).astype(object)
+    """The first object in a text that parses, whatever braces its strings hold (F32)."""
+    return x.map(first_object).astype(object)
 
 
 @F.pandas_udf(T.StringType())
 def json_block(x: pd.Series) -> pd.Series:
-    """The first object by braces alone, one in a code fence before others (F33, not string-aware)."""
-
-    def one(t: str | None) -> str | None:
-        if not isinstance(t, str):
-            return None
-        m = re.search(r"```json\s*(\{.*?\})\s*```", t, re.S | re.I) or re.search(r"```\s*(\{.*?\})\s*```", t, re.S)
-        return m[1] if m else _balanced(t, False)
-
-    return x.map(one).astype(object)
+    """The object in a code fence, else the first one by braces alone; it need not parse."""
+    return x.map(lambda t: (fenced_object(t) or brace_span(t)) if isinstance(t, str) else None).astype(object)
 
 
 def prepared(raw: Column) -> Column:
