@@ -56,13 +56,17 @@ def mean(clusters: DataFrame, key: str, value: str, reps: int, by: list[str] = (
     return point.join(ci, list(by)) if by else point.join(ci)
 
 
-def difference(clusters: DataFrame, key: str, value: str, arm: str, first: str, second: str, reps: int) -> DataFrame:
-    """Mean of one arm less that of another, arms resampled apart."""
-    x = clusters.where(F.col(arm).isin(first, second) & F.col(value).isNotNull()).withColumn("__k", F.concat_ws("|", arm, key))
-    point = x.agg((F.avg(F.when(F.col(arm) == first, F.col(value))) - F.avg(F.when(F.col(arm) == second, F.col(value)))).alias("difference"))
-    d = replicate_sums(x, "__k", [value], reps, [arm]).withColumn("m", F.col(value) / F.col("w"))
-    both = d.groupBy("rep").agg((F.max(F.when(F.col(arm) == first, F.col("m"))) - F.max(F.when(F.col(arm) == second, F.col("m")))).alias("d"))
-    return point.join(interval(both, F.col("d")))
+def differences(clusters: DataFrame, key: str, value: str, arm: str, reps: int) -> DataFrame:
+    """Mean of one arm less that of another for every pair of arms, arms resampled apart.
+
+    Columns first, second, difference, n_draws, lo, hi. Arms are a closed list; null arms are left out.
+    """
+    x = clusters.where(F.col(arm).isNotNull() & F.col(value).isNotNull()).withColumn("__k", F.concat_ws("|", arm, key))
+    point = x.groupBy(F.col(arm).alias("g")).agg(F.avg(value).alias("m"))
+    d = replicate_sums(x, "__k", [value], reps, [arm]).select(F.col(arm).alias("g"), "rep", (F.col(value) / F.col("w")).alias("m"))
+    pair = lambda t, on: t.select(*on, F.col("g").alias("first"), F.col("m").alias("a")).join(t.select(*on, F.col("g").alias("second"), F.col("m").alias("b")), on if on else F.lit(True)).where("first < second")
+    ci = interval(pair(d, ["rep"]), F.col("a") - F.col("b"), ["first", "second"])
+    return pair(point, []).select("first", "second", (F.col("a") - F.col("b")).alias("difference")).join(ci, ["first", "second"])
 
 
 def paired(clusters: DataFrame, key: str, a: str, b: str, reps: int, weights: str | None = None, least: float = 0.5, by: list[str] = ()) -> DataFrame:
@@ -94,10 +98,28 @@ def contrast(clusters: DataFrame, key: str, num1: str, den1: str, num2: str, den
     return point.join(order_interval(replicate_sums(clusters, key, [num1, den1, num2, den2], reps), v))
 
 
-def f1_interval(rows: DataFrame, key: str, label: str, predicted: str, reps: int) -> DataFrame:
-    """F1 with clusters resampled."""
+def f1_auc_draws(rows: DataFrame, key: str, by: str, label: str, predicted: str, score: str, reps: int, steps: int = 100) -> DataFrame:
+    """F1 and AUC of each ``by`` in each replicate, clusters resampled; replicate -1 is the data themselves.
+
+    Scores between 0 and 1 are counted in ``steps`` bins by cluster, so a replicate is a weighted
+    histogram of at most ``steps`` + 1 cells. AUC is null without both classes.
+    """
     y, p = F.col(label) == 1, F.col(predicted) == 1
-    c = rows.groupBy(key).agg(F.count_if(y & p).alias("tp"), F.count_if(y).alias("pos"), F.count_if(p).alias("pp"))
-    f1 = F.try_divide(2.0 * F.col("tp"), F.col("pos") + F.col("pp"))
-    point = c.agg(F.try_divide(2.0 * F.sum("tp"), F.sum("pos") + F.sum("pp")).alias("f1"))
-    return point.join(interval(replicate_sums(c, key, ["tp", "pos", "pp"], reps).where("pos > 0 and pos < w * 1e9"), f1))
+    b = F.greatest(F.lit(0), F.least(F.floor(F.col(score) * steps + 1e-9), F.lit(steps))).cast("int")
+    c = rows.groupBy(by, key, b.alias("b")).agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n"), F.count_if(y & p).alias("tp"), F.count_if(p).alias("pp"))
+    x = c.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1)))).withColumn("w", F.when(F.col("rep") < 0, 1).otherwise(weight(F.col(key), F.col("rep")))).where("w > 0")
+    cell = x.groupBy(by, "rep", "b").agg(*[F.sum(F.col("w") * F.col(k)).cast("double").alias(k) for k in ("p", "n", "tp", "pp")])
+    g = cell.groupBy(by, "rep").agg(F.array_sort(F.collect_list(F.struct("b", "p", "n"))).alias("h"), *[F.sum(k).alias(k) for k in ("p", "n", "tp", "pp")])
+    zero = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("wins"))
+    wins = F.aggregate("h", zero, lambda a, e: F.struct((a["below"] + e["n"]).alias("below"), (a["wins"] + e["p"] * (a["below"] + e["n"] / 2)).alias("wins")))["wins"]
+    return g.select(by, "rep", F.try_divide(2 * F.col("tp"), F.col("p") + F.col("pp")).alias("f1"), F.try_divide(wins, F.col("p") * F.col("n")).alias("auc"))
+
+
+def f1_auc_intervals(draws: DataFrame, by: str) -> DataFrame:
+    """Intervals of both metrics by ``by`` and of their differences over common replicates, paired."""
+    long = draws.select(F.col(by).alias("first"), "rep", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("f1", "auc")])).alias("x")).select("first", "rep", "x.*")
+    other = long.select("rep", "metric", F.col("first").alias("second"), F.col("v").alias("u"))
+    pair = long.join(other, ["rep", "metric"]).where("first < second").select("first", "second", "metric", "rep", (F.col("v") - F.col("u")).alias("v"))
+    both = long.select("first", F.lit("").alias("second"), "metric", "rep", "v").unionByName(pair)
+    keys = ["first", "second", "metric"]
+    return both.where("rep < 0").select(*keys, F.col("v").alias("value")).join(interval(both.where("rep >= 0"), F.col("v"), keys), keys)

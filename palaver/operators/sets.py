@@ -44,9 +44,24 @@ def stratified(df: DataFrame, strata: list[str], row_id: str, per_cell: int, see
     return near.withColumn("__k", k).where(F.col("__k") <= per_cell).drop("__h", "__b", "__k")
 
 
-def split_flag(row_id: Column, n: Column, rank: Column, share: float) -> Column:
-    """``val`` for the first ``round(n * share)`` hash ranks of a bucket, else ``train``."""
-    return F.when(rank <= F.round(n * share), "val").otherwise("train")
+def split_by_share(df: DataFrame, by: list[str], row_id: str, share: float, seed: int = 0) -> DataFrame:
+    """``df`` with ``split``: ``val`` for the first round(n * share) hash ranks of each bucket, else ``train``.
+
+    Ranks are counted in bins; only the bin that the border runs through is sorted, so a bucket of
+    very many rows is no single task.
+    """
+    x = df.withColumn("__h", hash_rank(F.col(row_id), F.lit(seed))).withColumn("__b", F.shiftright("__h", 20))
+    counts = x.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    w = W.partitionBy(*by)
+    bins = counts.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__b").alias("__k"), "__n", F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.round(F.sum("__n").over(w) * share).alias("__goal"))
+    at = F.col("__b") == F.col("__k")
+    for c in by:
+        at = at & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    y = x.join(bins, at)
+    border = (F.col("__before") < F.col("__goal")) & (F.col("__before") + F.col("__n") > F.col("__goal"))
+    ranked = y.where(border).withColumn("__r", F.col("__before") + F.row_number().over(W.partitionBy(*by, "__b").orderBy("__h", row_id)))
+    whole = y.where(~border).withColumn("__r", F.col("__before") + 1)
+    return ranked.unionByName(whole).withColumn("split", F.when(F.col("__r") <= F.col("__goal"), "val").otherwise("train")).select(*df.columns, "split")
 
 
 def largest_remainder(shares: DataFrame, total: int, key: str, weight: str) -> DataFrame:
@@ -62,12 +77,14 @@ def round_robin(df: DataFrame, runs: str, prefer: str, row_id: str, n: int) -> D
     """``n`` rows taken from the runs in turn, each run offering unseen ``prefer`` values first.
 
     Within a run the first row of each ``prefer`` value comes before its repeats; runs alternate by
-    their row's number.
+    their row's number. No more than ``n`` rows of a run or a value can be taken, so both rankings
+    are limited to ``n`` where the rows lie, before they are shuffled.
     """
     h = hash_rank(F.col(row_id))
-    again = F.row_number().over(W.partitionBy(runs, prefer).orderBy(h, row_id))
-    turn = F.row_number().over(W.partitionBy(runs).orderBy("__again", h, row_id))
-    return df.withColumn("__again", again).withColumn("__turn", turn).orderBy("__turn", runs).limit(n).drop("__again", "__turn")
+    x = df.withColumn("__h", h)
+    x = x.withColumn("__again", F.row_number().over(W.partitionBy(runs, prefer).orderBy("__h", row_id))).where(F.col("__again") <= n)
+    x = x.withColumn("__turn", F.row_number().over(W.partitionBy(runs).orderBy("__again", "__h", row_id))).where(F.col("__turn") <= n)
+    return x.orderBy("__turn", runs).limit(n).drop("__again", "__turn", "__h")
 
 
 def slice_rows(df: DataFrame, order: list[str], start: int, most: int) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palaver.functions.mathx import binomial_two_sided, chi2_sf, student_sf
-
-BINS = 4096
+from palaver.session import cut
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -72,20 +71,27 @@ def marginal_homogeneity(df: DataFrame, a: str, b: str) -> tuple[float, int, flo
     return stat, len(d), chi2_sf(stat, len(d))
 
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Each distinct value with its count and average rank.
+def below(counts: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
+    """``counts`` with ``<c>_below``: for each of ``sums`` the total over all smaller values of the same keys.
 
-    Values are counted, cut in equal-width bins and ranked in two steps (bins, then within a bin), so
-    no task sorts all values. Nulls are left out.
+    ``counts`` has one row for each (keys, value). Rows are range-partitioned by keys and value, so
+    the parts are of like size whatever the distribution; totals of the parts are added up first and
+    a window runs only inside a part. No task sorts all values.
     """
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Cut, so that the sampled bounds of the ranges are the same in both uses.
+    x = cut(counts.repartitionByRange(n, *keys, value).withColumn("__b", F.spark_partition_id()))
+    per = x.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    base = per.select(*keys, "__b", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return x.join(base, [*keys, "__b"]).select(*counts.columns, *[(F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below") for c in sums])
+
+
+def value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """Each distinct value with its count and average rank; nulls are left out."""
     c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    ends = F.broadcast(c.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
-    x = c.join(ends).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)))
-    per = x.groupBy("bin").agg(F.sum("c").alias("t"))
-    before = F.coalesce(F.sum("t").over(W.partitionBy(F.lit(1)).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = F.broadcast(per.select("bin", before.alias("base")))
-    inside = F.coalesce(F.sum("c").over(W.partitionBy("bin").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return x.join(base, "bin").select("v", "c", (F.col("base") + inside + (F.col("c") + 1) / 2.0).alias("rank"))
+    return below(c, [], "v", ["c"]).select("v", "c", (F.col("c_below") + (F.col("c") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -108,13 +114,16 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def auc(df: DataFrame, label: str, score: str, keys: list[str] = ()) -> DataFrame:
-    """Area under the ROC curve by average ranks, null with a single class."""
-    c = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("p"), F.count("*").alias("n"))
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    x = c.withColumn("neg_below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(w), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("neg_below") + (F.col("n") - F.col("p")) / 2.0))
-    pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
-    return x.groupBy(*keys).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(wins, pos * neg).alias("auc"))
+    """Area under the ROC curve by average ranks, null with a single class.
+
+    Rows with a null key, label or score are left out.
+    """
+    keys = list(keys)
+    c = df.dropna(subset=[*keys, label, score]).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    x = below(c, keys, "s", ["n"])
+    pos, neg = F.sum("p"), F.sum("n")
+    g = x.groupBy(*keys) if keys else x.groupBy()
+    return g.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2.0)), pos * neg).alias("auc"))
 
 
 def threshold_counts(df: DataFrame, label: str, score: str, keys: list[str] = (), steps: int = 100) -> DataFrame:

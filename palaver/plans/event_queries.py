@@ -297,9 +297,7 @@ def k05_allocation(spark, d):
 
 @query("K08_split", f", x as (select game_no, source, row_number() over (partition by source order by {_H.format('game_no')}, game_no) as k, count(*) over (partition by source) as n from g) select game_no, source, case when k <= round(n * 0.2) then 'val' else 'train' end as split from x")
 def k08(spark, d):
-    w = W.partitionBy("source")
-    x = games(spark, d).select("game_no", "source", F.row_number().over(w.orderBy(K.hash_rank(F.col("game_no"), F.lit(0)), "game_no")).alias("k"), F.count("*").over(w).alias("n"))
-    return x.select("game_no", "source", S.split_flag(F.col("game_no"), F.col("n"), F.col("k"), 0.2).alias("split"))
+    return S.split_by_share(games(spark, d).select("game_no", "source"), ["source"], "game_no", 0.2)
 
 
 @query("K02_top_names", " select player, count(*) as n from slot group by 1 order by n desc, player limit 10")
@@ -318,7 +316,7 @@ def k10(spark, d):
     return votes(spark, d).select("file_row_id").orderBy(K.hash_rank(F.col("file_row_id"), F.lit(0)), "file_row_id").limit(50)
 
 
-@query("K07_round_robin")
+@query("K07_round_robin", f", x as (select file_row_id, run_label, game_id, {_H.replace(", '0'", "").format('file_row_id')} as h from v), a as (select *, row_number() over (partition by run_label, game_id order by h, file_row_id) as again from x), t as (select *, row_number() over (partition by run_label order by again, h, file_row_id) as turn from a) select file_row_id, run_label, game_id from t order by turn, run_label nulls first limit 40")
 def k07(spark, d):
     return S.round_robin(votes(spark, d).select("file_row_id", "run_label", "game_id"), "run_label", "game_id", "file_row_id", 40)
 

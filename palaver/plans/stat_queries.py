@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palaver.functions.mathx import entropy_term, hypergeometric_two_or_more
 from palaver.operators import bootstrap as B
 from palaver.operators import stats as T
+from palaver.operators.joins import pairings
 from palaver.plans.event_queries import accusations
 from palaver.plans.silver import lines, slots, sql, valid_votes, votes
 from palaver.session import cut
@@ -14,7 +15,7 @@ from palaver.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-REPS = 200
+REPS = 2_000
 
 
 def query(name: str, statement: str | None = None):
@@ -48,27 +49,28 @@ def b01(spark, d):
     return B.mean(cut(game_accuracy(spark, d)), "game_id", "p", REPS, ["model_name"])
 
 
-@query("B02_difference", f", {GA}, {_R}, x as (select model_name, rep, {_w(chr(39) + chr(39) + ' || model_name || ' + chr(39) + '|' + chr(39) + ' || game_id')} as w, p from ga cross join reps where model_name in ('quill-31b', 'orbis-2b')), dr as (select model_name, rep, sum(w * p) / sum(w) as m from x where w > 0 group by all), di as (select rep, max(m) filter (where model_name = 'quill-31b') - max(m) filter (where model_name = 'orbis-2b') as v from dr group by 1) select (select avg(p) filter (where model_name = 'quill-31b') - avg(p) filter (where model_name = 'orbis-2b') from ga) as difference, count(v) as n_draws, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from di where v is not null")
+@query("B02_difference", f", {GA}, {_R}, x as (select model_name, rep, {_w(chr(39) + chr(39) + ' || model_name || ' + chr(39) + '|' + chr(39) + ' || game_id')} as w, p from ga cross join reps where model_name is not null), dr as (select model_name, rep, sum(w * p) / sum(w) as m from x where w > 0 group by all), di as (select a.model_name as first, b.model_name as second, a.m - b.m as v from dr a join dr b on a.rep = b.rep and a.model_name < b.model_name), pt as (select model_name, avg(p) as m from ga group by 1) select first, second, (select m from pt where model_name = first) - (select m from pt where model_name = second) as difference, count(v) as n_draws, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from di group by all")
 def b02(spark, d):
-    return B.difference(cut(game_accuracy(spark, d)), "game_id", "p", "model_name", "quill-31b", "orbis-2b", REPS)
+    return B.differences(cut(game_accuracy(spark, d)), "game_id", "p", "model_name", REPS)
 
 
 def _pairs(spark, d):
-    return game_accuracy(spark, d).groupBy("game_id").pivot("model_name", ["quill-31b", "orbis-2b"]).agg(F.first("p")).select("game_id", F.col("quill-31b").alias("a"), F.col("orbis-2b").alias("b"))
+    """Accuracies of both models of every pair over the games both have."""
+    return pairings(game_accuracy(spark, d), ["game_id"], "model_name", ["p"]).select(F.col("a").alias("first"), F.col("b").alias("second"), "game_id", "p_a", "p_b")
 
 
-_P = f"{GA}, pr as (select game_id, max(p) filter (where model_name = 'quill-31b') as a, max(p) filter (where model_name = 'orbis-2b') as b from ga group by 1), pb as (select * from pr where a is not null and b is not null)"
+_P = f"{GA}, pb as (select x.model_name as first, y.model_name as second, game_id, x.p as a, y.p as b from ga x join ga y using (game_id) where x.model_name < y.model_name)"
 
 
-@query("B03_paired", f", {_P}, {_R}, x as (select rep, {_w('game_id')} as w, a - b as v from pb cross join reps), dr as (select rep, sum(w * v) / sum(w) as v from x where w > 0 group by 1) select (select avg(a - b) from pb) as difference, (select count(*) from pb) as n, count(*) as n_draws, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from dr")
+@query("B03_paired", f", {_P}, {_R}, x as (select first, second, rep, {_w('game_id')} as w, a - b as v from pb cross join reps), dr as (select first, second, rep, sum(w * v) / sum(w) as v from x where w > 0 group by all), pt as (select first, second, avg(a - b) as difference, count(*) as n from pb group by all) select pt.*, n_draws, case when n_draws >= {REPS} / 2 then lo end as lo, case when n_draws >= {REPS} / 2 then hi end as hi from pt join (select first, second, count(*) as n_draws, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from dr group by all) using (first, second)")
 def b03(spark, d):
-    return B.paired(cut(_pairs(spark, d)), "game_id", "a", "b", REPS)
+    return B.paired(cut(_pairs(spark, d)), "game_id", "p_a", "p_b", REPS, by=["first", "second"])
 
 
-@query("B04_weighted_paired", f", {_P}, pw as (select pb.*, (select count(*) from slot s where s.game_id = pb.game_id) as wt from pb), {_R}, x as (select rep, {_w('game_id')} as w, wt * (a - b) as num, wt as den from pw cross join reps), dr as (select rep, sum(w * num) / sum(w * den) as v from x where w > 0 group by 1) select (select sum(wt * (a - b)) / sum(wt) from pw) as difference, (select count(*) from pw) as n, count(*) as n_draws, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from dr")
+@query("B04_weighted_paired", f", {_P}, sl as (select game_id, count(*) as wt from slot group by 1), pw as (select pb.*, wt from pb left join sl using (game_id)), {_R}, x as (select first, second, rep, {_w('game_id')} as w, wt * (a - b) as num, wt as den from pw cross join reps), dr as (select first, second, rep, sum(w * num) / sum(w * den) as v from x where w > 0 group by all), pt as (select first, second, sum(wt * (a - b)) / sum(wt) as difference, count(*) as n from pw group by all) select pt.*, n_draws, case when n_draws >= {REPS} / 2 then lo end as lo, case when n_draws >= {REPS} / 2 then hi end as hi from pt join (select first, second, count(*) as n_draws, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from dr where v is not null group by all) using (first, second)")
 def b04(spark, d):
     w = slots(spark, d).groupBy("game_id").agg(F.count("*").alias("wt"))
-    return B.paired(cut(_pairs(spark, d).join(w, "game_id", "left")), "game_id", "a", "b", REPS, "wt")
+    return B.paired(cut(_pairs(spark, d).join(w, "game_id", "left")), "game_id", "p_a", "p_b", REPS, "wt", by=["first", "second"])
 
 
 @query("B05_ratio", f", gl as (select source, game_id, count_if(list_contains(labels, 'Accusation'))::double as num, count(*)::double as den from line group by all), {_R}, x as (select source, rep, {_w('game_id')} as w, num, den from gl cross join reps), dr as (select source, rep, sum(w * num) / sum(w * den) * 100 as v from x where w > 0 group by all), q as (select source, count(*) as n_draws, quantile_cont(v, 0.00625) as lo, quantile_cont(v, 0.99375) as hi from dr group by 1) select gl.source, sum(num) / sum(den) * 100 as rate, any_value(n_draws) as n_draws, any_value(lo) as lo, any_value(hi) as hi from gl join q on q.source = gl.source group by 1")
@@ -77,10 +79,23 @@ def b05(spark, d):
     return B.ratio(cut(c), "game_id", "num", "den", REPS, ["source"], tests=4)
 
 
-@query("B06_f1_interval", f", y as (select game_id, is_correct::int as label, (voted_player_start_role = 'Werewolf')::int as pred from vv where is_correct is not null and not is_circle_vote and voted_player_start_role is not null), c as (select game_id, count_if(label = 1 and pred = 1) as tp, count_if(label = 1) as pos, count_if(pred = 1) as pp from y group by 1), {_R}, x as (select rep, {_w('game_id')} as w, tp, pos, pp from c cross join reps), dr as (select rep, sum(w * tp) as tp, sum(w * pos) as pos, sum(w * pp) as pp from x where w > 0 group by 1) select (select 2.0 * sum(tp) / (sum(pos) + sum(pp)) from c) as f1, count(*) as n_draws, quantile_cont(2.0 * tp / (pos + pp), 0.025) as lo, quantile_cont(2.0 * tp / (pos + pp), 0.975) as hi from dr where pos > 0")
+_B06 = f""", y as (select model_name, game_id, is_correct::int as label, (voted_player_start_role = 'Werewolf')::int as pred, least(99, floor(least(length(justification), 999) / 1000.0 * 100 + 1e-9))::int as b from vv where model_name is not null and is_correct is not null and not is_circle_vote and voted_player_start_role is not null and justification is not null),
+c as (select model_name, game_id, b, count_if(label = 1) as p, count_if(label = 0) as n, count_if(label = 1 and pred = 1) as tp, count_if(pred = 1) as pp from y group by all), {_R},
+x as (select c.*, rep, {_w('game_id')} as w from c cross join reps union all select c.*, -1, 1 from c),
+cell as (select model_name, rep, b, sum(w * p) as p, sum(w * n) as n, sum(w * tp) as tp, sum(w * pp) as pp from x where w > 0 group by all),
+run as (select *, coalesce(sum(n) over (partition by model_name, rep order by b rows between unbounded preceding and 1 preceding), 0) as below from cell),
+dr as (select model_name, rep, 2.0 * sum(tp) / nullif(sum(p) + sum(pp), 0) as f1, sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0) as auc from run group by all),
+lg as (select model_name as first, rep, 'f1' as metric, f1 as v from dr union all select model_name, rep, 'auc', auc from dr),
+bo as (select first, '' as second, metric, rep, v from lg union all select a.first, b.first, metric, rep, a.v - b.v from lg a join lg b using (rep, metric) where a.first < b.first)
+select z.first, z.second, z.metric, z.v as value, n_draws, lo, hi from bo z join (select first, second, metric, count(*) as n_draws, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from bo where rep >= 0 and v is not null group by all) q using (first, second, metric) where z.rep < 0"""
+
+
+@query("B06_f1_interval", _B06)
 def b06(spark, d):
-    y = valid_votes(spark, d).where("is_correct is not null and not is_circle_vote and voted_player_start_role is not null")
-    return B.f1_interval(y.select("game_id", F.col("is_correct").cast("int").alias("label"), (F.col("voted_player_start_role") == "Werewolf").cast("int").alias("pred")), "game_id", "label", "pred", REPS)
+    """F1 of the start-role rule and AUC of the length of justifications, by model and between models."""
+    y = valid_votes(spark, d).where("model_name is not null and is_correct is not null and not is_circle_vote and voted_player_start_role is not null and justification is not null")
+    y = y.select("model_name", "game_id", F.col("is_correct").cast("int").alias("label"), (F.col("voted_player_start_role") == "Werewolf").cast("int").alias("pred"), (F.least(F.length("justification"), F.lit(999)) / 1000.0).alias("score"))
+    return B.f1_auc_intervals(cut(B.f1_auc_draws(y, "game_id", "model_name", "label", "pred", "score", REPS)), "model_name")
 
 
 _ACC = """r as (select record_id, game_id, items from accusation_records qualify row_number() over (partition by record_id order by loaded_at) = 1),
