@@ -80,7 +80,7 @@ _LENGTH = "select coalesce(source, 'all') as source, count(n) as n, sum(n) as to
 
 @query("A08_length_summary", f" {_LENGTH} from (select source, length(utterance) as n from line) group by rollup(source)")
 def a08(spark, d):
-    x = lines(spark, d).select("source", F.length("utterance").alias("n_chars"))
+    x = lines(spark, d, text=True).select("source", F.length("utterance").alias("n_chars"))
     # One pass for the groups and their total: each row counts for its source and for "all".
     both = x.select(F.explode(F.array(F.col("source"), F.lit("all"))).alias("source"), "n_chars")
     return L.describe(both, "n_chars", ["source"])

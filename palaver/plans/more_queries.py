@@ -178,7 +178,7 @@ def f18(spark, d):
 
 @query("F21_unmarked", " select line_id, contains(coalesce(utterance, ''), '[laughter]') as is_marked, trim(replace(coalesce(utterance, ''), '[laughter]', '')) as line from line")
 def f21(spark, d):
-    return lines(spark, d).select("line_id", TR.unmarked(F.coalesce("utterance", F.lit("")), "[laughter]").alias("u")).select("line_id", "u.is_marked", "u.line")
+    return lines(spark, d, text=True).select("line_id", TR.unmarked(F.coalesce("utterance", F.lit("")), "[laughter]").alias("u")).select("line_id", "u.is_marked", "u.line")
 
 
 @query("F31_stopped", f", {RS} select result_id, regexp_replace(split_part(split_part(raw_response, '<|return|>', 1), '<|end|>', 1), '^\\s+|\\s+$', '', 'g') as text from rs where raw_response is not null")
@@ -250,7 +250,7 @@ def h05(spark, d):
 @query("S12_processed_lines", " select game_id, count(*) as n_turns from line group by 1")
 def s12(spark, d):
     one = F.concat(F.lit("["), F.col("rec_id"), F.lit("] "), F.coalesce("player", F.lit("?")), F.lit(": "), F.coalesce("utterance", F.lit("")))
-    t = lines(spark, d).select("game_id", TR.processed_turn(one).alias("t"))
+    t = lines(spark, d, text=True).select("game_id", TR.processed_turn(one).alias("t"))
     return t.where("t is not null").groupBy("game_id").agg(F.count("*").alias("n_turns"))
 
 

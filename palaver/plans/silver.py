@@ -27,12 +27,16 @@ def slots(spark: SparkSession, d: str) -> DataFrame:
     return x.select("game_no", "game_id", "source", "n_players", "slot", F.col("z.player_names").alias("player"), F.col("z.start_roles").alias("start_role"), F.col("z.end_roles").alias("end_role"), F.col("z.voting_outcome").alias("vote"))
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each utterance with its labels as an array and its speaker's roster spelling."""
-    u = first_delivery(table(spark, d, "utterances"), ["line_id"], "loaded_at", ["game_id", "source", "rec_id", "speaker", "utterance", "annotation"])
-    u = u.withColumn("labels", label_array(F.col("annotation"), NO_LABEL)).withColumn("k", bare_label(F.col("speaker")))
+def lines(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    """One row for each utterance with its labels as an array and its speaker's roster spelling.
+
+    The utterance itself is there only with ``text``, so that counts shuffle no texts.
+    """
+    words = ["utterance"] if text else []
+    u = table(spark, d, "utterances").withColumn("labels", label_array(F.col("annotation"), NO_LABEL)).withColumn("k", bare_label(F.col("speaker")))
+    u = first_delivery(u, ["line_id"], "loaded_at", ["game_id", "source", "rec_id", "k", "labels", *words])
     p = slots(spark, d).select("game_id", "player", name_key(F.col("player")).alias("k"))
-    return u.join(p, ["game_id", "k"], "left").select("line_id", "game_id", "source", "rec_id", "player", "k", "utterance", "labels")
+    return u.join(p, ["game_id", "k"], "left").select("line_id", "game_id", "source", "rec_id", "player", "k", "labels", *words)
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:

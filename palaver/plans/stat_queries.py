@@ -157,7 +157,7 @@ def w12(spark, d):
 
 @query("H04_spearman", ", x as (select length(utterance)::double as a, rec_id::double as b from line where utterance is not null), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from x) select count(*) as n, corr(ra, rb) as rho from r")
 def h04(spark, d):
-    x = lines(spark, d).where("utterance is not null").select(F.length("utterance").alias("a"), F.col("rec_id").alias("b"))
+    x = lines(spark, d, text=True).where("utterance is not null").select(F.length("utterance").alias("a"), F.col("rec_id").alias("b"))
     return T.spearman(cut(x), "a", "b").select("n", "rho")
 
 

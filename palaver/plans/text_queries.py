@@ -338,7 +338,7 @@ def a65(spark, d):
 @query("S14_merged_transcripts", " select game_id, string_agg('[' || rec_id || '] ' || coalesce(player, k, '?') || ': ' || coalesce(utterance, ''), chr(10) order by rec_id, line_id) as transcript, count(*) as n_lines from line group by 1")
 def s14(spark, d):
     one = F.concat(F.lit("["), F.col("rec_id"), F.lit("] "), F.coalesce("player", "k", F.lit("?")), F.lit(": "), F.coalesce("utterance", F.lit("")))
-    return lines(spark, d).groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("rec_id", "line_id", one.alias("t")))).alias("l")).select("game_id", F.array_join(F.col("l.t"), "\n").alias("transcript"), F.size("l").cast("long").alias("n_lines"))
+    return lines(spark, d, text=True).groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("rec_id", "line_id", one.alias("t")))).alias("l")).select("game_id", F.array_join(F.col("l.t"), "\n").alias("transcript"), F.size("l").cast("long").alias("n_lines"))
 
 
 @query("S11_parsed_lines", " , t as (select line_id, coalesce(k, '?') || ': ' || coalesce(utterance, '') as raw from line) select line_id, case when regexp_matches(raw, '^[^:]{1,40}:') then trim(regexp_extract(raw, '^([^:]{1,40}): ?(.*)$', 1)) end as who, case when regexp_matches(raw, '^[^:]{1,40}:') then trim(regexp_extract(replace(raw, chr(10), ' '), '^([^:]{1,40}):\\s*(.*)$', 2)) end as said from t".lstrip())
@@ -346,7 +346,7 @@ def s11(spark, d):
     from palaver.sources.transcripts import parsed_line
 
     raw = F.concat(F.coalesce("k", F.lit("?")), F.lit(": "), F.coalesce("utterance", F.lit("")))
-    return lines(spark, d).select("line_id", parsed_line(raw).alias("p")).select("line_id", F.col("p.speaker").alias("who"), F.col("p.text").alias("said"))
+    return lines(spark, d, text=True).select("line_id", parsed_line(raw).alias("p")).select("line_id", F.col("p.speaker").alias("who"), F.col("p.text").alias("said"))
 
 
 def graph(spark, d):
@@ -401,11 +401,10 @@ def a67(spark, d):
     return shares(graph(spark, d)[1].where("relation is not null and source is not null"), ["source"], "relation")
 
 
-@query("X13_marked_transcripts", " , m as (select game_id, line_id, rec_id, '[' || rec_id || '] ' || coalesce(utterance, '') || case when list_contains(labels, 'Accusation') then ' <<ACCUSATION>>' else '' end as t from line) select game_id, sum((t like '%<<ACCUSATION>>')::int)::bigint as n_marked, md5(string_agg(t, chr(10) order by rec_id, line_id)) as digest from m group by 1".lstrip())
+@query("X13_marked_transcripts", " select game_id, rec_id, line_id, '[' || rec_id || '] ' || coalesce(utterance, '') || case when list_contains(labels, 'Accusation') then ' <<ACCUSATION>>' else '' end as t from line")
 def x13(spark, d):
+    """The lines of marked transcripts; in order of rec_id and line_id they are a game's text."""
     from palaver.sources.transcripts import marked
 
     t = F.concat(F.lit("["), F.col("rec_id"), F.lit("] "), F.coalesce("utterance", F.lit("")))
-    m = lines(spark, d).select("game_id", "rec_id", "line_id", marked(t, F.array_contains("labels", "Accusation"), "<<ACCUSATION>>").alias("t"))
-    g = m.groupBy("game_id").agg(F.count_if(F.col("t").endswith("<<ACCUSATION>>")).alias("n_marked"), F.array_sort(F.collect_list(F.struct("rec_id", "line_id", "t"))).alias("l"))
-    return g.select("game_id", "n_marked", F.md5(F.array_join(F.col("l.t"), "\n")).alias("digest"))
+    return lines(spark, d, text=True).select("game_id", "rec_id", "line_id", marked(t, F.array_contains("labels", "Accusation"), "<<ACCUSATION>>").alias("t"))

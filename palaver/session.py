@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +29,26 @@ def session(app: str = "palaver", cores: int | str = "*", shuffle_partitions: in
     return s
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for reliable checkpoints, which all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    and the master is local is a temporary folder made; elsewhere an unset folder is an error, as a
-    machine-local one would be lost with its executor.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local is a temporary folder made, which goes with the process; elsewhere an unset
+    folder is an error, as a machine-local one would be lost with its executor.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="palaver-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="palaver-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cuts the lineage of ``df`` with a reliable checkpoint, see :func:`checkpoint_folder`."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=eager)

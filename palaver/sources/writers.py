@@ -56,19 +56,26 @@ def completed(df: DataFrame, error: str, items: str, expected: str) -> DataFrame
     return df.where(F.col(error).isNull() & F.col(items).isNotNull() & (F.size(F.array_except(F.coalesce(F.col(expected), F.array().cast("array<int>")), got)) == 0))
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small text file on any file system that Spark can reach; False if it is there already."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        return False
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def check_manifest(spark: SparkSession, path: str, signature: dict) -> bool:
     """Writes a run's signature, or compares it with the one that is there.
 
     True if it was written now, False if it agrees; a different one is an error. Works on any file
     system that Spark can reach; a signature that is written meanwhile by another run is an error.
     """
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps(signature, sort_keys=True, indent=1).encode()))
-        out.close()
+    if put_text(spark, path, json.dumps(signature, sort_keys=True, indent=1)):
         return True
     old = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     if old != signature:
