@@ -174,6 +174,26 @@ def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray,
     return Sums(parts[0], parts[1].reshape(p, k), parts[2].reshape(p, k, k), parts[3], parts[4], parts[5], parts[6].reshape(p, k, k) if meat else None)
 
 
+def training_spread(sets: DataFrame, k: int, problems: list[Problem]) -> np.ndarray:
+    """The population deviation (1 if 0) of each feature over the alternatives that each problem trains on."""
+    p = len(problems)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((p, 1 + 2 * k))
+        for pdf in frames:
+            if len(pdf):
+                w = np.stack([q.weights(pdf["h"].to_numpy(), pdf["group"].to_numpy()) for q in problems])
+                rows = [np.asarray(x, float).reshape(-1, k) for x in pdf["x"]]
+                total += w @ np.stack([np.concatenate([[len(r)], r.sum(0), (r * r).sum(0)]) for r in rows])
+        yield pd.DataFrame({"v": [total.ravel()]})
+
+    # One row for each task: problems x features numbers.
+    total = sum((np.array(r[0]) for r in sets.select("h", "group", "x").mapInPandas(scan, "v array<double>").toLocalIterator()), np.zeros(p * (1 + 2 * k))).reshape(p, -1)
+    m = np.maximum(total[:, :1], 1.0)
+    sd = np.sqrt(np.maximum(total[:, k + 1 :] / m - (total[:, 1 : k + 1] / m) ** 2, 0))
+    return np.where(sd < 1e-12, 1.0, sd)
+
+
 def _lasso_steps(b: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, rounds: int = 200) -> np.ndarray:
     """The minimisers of local quadratic models plus l1 penalties, by coordinate descent, a row for each problem."""
     x = b.copy()
@@ -193,15 +213,22 @@ def _lasso_steps(b: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, ro
     return x
 
 
-def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Scale, free: tuple[int, ...] = (), rounds: int = 30) -> tuple[np.ndarray, Sums]:
-    """Coefficients of all problems by (proximal) Newton steps with halving; ``free`` ones unpenalised."""
+def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Scale, free: tuple[int, ...] = (), rounds: int = 30, spread: np.ndarray | None = None) -> tuple[np.ndarray, Sums]:
+    """Coefficients of all problems by (proximal) Newton steps with halving; ``free`` ones unpenalised.
+
+    ``spread`` (problems x features) are deviations to standardise by in place of ``sd``, such as
+    those of each problem's training sets. Means cancel within a set, and another deviation is the
+    same as another weight of the penalty, so the features themselves need not be scaled anew; the
+    coefficients stay on the scale of ``sd``.
+    """
     p = len(problems)
-    pen = np.ones(k)
-    pen[list(free)] = 0
+    ratio = np.ones((p, k)) if spread is None else np.stack([spread[i] / _of(sd, q.group) for i, q in enumerate(problems)])
+    ratio[:, list(free)] = 0
+    pen, pen1 = ratio * ratio, ratio
     l2, l1 = np.array([q.l2 for q in problems]), np.array([q.l1 for q in problems])
 
     def objective(s: Sums, b: np.ndarray) -> np.ndarray:
-        return -s.ll + 0.5 * l2 * (pen * b * b).sum(1) + l1 * (pen * np.abs(b)).sum(1)
+        return -s.ll + 0.5 * l2 * (pen * b * b).sum(1) + l1 * (pen1 * np.abs(b)).sum(1)
 
     beta = np.zeros((p, k))
     s = evaluate(sets, k, problems, beta, mean, sd)
@@ -212,7 +239,7 @@ def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Sca
         g = s.grad - l2[:, None] * pen * beta
         h = s.hess + np.einsum("pi,ij->pij", l2[:, None] * pen + 1e-9, np.eye(k))
         step = np.zeros((p, k))
-        step[lasso] = _lasso_steps(beta[lasso], g[lasso], h[lasso], l1[lasso, None] * pen) - beta[lasso]
+        step[lasso] = _lasso_steps(beta[lasso], g[lasso], h[lasso], l1[lasso, None] * pen1[lasso]) - beta[lasso]
         for i in np.flatnonzero(l1 == 0):
             step[i] = np.linalg.lstsq(h[i], g[i], rcond=None)[0]
         new += scale[:, None] * np.clip(step, -5, 5)
@@ -285,7 +312,7 @@ def cross_validated(sets: DataFrame, features: list[str], penalties: list[float]
     """(group, penalty, mean held-out log-likelihood, its deviation, hit rate, pseudo R squared).
 
     All groups, folds, seeds and penalties are solved together, so the sets are read once for each step.
-    Folds come from a hash of the set's key.
+    Folds come from a hash of the set's key; features are standardised by the training sets alone.
     """
     k = len(features)
     sets = cut(sets)
@@ -294,7 +321,7 @@ def cross_validated(sets: DataFrame, features: list[str], penalties: list[float]
         return []
     cells = [(g, p) for g in sorted(mean) for p in penalties]
     train = [Problem(l2=0 if l1 else p, l1=p if l1 else 0, seed=s, folds=folds, fold=f, group=g) for g, p in cells for s in seeds for f in range(folds)]
-    beta, _ = solve(sets, k, train, mean, sd, free)
+    beta, _ = solve(sets, k, train, mean, sd, free, spread=training_spread(sets, k, train))
     held = evaluate(sets, k, [Problem(seed=q.seed, folds=folds, fold=q.fold, inside=True, group=q.group) for q in train], beta, mean, sd)
     out, per = [], len(seeds) * folds
     for i, (g, p) in enumerate(cells):
@@ -312,7 +339,8 @@ def tuned(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), lear
     """The fits of each group, seed and fold without that fold's sets, as held-out ``problems`` and ``beta``.
 
     ``learner`` is clogit (no penalty), l2 or l1. A penalty is the one with the best mean
-    log-likelihood over inner folds of the training sets. All are solved together.
+    log-likelihood over inner folds of the training sets. All are solved together. Features are
+    standardised by the sets that a fit trains on.
     """
     k = len(features)
     sets = cut(sets)
@@ -323,13 +351,13 @@ def tuned(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), lear
         return out
     if learner != "clogit":
         tries = [replace(q, **{learner: p}, inner=inner, inner_fold=i) for q in train for p in penalties for i in range(inner)]
-        beta, _ = solve(sets, k, tries, mean, sd, free)
+        beta, _ = solve(sets, k, tries, mean, sd, free, spread=training_spread(sets, k, tries))
         held = evaluate(sets, k, [replace(q, inner_inside=True) for q in tries], beta, mean, sd)
         ll = np.where(held.n > 0, held.ll / np.maximum(held.n, 1), np.nan).reshape(len(train), len(penalties), inner)
         n = (~np.isnan(ll)).sum(2)
         score = np.where(n > 0, np.nansum(ll, 2) / np.maximum(n, 1), -np.inf)
         train = [replace(q, **{learner: penalties[int(np.argmax(v))]}) for q, v in zip(train, score)]
-    beta, _ = solve(sets, k, train, mean, sd, free)
+    beta, _ = solve(sets, k, train, mean, sd, free, spread=training_spread(sets, k, train))
     return out | {"problems": [replace(q, inside=True) for q in train], "beta": beta}
 
 

@@ -22,16 +22,62 @@ def item_flags(item: Column, kinds: list[str], unknown: str = "UNKNOWN") -> Colu
     return F.filter(flags, lambda f: f.isNotNull())
 
 
-def sentence_flags(sentences: Column, returned: Column, text: Column, spans: Column) -> Column:
-    """The flags of a sentence annotation (F42): ids that are missing, extra or repeated, and evidence
-    that is not in the text word for word."""
-    want, got = F.transform(sentences, lambda s: s["sentence_id"]), F.coalesce(returned, F.array().cast("array<int>"))
-    flags = F.array(
-        F.when(F.size(F.array_except(want, got)) > 0, "missing_sentence"), F.when(F.size(F.array_except(got, want)) > 0, "unknown_sentence"),
-        F.when(F.size(F.array_distinct(got)) < F.size(got), "repeated_sentence"),
-        F.when(F.exists(F.coalesce(spans, F.array().cast("array<string>")), lambda s: F.coalesce(F.position(s, text) == 0, F.lit(True))), "evidence_not_verbatim"),
+ANNOTATED = (
+    "struct<vote:string,sentences:array<struct<sentence_id:int,text:string,rule_mentioned:boolean,"
+    "annotations:array<struct<category:string,use:string,evidence_span:string,other_description:string>>>>>"
+)
+
+
+def sentence_flags(sentences: Column, vote: Column, got: Column, categories: list[str], uses: list[str], other: str = "Other") -> Column:
+    """The flags of a sentence annotation (F42), sorted, each ``<check>`` or ``<check>:<sentence id>``.
+
+    ``sentences`` are the (sentence_id, text) that were given, ``vote`` the vote to be kept, ``got``
+    the annotation as :data:`ANNOTATED`. Checked are the object, the vote, the list of sentences,
+    null sentences, ids that are missing, unknown or repeated, altered text, the rule mark, the list
+    of annotations, categories, uses, spans that are missing, not verbatim or so but for spacing,
+    ``other`` without or others with a description, and repeated annotations. Spacing never counts
+    where texts are compared.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    given = F.transform(sentences, lambda s: s["sentence_id"])
+    back = F.filter(F.coalesce(got["sentences"], F.array().cast("array<struct<sentence_id:int,text:string,rule_mentioned:boolean,annotations:array<struct<category:string,use:string,evidence_span:string,other_description:string>>>>")), lambda s: s.isNotNull())
+    ids = F.filter(F.transform(back, lambda s: s["sentence_id"]), lambda i: i.isNotNull())
+    tag = lambda name, i: F.concat(F.lit(f"{name}:"), F.coalesce(i.cast("string"), F.lit("?")))
+
+    def notes(s: Column, text: Column) -> Column:
+        seen = F.filter(F.coalesce(s["annotations"], F.array().cast("array<struct<category:string,use:string,evidence_span:string,other_description:string>>")), lambda a: a.isNotNull())
+        key = lambda a: F.struct(a["category"], a["use"], a["evidence_span"])
+        some = lambda test: F.exists(seen, test)
+        inside = lambda a: F.coalesce(F.contains(text, a["evidence_span"]), F.lit(False))
+        loosely = lambda a: F.coalesce(F.contains(flat(text), flat(a["evidence_span"])), F.lit(False))
+        told = text.isNotNull()
+        return F.array(
+            F.when(s["annotations"].isNull(), "annotations_not_a_list"), F.when(F.exists(s["annotations"], lambda a: a.isNull()), "annotation_not_an_object"),
+            F.when(some(lambda a: ~F.coalesce(a["category"].isin(*categories, other), F.lit(False))), "invalid_category"), F.when(some(lambda a: ~F.coalesce(a["use"].isin(*uses), F.lit(False))), "invalid_use"),
+            F.when(some(lambda a: blank(a["evidence_span"])), "missing_span"), F.when(told & some(lambda a: ~blank(a["evidence_span"]) & ~inside(a) & loosely(a)), "span_but_for_spacing"),
+            F.when(told & some(lambda a: ~blank(a["evidence_span"]) & ~inside(a) & ~loosely(a)), "span_not_verbatim"),
+            F.when(some(lambda a: a["category"].eqNullSafe(other) & (F.coalesce(a["other_description"], F.lit("")) == "")), "other_without_description"),
+            F.when(some(lambda a: ~a["category"].eqNullSafe(other) & (F.coalesce(a["other_description"], F.lit("")) != "")), "description_without_other"),
+            F.when(F.size(F.array_distinct(F.transform(seen, key))) < F.size(seen), "repeated_annotation"),
+        )
+
+    def of(s: Column) -> Column:
+        text = F.get(F.transform(F.filter(sentences, lambda g: g["sentence_id"] == s["sentence_id"]), lambda g: g["text"]), 0)
+        known = F.array_contains(given, s["sentence_id"])
+        own = F.array(F.when(F.coalesce(known, F.lit(False)) & (flat(s["text"]) != flat(text)), "altered_text"), F.when(s["rule_mentioned"].isNull(), "rule_mentioned_not_boolean"))
+        return F.transform(F.filter(F.concat(own, notes(s, text)), lambda f: f.isNotNull()), lambda f: F.concat(f, F.lit(":"), F.coalesce(s["sentence_id"].cast("string"), F.lit("?"))))
+
+    whole = F.filter(F.array(
+        F.when(got.isNull(), "not_an_object"), F.when(got.isNotNull() & (flat(got["vote"]) != flat(vote)), "vote_not_preserved"), F.when(got.isNotNull() & got["sentences"].isNull(), "sentences_not_a_list"),
+        F.when(F.exists(got["sentences"], lambda s: s.isNull()), "sentence_not_an_object"),
+    ), lambda f: f.isNotNull())
+    sets = F.concat(
+        F.transform(F.array_except(given, ids), lambda i: tag("missing_sentence", i)), F.transform(F.array_except(ids, given), lambda i: tag("unknown_sentence", i)),
+        F.transform(F.filter(F.array_distinct(ids), lambda i: F.size(F.filter(ids, lambda j: j == i)) > 1), lambda i: tag("repeated_sentence", i)),
     )
-    return F.filter(flags, lambda f: f.isNotNull())
+    checked = F.when(got.isNotNull() & got["sentences"].isNotNull(), F.concat(sets, F.flatten(F.transform(back, of)))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(whole, checked)))
 
 
 def review_sheet(items: DataFrame, labelled: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

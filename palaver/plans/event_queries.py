@@ -59,7 +59,7 @@ def a10(spark, d):
 
 def claims(spark, d):
     """Roles named in lines labelled as identity declarations, by known players."""
-    x = lines(spark, d).where(F.col("player").isNotNull() & F.array_contains("labels", "Identity Declaration"))
+    x = lines(spark, d, text=True).where(F.col("player").isNotNull() & F.array_contains("labels", "Identity Declaration"))
     return x.select("game_id", "player", "line_id", role_mentions(F.col("utterance"), ROLES).alias("roles"))
 
 
@@ -290,6 +290,14 @@ def k05(spark, d):
     return S.stratified(votes(spark, d).select("file_row_id", "model_name", "status"), ["model_name", "status"], "file_row_id", 7)
 
 
+@query("K05_pilot", f", o as (select * from vv where is_correct is not null and model_name is not null qualify row_number() over (partition by model_name, game_id order by {_H.format('file_row_id')}, file_row_id) = 1) select file_row_id, model_name, game_id, is_correct from o qualify row_number() over (partition by model_name, is_correct order by {_H.format('file_row_id')}, file_row_id) <= 6")
+def k05_pilot(spark, d):
+    """One run of each model and game, then the same number from each cell of model and correctness."""
+    v = valid_votes(spark, d).where("is_correct is not null and model_name is not null").select("file_row_id", "model_name", "game_id", "is_correct")
+    one = S.keep_one(v, ["model_name", "game_id"], [K.hash_rank(F.col("file_row_id"), F.lit(0)), F.col("file_row_id")])
+    return S.stratified(one, ["model_name", "is_correct"], "file_row_id", 6)
+
+
 @query("K05_allocation", ", c as (select status, count(*) as n from v group by 1), q as (select status, n * 100.0 / sum(n) over () as q from c), f as (select *, floor(q) as f, row_number() over (order by q - floor(q) desc, status) as k from q) select status, (f + (k <= 100 - sum(f) over ())::int)::int as n from f")
 def k05_allocation(spark, d):
     return S.largest_remainder(votes(spark, d).groupBy("status").agg(F.count("*").alias("w")), 100, "status", "w").select("status", "n")

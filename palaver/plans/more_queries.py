@@ -197,12 +197,49 @@ def f41(spark, d):
     return x.select("record_id", (F.col("i") + 1).alias("item_no"), R.item_flags(F.col("it"), ["werewolf", "deception"]).alias("flags"))
 
 
-@query("F42_sentence_flags")
+def _annotations():
+    """Annotations of one text with one defect each (or none), and the flags they must get."""
+    a = lambda c="Claim", u="support", e="Ann lied", o=None: {"category": c, "use": u, "evidence_span": e, "other_description": o}
+    s1 = lambda n=None, **k: {"sentence_id": 1, "text": "Ann lied.", "rule_mentioned": False, "annotations": [a()] if n is None else n} | k
+    s2 = lambda **k: {"sentence_id": 2, "text": "I  vote for Ann.", "rule_mentioned": True, "annotations": []} | k
+    whole = lambda *s, vote="Ann": {"vote": vote, "sentences": list(s)}
+    return [
+        (whole(s1(), s2()), ""), (None, "not_an_object"), (whole(s1(), s2(), vote="Bob"), "vote_not_preserved"), (whole(s1(), s2(), vote=" Ann "), ""), ({"vote": "Ann", "sentences": None}, "sentences_not_a_list"),
+        (whole(s1(), s2(), None), "sentence_not_an_object"), (whole(s1()), "missing_sentence:2"), (whole(s1(), s2(), s2(sentence_id=7)), "unknown_sentence:7"), (whole(s1(), s2(), s2()), "repeated_sentence:2"),
+        (whole(s1(), s2(text="I vote for Bob.")), "altered_text:2"), (whole(s1(), s2(text="I vote for Ann. ")), ""), (whole(s1(rule_mentioned=None), s2()), "rule_mentioned_not_boolean:1"), (whole(s1(annotations=None), s2()), "annotations_not_a_list:1"),
+        (whole(s1([a(), None]), s2()), "annotation_not_an_object:1"), (whole(s1([a(c="Guess")]), s2()), "invalid_category:1"), (whole(s1([a(u=None)]), s2()), "invalid_use:1"), (whole(s1([a(e=" ")]), s2()), "missing_span:1"),
+        (whole(s1(), s2(annotations=[a(e="I vote")])), "span_but_for_spacing:2"), (whole(s1([a(e="Ann told lies")]), s2()), "span_not_verbatim:1"), (whole(s1([a(c="Other")]), s2()), "other_without_description:1"), (whole(s1([a(c="Other", o="tone")]), s2()), ""),
+        (whole(s1([a(o="tone")]), s2()), "description_without_other:1"), (whole(s1([a(), a()]), s2()), "repeated_annotation:1"), (whole(s1([a(), a(u="rebut")]), s2()), ""), (whole(s1([a(c="Guess", e="x")]), s2(text="?")), "altered_text:2,invalid_category:1,span_not_verbatim:1"),
+    ]
+
+
+@query("F42_sentence_flags", "")
 def f42(spark, d):
-    s = X.sentence_records(F.col("justification"))
-    ids = F.transform(s, lambda x: x["sentence_id"])
-    t = texts(spark, d)
-    return t.select("file_row_id", R.sentence_flags(s, F.slice(ids, 1, 4), F.col("justification"), F.array("chosen_player_name")).alias("flags"))
+    """The flags of annotations with one defect each: a fixture, as the tables hold no annotations."""
+    import json
+
+    rows = spark.createDataFrame([(i, json.dumps(x) if x else None) for i, (x, _) in enumerate(_annotations())], "case_no int, doc string")
+    given = F.array(F.struct(F.lit(1).alias("sentence_id"), F.lit("Ann lied.").alias("text")), F.struct(F.lit(2).alias("sentence_id"), F.lit("I  vote for Ann.").alias("text")))
+    got = F.from_json("doc", "vote string, sentences " + R.ANNOTATED.split("sentences:", 1)[1][:-1])
+    x = rows.withColumn("got", F.when(F.col("doc").isNotNull(), got))
+    return x.select("case_no", F.array_join(R.sentence_flags(given, F.lit("Ann"), F.col("got"), ["Claim"], ["support", "rebut"]), ",").alias("flags"))
+
+
+SQL["F42_sentence_flags"] = "select * from (values " + ", ".join(f"({i}, '{f}')" for i, (_, f) in enumerate(_annotations())) + ") t(case_no, flags)"
+
+
+@query("F56_label_columns", " select distinct label, trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_') as column_name from (select unnest(labels) as label from line)")
+def f56(spark, d):
+    """Labels as safe column suffixes."""
+    name = F.regexp_replace(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return lines(spark, d).select(F.explode("labels").alias("label")).distinct().select("label", name.alias("column_name"))
+
+
+@query("F64_iso_timestamps", " select file_row_id, strftime(loaded_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as loaded_at_iso from (select file_row_id, min(loaded_at) as loaded_at from vote_file_level group by 1) where loaded_at is not null")
+def f64(spark, d):
+    """Timestamps as UTC ISO text with microseconds."""
+    x = table(spark, d, "vote_file_level").groupBy("file_row_id").agg(F.min("loaded_at").alias("t")).where("t is not null")
+    return x.select("file_row_id", F.concat(F.date_format(F.col("t").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("loaded_at_iso"))
 
 
 @query("F50_normalised_labels", " select labels, count(*) as n from line group by 1")

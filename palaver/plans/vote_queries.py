@@ -42,6 +42,26 @@ def a16(spark, d):
     return V.majority(stochastic(spark, d), ["model_name", "game_id"])
 
 
+@query("A16_correct", " select model_name, game_id, avg(is_correct::int) as p_correct, coalesce(bool_or(is_correct), false) as at_least_one_correct, count(*) as n_votes from vv where decoding = 'stochastic' group by all")
+def a16_correct(spark, d):
+    """The mass of stochastic votes on the right answer, and whether any run found it."""
+    ok = F.col("is_correct").cast("int")
+    return valid_votes(spark, d).where("decoding = 'stochastic'").groupBy("model_name", "game_id").agg(F.avg(ok).alias("p_correct"), F.coalesce(F.max(ok) == 1, F.lit(False)).alias("at_least_one_correct"), F.count("*").alias("n_votes"))
+
+
+@query("A46_matched_shares", f""", {DIST}, c as (select game_id, lower(trim(player)) as k from slot group by all), m as (select d.model_name, d.game_id, d.target, d.n, (d.target = 'No Werewolf' or c.k is not null) as known from d left join c on c.game_id = d.game_id and c.k = lower(trim(d.target)))
+ select model_name, count(distinct game_id) filter (where known) as n_sets, sum(case when known then n else 0 end)::bigint as n_votes, sum(case when known then 0 else n end)::bigint as n_dropped, sum(case when known and target = 'No Werewolf' then n else 0 end) * 1.0 / nullif(sum(case when known then n else 0 end), 0) as circle_share,
+ (select count(*) from (select game_id from m m2 where m2.known and m2.model_name is not distinct from m.model_name group by 1 having count(*) > 1)) * 1.0 / nullif(count(distinct game_id) filter (where known), 0) as split_share from m group by model_name""")
+def a46_shares(spark, d):
+    """Votes that name an alternative of their game, those dropped, and shares of circle votes and split games."""
+    c = slots(spark, d).select("game_id", F.lower(F.trim("player")).alias("k")).distinct().withColumn("here", F.lit(True))
+    m = stochastic(spark, d).withColumn("k", F.lower(F.trim("target"))).join(c, ["game_id", "k"], "left")
+    known = (F.col("target") == "No Werewolf") | F.coalesce("here", F.lit(False))
+    g = m.groupBy("model_name", "game_id").agg(F.count_if(known).alias("t"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("v"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("x"), F.sum(F.when(F.col("target") == "No Werewolf", F.col("n")).otherwise(0)).alias("o"))
+    n = F.count_if(F.col("t") > 0)
+    return g.groupBy("model_name").agg(n.alias("n_sets"), F.sum("v").alias("n_votes"), F.sum("x").alias("n_dropped"), F.try_divide(F.sum("o"), F.sum("v")).alias("circle_share"), F.try_divide(F.count_if(F.col("t") > 1), n).alias("split_share"))
+
+
 @query("A16_greedy_support", f""", {DIST}, gr as (select model_name, game_id, min(target) as greedy from vv where decoding = 'greedy' group by all)
  select model_name, game_id, greedy, coalesce(max((target = greedy)::int), 0) = 1 as in_support, count(target) as n_targets from gr left join d using (model_name, game_id) group by all""")
 def a16_greedy(spark, d):

@@ -265,3 +265,67 @@ def test_large_exact_binomials():
     for k, n in ((0, 1001), (450, 1001), (990, 2000), (1500, 3000), (100, 3000)):
         assert math.isclose(binomial_two_sided(k, n), exact(k, n), rel_tol=1e-9)
     assert 0 < binomial_two_sided(499_990_000, 1_000_000_000) < 1
+
+
+def test_cross_validation_equals_a_plain_reading(spark):
+    df, cols = _simulated(spark, 90, np.array([0.9, -0.6, 0.0]), seed=11)
+    df = df.withColumn(cols[0], F.col(cols[0]) * F.when(F.col("g") < "g4", 20.0).otherwise(1.0))  # spreads differ between folds
+    x = C.choice_sets(df, ["g"], "a", "n", cols)
+    rows = [(int(r["h"]), np.array(r["x"]).reshape(-1, 3), np.array(r["n"])) for r in x.collect()]
+    lam, folds = 5.0, 3
+    at = np.floor(C._uniform(np.array([r[0] for r in rows]), 0) * folds).astype(int)
+
+    def plain(train, held):
+        flat = np.concatenate([r[1] for r in train])
+        mean, sd = flat.mean(0), flat.std(0)
+        b = np.zeros(3)
+        for _ in range(60):
+            g, h = -lam * b, lam * np.eye(3)
+            for _, X, n in train:
+                Z = (X - mean) / sd
+                q = np.exp(Z @ b - (Z @ b).max())
+                q /= q.sum()
+                g += (n - n.sum() * q) @ Z
+                h += n.sum() * (Z.T @ (q[:, None] * Z) - np.outer(q @ Z, q @ Z))
+            b = b + np.clip(np.linalg.solve(h, g), -1, 1)
+        ll = n_all = 0.0
+        for _, X, n in held:
+            v = (X - mean) / sd @ b
+            ll += n @ (v - np.log(np.exp(v).sum()))
+            n_all += n.sum()
+        return ll / n_all
+
+    want = np.mean([plain([r for r, a in zip(rows, at) if a != f], [r for r, a in zip(rows, at) if a == f]) for f in range(folds)])
+    got = C.cross_validated(x, cols, [lam], folds=folds, seeds=(0,))
+    assert got[0][2] == pytest.approx(want, abs=1e-5)
+
+
+def test_f1_and_auc_by_replicate_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), f"g{rng.randrange(12)}", rng.randrange(2), rng.randrange(2), rng.randrange(100) / 100) for _ in range(400)]
+    df = spark.createDataFrame(rows, "m string, g string, y int, p int, s double")
+    got = {(r["m"], r["rep"]): r for r in B.f1_auc_draws(df, "g", "m", "y", "p", "s", 5).collect()}
+    w = {(r["g"], r["rep"]): r["w"] for r in df.select("g").distinct().crossJoin(spark.range(5).withColumnRenamed("id", "rep")).select("g", "rep", B.weight(F.col("g"), F.col("rep")).alias("w")).collect()}
+    for (m, rep), r in got.items():
+        x = [(y, p, s, 1 if rep < 0 else w[(g, rep)]) for k, g, y, p, s in rows if k == m]
+        tp = sum(c for y, p, _, c in x if y and p)
+        assert r["f1"] == pytest.approx(2 * tp / sum(c * (y + p) for y, p, _, c in x))
+        pos, neg = [(s, c) for y, _, s, c in x if y], [(s, c) for y, _, s, c in x if not y]
+        wins = sum(a * b * ((s > t) + 0.5 * (s == t)) for s, a in pos for t, b in neg)
+        assert r["auc"] == pytest.approx(wins / (sum(a for _, a in pos) * sum(b for _, b in neg)))
+    out = B.f1_auc_intervals(B.f1_auc_draws(df, "g", "m", "y", "p", "s", 5), "m").collect()
+    assert {(r["first"], r["second"], r["metric"]) for r in out} == {(a, b, k) for a, b in (("a", ""), ("b", ""), ("a", "b")) for k in ("f1", "auc")}
+
+
+def test_ranks_and_splits_in_parts_equal_whole_sorts(spark):
+    rng = random.Random(6)
+    vals = [rng.choice([0.0, 1e-9 * rng.random(), rng.random() ** 8, 5.0]) for _ in range(500)]
+    got = {r["v"]: r["rank"] for r in T.value_ranks(spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double"), "x").collect()}
+    order = sorted(vals)
+    for v, r in got.items():
+        assert r == pytest.approx(order.index(v) + (order.count(v) + 1) / 2)
+    df = spark.createDataFrame([(i, rng.choice(["big", "big", "small", None])) for i in range(900)], "i int, k string")
+    share = {k: sum(r["split"] == "val" for r in x) / len(x) for k in ("big", "small", None) if (x := [r for r in S.split_by_share(df, ["k"], "i", 0.3).collect() if r["k"] == k])}
+    sizes = {k: df.where(F.col("k").eqNullSafe(F.lit(k))).count() for k in share}
+    assert all(round(share[k] * n) == round(n * 0.3) for k, n in sizes.items()) and sum(sizes.values()) == 900
+
