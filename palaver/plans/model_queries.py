@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.keys import hash_rank
@@ -73,7 +77,13 @@ def f54(spark, d):
     return slots(spark, d).where("end_role is not null").select("game_id", "slot", F.array(*[(F.col("end_role") == r).cast("int") for r in ROLES]).alias("hot"))
 
 
-@query("F55_vectors")
+_AC = """, rr as (select record_id, game_id, items from accusation_records qualify row_number() over (partition by record_id order by loaded_at) = 1),
+rl as (select game_id, re.type as type, re.accused as accused from (select game_id, unnest(it.relations) as re from (select game_id, unnest(items) as it from rr) where it is not null) where re is not null),
+ac as (select game_id, lower(trim(accused)) as k, count_if(type = 'werewolf')::double as a0, count_if(type = 'deception')::double as a1, count_if(coalesce(type, '') not in ('werewolf', 'deception'))::double as a2 from (select game_id, type, unnest(accused) as accused from rl) where accused is not null and regexp_matches(accused, '\\S') and accused <> 'UNKNOWN' group by all)"""
+
+
+@query("F55_vectors", f""", pt as (select game_id, lower(trim(player)) as k, count(*)::double as n, {', '.join(f"count_if(list_contains(labels, '{k}'))::double as c{i}" for i, k in enumerate(LABELS))} from line where player is not null group by all) {_AC}
+ select s.game_id, s.slot, [{', '.join(f"coalesce(c{i}, 0)" for i in range(len(LABELS)))}, coalesce(n, 0)] as technique, [{', '.join(f"coalesce(c{i}, 0)" for i in range(len(LABELS)))}, coalesce(n, 0), coalesce(a0, 0), coalesce(a1, 0), coalesce(a2, 0)] as enriched from slot s left join pt on pt.game_id = s.game_id and pt.k = lower(trim(s.player)) left join ac on ac.game_id = s.game_id and ac.k = lower(trim(s.player))""")
 def f55(spark, d):
     return features(spark, d).select("game_id", "slot", F.array(*[F.col(c) for c in A]).alias("technique"), F.array(*[F.col(c) for c in A + BB]).alias("enriched"))
 
@@ -190,12 +200,16 @@ def m13(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     b = cut(ballot(spark, d).withColumn("fold", F.pmod(hash_rank(F.col("game_id")), F.lit(5))).withColumn("label", (F.col("n") > 0).cast("double")).withColumn("w", F.greatest(F.col("n"), F.lit(1)).cast("double")))
-    out = None
-    for m in sorted(r[0] for r in b.select("model_name").distinct().collect()):
+    names = sorted(r[0] for r in b.select("model_name").distinct().collect())
+
+    def one(m: str):
         mine = b.where(F.col("model_name") == m)
         model, _ = C.boosted_ranker(mine.where("fold <> 0"), FULL, "label", "w", trees=100)
         scored = model.transform(C.binary_logit_input(mine.where("fold = 0"), FULL)).select("game_id", "player", "n", vector_to_array("probability")[1].alias("p"))
         top = scored.groupBy("game_id").agg(F.max_by("n", F.struct("p", "player")).alias("hit"), F.sum("n").alias("n")).where("n > 0")
-        one = top.agg(F.lit(m).alias("model_name"), (F.sum("hit") / F.sum("n")).alias("hit_rate"), F.count("*").alias("n_games"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        return top.agg(F.lit(m).alias("model_name"), (F.sum("hit") / F.sum("n")).alias("hit_rate"), F.count("*").alias("n_games"))
+
+    # A tree is a few short jobs that leave most cores idle: the models' jobs run side by side.
+    with ThreadPoolExecutor(max(1, min(8, len(names)))) as pool:
+        parts = list(pool.map(one, names))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "model_name string, hit_rate double, n_games long")

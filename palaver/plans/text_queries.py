@@ -59,7 +59,7 @@ def f11(spark, d):
     return texts(spark, d).select("file_row_id", F.size(X.sentences(F.col("justification"))).alias("n_sentences"))
 
 
-@query("F12_sentence_records")
+@query("F12_sentence_records", f", {TX}, p as (select file_row_id, list_filter(list_transform(regexp_extract_all(justification, '[^.!?]+(?:[.!?]+|$)'), lambda c: trim(c, ' \t\n\r')), lambda c: regexp_matches(c, '[\pL\pN_]')) as l from tx) select file_row_id, i::int as sentence_id, l[i] as text from (select *, unnest(range(1, len(l) + 1)) as i from p)")
 def f12(spark, d):
     return texts(spark, d).select("file_row_id", F.explode(X.sentence_records(F.col("justification"))).alias("s")).select("file_row_id", "s.sentence_id", "s.text")
 
