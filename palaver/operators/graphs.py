@@ -174,3 +174,22 @@ def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     by_edge = edges.groupBy("graph").agg(F.count("*").alias("n_edges"), F.countDistinct("relation").alias("n_relations"), F.countDistinct("grp").alias("n_groups"), F.count_if(F.col("source") == F.col("target")).alias("n_self"))
     return by_node.join(by_edge, "graph", "left").fillna(0)
+
+
+def group_features(nodes: DataFrame, edges: DataFrame, conclusion: str, support: str, attack: str) -> DataFrame:
+    """What a graph's inference groups look like (A66): one row for each graph with a node.
+
+    Conclusions, groups, linked groups (of several sources), targets that several groups lead to,
+    groups of either relation (by their first edge), whether an edge attacks, and the sorted roles
+    and relations.
+    """
+    own = nodes.groupBy("graph").agg(F.count_if(F.col("role") == conclusion).alias("n_conclusions"), F.array_sort(F.collect_set("role")).alias("node_roles"))
+    rel = edges.groupBy("graph").agg(F.coalesce(F.max(F.col("relation") == attack), F.lit(False)).alias("has_attack"), F.array_sort(F.collect_set("relation")).alias("edge_relations"))
+    g = expected_groups(edges)
+    per = g.groupBy("graph").agg(
+        F.count("*").alias("n_groups"), F.count_if(F.size("sources") > 1).alias("n_linked_groups"), F.count_if(F.col("relation") == support).alias("n_support_groups"), F.count_if(F.col("relation") == attack).alias("n_attack_groups")
+    )
+    many = g.groupBy("graph", "target").agg(F.count("*").alias("k")).where("k > 1").groupBy("graph").agg(F.count("*").alias("n_targets_with_several_groups"))
+    x = own.join(rel, "graph", "left").join(per, "graph", "left").join(many, "graph", "left")
+    counts = ["n_groups", "n_linked_groups", "n_support_groups", "n_attack_groups", "n_targets_with_several_groups"]
+    return x.fillna(0, counts).select("graph", "n_conclusions", *counts, F.coalesce("has_attack", F.lit(False)).alias("has_attack"), "node_roles", F.coalesce("edge_relations", F.array().cast("array<string>")).alias("edge_relations"))

@@ -44,6 +44,17 @@ def stratified(df: DataFrame, strata: list[str], row_id: str, per_cell: int, see
     return near.withColumn("__k", k).where(F.col("__k") <= per_cell).drop("__h", "__b", "__k")
 
 
+def topped_up(df: DataFrame, strata: list[str], row_id: str, per_cell: int, total: int, seed: int = 0) -> DataFrame:
+    """``per_cell`` rows of each stratum, then rows of all strata by hash rank up to ``total`` in all.
+
+    ``is_top_up`` tells the two apart. Only ``total`` rows can be taken beyond the strata, so the rest is limited before it is sorted in.
+    """
+    cells = stratified(df, strata, row_id, per_cell, seed).withColumn("is_top_up", F.lit(False))
+    rest = df.join(cells.select(row_id), row_id, "left_anti").orderBy(hash_rank(F.col(row_id), F.lit(seed)), row_id).limit(total).withColumn("is_top_up", F.lit(True))
+    both = cells.unionByName(rest)
+    return both.orderBy("is_top_up", hash_rank(F.col(row_id), F.lit(seed)), row_id).limit(total)
+
+
 def split_by_share(df: DataFrame, by: list[str], row_id: str, share: float, seed: int = 0) -> DataFrame:
     """``df`` with ``split``: ``val`` for the first round(n * share) hash ranks of each bucket, else ``train``.
 

@@ -114,6 +114,17 @@ def a45(spark, d):
     return claims(spark, d).where(F.size("roles") > 0).groupBy("game_id", "player").agg(flag("Werewolf").alias("claimed_werewolf"), flag("Villager").alias("claimed_villager"), F.count("*").alias("n_claims"))
 
 
+@query("A45_claims_by_half", f""", {CL}, o as (select line_id, case when 2 * row_number() over (partition by game_id order by rec_id, line_id) <= count(*) over (partition by game_id) then 'early' else 'late' end as half from line),
+ h as (select game_id, player, half, list_sort(list_distinct(flatten(list(roles)))) as roles from cl join o using (line_id) where len(roles) > 0 group by all)
+ select game_id, player, {', '.join(f"max((half = '{w}' and list_contains(roles, '{r}'))::int) as {w}_{r.lower().replace(' ', '_')}" for w in ('early', 'late') for r in ROLES)} from h group by all""")
+def a45_by_half(spark, d):
+    """Roles that a player claims in each half of a game, as flags: the union of a half's claims, then their maximum."""
+    o = positions(lines(spark, d).select("game_id", "line_id", "rec_id"), ["game_id"], ["rec_id", "line_id"]).select("line_id", half(F.col("position"), F.col("n")).alias("half"))
+    c = claims(spark, d).where(F.size("roles") > 0).join(o, "line_id")
+    flag = lambda w, r: F.max(((F.col("half") == w) & F.array_contains("roles", r)).cast("int")).alias(f"{w}_{r.lower().replace(' ', '_')}")
+    return c.groupBy("game_id", "player").agg(*[flag(w, r) for w in ("early", "late") for r in ROLES])
+
+
 @query("A68_list_values", " select label, count(*) as n from (select unnest(labels) as label from line) group by 1")
 def a68(spark, d):
     return lines(spark, d).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
@@ -298,6 +309,12 @@ def k05_pilot(spark, d):
     return S.stratified(one, ["model_name", "is_correct"], "file_row_id", 6)
 
 
+@query("K06_topped_up", f", r as (select file_row_id, model_name, {_H.format('file_row_id')} as h from v), c as (select *, row_number() over (partition by model_name order by h, file_row_id) as k from r), o as (select *, k > 4 as is_top_up from c) select file_row_id, model_name, is_top_up from o order by is_top_up, h, file_row_id limit 40")
+def k06_topped_up(spark, d):
+    """Four rows of each model, topped up to forty by hash rank."""
+    return S.topped_up(votes(spark, d).select("file_row_id", "model_name"), ["model_name"], "file_row_id", 4, 40)
+
+
 @query("K05_allocation", ", c as (select status, count(*) as n from v group by 1), q as (select status, n * 100.0 / sum(n) over () as q from c), f as (select *, floor(q) as f, row_number() over (order by q - floor(q) desc, status) as k from q) select status, (f + (k <= 100 - sum(f) over ())::int)::int as n from f")
 def k05_allocation(spark, d):
     return S.largest_remainder(votes(spark, d).groupBy("status").agg(F.count("*").alias("w")), 100, "status", "w").select("status", "n")

@@ -396,6 +396,16 @@ def a66(spark, d):
     return G.features(*graph(spark, d))
 
 
+@query("A66_group_features", f""", {GR}, g0 as (select graph, grp, len(list_distinct(list(source))) + (count(*) > count(source))::int as k, arg_min_null(target, pos) as target, arg_min_null(relation, pos) as relation from ed where coalesce(grp, '') <> '' group by all),
+ pg as (select graph, count(*) as n_groups, count_if(k > 1) as n_linked_groups, count_if(relation = 'deception') as n_support_groups, count_if(relation = 'werewolf') as n_attack_groups from g0 group by 1),
+ mt as (select graph, count(*) as m from (select graph, target from g0 group by all having count(*) > 1) group by 1),
+ nd as (select game_id as graph, count_if(coalesce(end_role, '') = 'Tanner') as n_conclusions, list_sort(list_distinct(list(coalesce(end_role, '')))) as node_roles from slot group by 1),
+ re as (select graph, bool_or(coalesce(relation = 'werewolf', false)) as has_attack, list_sort(list_distinct(list(relation) filter (relation is not null))) as edge_relations from ed group by 1)
+ select nd.graph, n_conclusions, coalesce(n_groups, 0) as n_groups, coalesce(n_linked_groups, 0) as n_linked_groups, coalesce(n_support_groups, 0) as n_support_groups, coalesce(n_attack_groups, 0) as n_attack_groups, coalesce(m, 0) as n_targets_with_several_groups, coalesce(has_attack, false) as has_attack, node_roles, coalesce(edge_relations, []) as edge_relations from nd left join pg using (graph) left join mt using (graph) left join re using (graph)""")
+def a66_groups(spark, d):
+    return G.group_features(*graph(spark, d), "Tanner", "deception", "werewolf")
+
+
 @query("A67_relation_shares", f", {GR} select source, relation, count(*) as n, count(*) * 100.0 / sum(count(*)) over (partition by source) as pct from ed where relation is not null and source is not null group by source, relation")
 def a67(spark, d):
     return shares(graph(spark, d)[1].where("relation is not null and source is not null"), ["source"], "relation")

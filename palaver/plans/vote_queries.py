@@ -164,6 +164,28 @@ def a28(spark, d):
     return v.where("decoding = 'stochastic'").join(c, "game_id").groupBy("model_name", k.alias("solvability")).agg(F.count("*").alias("n"), F.avg(F.col("is_correct").cast("int")).alias("accuracy"))
 
 
+@query("A28_pivoted", """, c as (select game_id, avg(is_correct::int) as human from vv where decoding = 'greedy' group by 1), x as (select model_name, game_id, is_correct::int as ok, human from vv join c using (game_id) where decoding = 'stochastic' and human is not null),
+ gg as (select 'two' as grouping, model_name, case when human > 0 then 'solved' else 'unsolved' end as k, ok from x union all select 'three', model_name, case when human >= 0.5 then 'easy' when human > 0 then 'mixed' else 'unsolved' end, ok from x)
+ select grouping, model_name, avg(ok) filter (where k = 'easy') as easy, avg(ok) filter (where k = 'mixed') as mixed, avg(ok) filter (where k = 'solved') as solved, avg(ok) filter (where k = 'unsolved') as unsolved from gg group by grouping, model_name""")
+def a28_pivoted(spark, d):
+    """Accuracy by how many greedy runs solve a game, in two and in three groups, one column each."""
+    v = valid_votes(spark, d)
+    c = v.where("decoding = 'greedy'").groupBy("game_id").agg(F.avg(F.col("is_correct").cast("int")).alias("human")).where("human is not null")
+    three = F.when(F.col("human") >= 0.5, "easy").when(F.col("human") > 0, "mixed").otherwise("unsolved")
+    two = F.when(F.col("human") > 0, "solved").otherwise("unsolved")
+    x = v.where("decoding = 'stochastic'").join(c, "game_id").select("model_name", F.col("is_correct").cast("int").alias("ok"), F.explode(F.array(F.struct(F.lit("two").alias("grouping"), two.alias("k")), F.struct(F.lit("three").alias("grouping"), three.alias("k")))).alias("g"))
+    return x.select("model_name", "ok", "g.*").groupBy("grouping", "model_name").pivot("k", ["easy", "mixed", "solved", "unsolved"]).agg(F.avg("ok"))
+
+
+@query("A48_null", ", b as (select game_id, count(*) + 1 as m from slot group by 1), n as (select model_name, game_id, count(*) as n from vv where decoding = 'stochastic' group by all) select model_name, sum(-n * ln(m)) / sum(n) as null_ll, sum(n * 1.0 / m) / sum(n) as null_hit, sum(n)::bigint as n_votes from n join b using (game_id) group by 1")
+def a48_null(spark, d):
+    """Log-likelihood and hit rate of guessing evenly among a game's seats and nobody."""
+    b = slots(spark, d).groupBy("game_id").agg((F.count("*") + 1).alias("m"))
+    n = valid_votes(spark, d).where("decoding = 'stochastic'").groupBy("model_name", "game_id").agg(F.count("*").alias("n"))
+    x = n.join(b, "game_id")
+    return x.groupBy("model_name").agg((F.sum(-F.col("n") * F.log("m")) / F.sum("n")).alias("null_ll"), (F.sum(F.col("n") / F.col("m")) / F.sum("n")).alias("null_hit"), F.sum("n").alias("n_votes"))
+
+
 @query("A46_vote_targets", """ select model_name, game_id, p.player as alternative, count(*) as n from vv join slot p using (game_id) where lower(trim(p.player)) = lower(trim(vv.target)) group by all
  union all select model_name, game_id, 'No Werewolf', count(*) from vv where is_circle_vote group by all""")
 def a46(spark, d):
