@@ -11,11 +11,14 @@ from palaver.tables import first_delivery, table
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    rows = first_delivery(table(spark, d, "prelim_results"), ["prelim_id"], "created_at", ["question", "raw_response", "max_new_tokens", "debug_info", "model_name"])
+    raw = table(spark, d, "prelim_results")
+    rows = first_delivery(raw, ["prelim_id"], "created_at", ["question", "raw_response", "max_new_tokens", "debug_info"])
     cap = F.col("debug_info.output_token_count") >= F.col("max_new_tokens")
-    ends = t.posteriors(t.endings(t.values(("prelim_results", rows, "prelim_id", "model_name", "raw_response", cap, F.col("question")))))
-    got = rows.join(ends.select(F.col("row_id").alias("prelim_id"), F.col("log_lr").alias("cut_lr"), F.col("prior").alias("cut_prior")), "prelim_id", "left")
-    return p.judged(got.select(F.col("prelim_id").alias("row_id"), "question", F.col("raw_response").alias("raw"), "cut_lr", "cut_prior", cap.alias("at_cap")), table(spark, d, "documents"))
+    # Endings are judged where the deliveries lie; only their figures are shuffled.
+    ends = t.posteriors(t.endings(t.values(("prelim_results", raw, "prelim_id", "model_name", "raw_response", cap, F.col("question")))))
+    once = ends.groupBy(F.col("row_id").alias("prelim_id")).agg(F.max("log_lr").alias("cut_lr"), F.max("prior").alias("cut_prior"))
+    got = rows.join(once, "prelim_id", "left")
+    return p.judged(got.select(F.col("prelim_id").alias("row_id"), "question", F.col("raw_response").alias("raw"), "cut_lr", "cut_prior", cap.alias("at_cap")), table(spark, d, "documents"), train=raw.select("question", F.col("raw_response").alias("raw")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

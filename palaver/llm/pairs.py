@@ -297,14 +297,14 @@ def voted(pairs: DataFrame, weights: tuple[np.ndarray, float], languages: Langua
     return pairs.select("row_id", "question", "raw", F.col("cut_lr").cast("double"), F.col("cut_prior").cast("double"), F.coalesce("at_cap", F.lit(False))).mapInArrow(scan, schema)
 
 
-def judged(pairs: DataFrame, texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
+def judged(pairs: DataFrame, texts: DataFrame, text_id: str = "doc_id", train: DataFrame | None = None) -> DataFrame:
     """``pairs`` (row_id, question, raw, cut_lr, cut_prior, at_cap) with a posterior for each defect.
 
     ``cut_lr`` is the evidence of an ending, ``cut_prior`` that of a length limit; ``texts`` (text,
-    lang) teach languages. Nulls anywhere are allowed: without a question nothing is copied or
+    lang) teach languages and ``train`` (question, raw; ``pairs`` if not given) refusals. Nulls anywhere are allowed: without a question nothing is copied or
     foreign, without an ending's evidence nothing is cut. An empty table gives an empty result.
     """
-    votes = cut(voted(pairs, refusal_weights(pairs), Languages(texts, text_id)))
+    votes = cut(voted(pairs, refusal_weights(pairs if train is None else train), Languages(texts, text_id)))
     # At most 3 ** 5 patterns of one defect, whatever the number of pairs.
     pattern = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"v_{d}").alias("v")) for d in DEFECTS]))
     seen: dict[str, dict[str, int]] = {d: {} for d in DEFECTS}
