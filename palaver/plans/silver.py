@@ -33,8 +33,9 @@ def lines(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
     The utterance itself is there only with ``text``, so that counts shuffle no texts.
     """
     words = ["utterance"] if text else []
-    u = table(spark, d, "utterances").withColumn("labels", label_array(F.col("annotation"), NO_LABEL)).withColumn("k", bare_label(F.col("speaker")))
-    u = first_delivery(u, ["line_id"], "loaded_at", ["game_id", "source", "rec_id", "k", "labels", *words])
+    u = first_delivery(table(spark, d, "utterances"), ["line_id"], "loaded_at", ["game_id", "source", "rec_id", "speaker", "annotation", *words])
+    # Labels are made of what is left, and only where a query uses them.
+    u = u.withColumn("labels", label_array(F.col("annotation"), NO_LABEL)).withColumn("k", bare_label(F.col("speaker")))
     p = slots(spark, d).select("game_id", "player", name_key(F.col("player")).alias("k"))
     return u.join(p, ["game_id", "k"], "left").select("line_id", "game_id", "source", "rec_id", "player", "k", "labels", *words)
 
