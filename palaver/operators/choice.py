@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.keys import hash_rank
 from palaver.functions.mathx import chi2_sf, normal_sf
+from palaver.operators.bootstrap import POISSON
 from palaver.session import cut
 
 
@@ -26,47 +28,99 @@ def choice_sets(ballot: DataFrame, keys: list[str], alternative: str, count: str
 
     A set is one key's alternatives (a ballot) for one voter (``group``). Sets without any count are
     left out; null features are 0. ``h`` is of the key alone, so all groups have the same folds.
+    The sets are spread over all cores, as passes over them take long however few bytes they are.
     """
     voter = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
     key = F.concat_ws(" | ", *[F.col(k).cast("string") for k in keys])
     rows = F.array_sort(F.collect_list(F.struct(F.col(alternative).cast("string").alias("a"), F.coalesce(F.col(count), F.lit(0)).cast("double").alias("n"), F.array(*[F.coalesce(F.col(f), F.lit(0)).cast("double") for f in features]).alias("x"))))
-    g = ballot.groupBy(key.alias("key"), voter.alias("group")).agg(rows.alias("r"))
+    conf = ballot.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    spread = ballot.withColumns({"__key": key, "__voter": voter}).repartition(max(int(conf), ballot.sparkSession.sparkContext.defaultParallelism), "__key", "__voter")
+    g = spread.groupBy(F.col("__key").alias("key"), F.col("__voter").alias("group")).agg(rows.alias("r"))
     g = g.select("key", "group", hash_rank(F.col("key")).alias("h"), F.flatten(F.col("r.x")).alias("x"), F.col("r.n").alias("n"), F.col("r.a").alias("alts"))
     return g.where(F.aggregate("n", F.lit(0.0), lambda a, b: a + b) > 0)
 
 
+def with_features(sets: DataFrame, features: list[str], kept: list[str]) -> DataFrame:
+    """The sets with some of their features."""
+    at = [features.index(f) for f in kept]
+    return sets.withColumn("x", F.flatten(F.transform(F.sequence(F.lit(0), F.size("n") - 1), lambda i: F.array(*[F.get("x", i * len(features) + a) for a in at]))))
+
+
+def _blocks(b: pa.RecordBatch, k: int, cells: int = 1) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, places in the batch, hashes, features, counts) of sets that have one group and one number of alternatives.
+
+    Features are sets x alternatives x ``k``. A block has as many sets as make some 200,000 numbers for
+    each alternative in ``cells`` columns, so its arrays stay in the processor's cache.
+    """
+    if not b.num_rows:
+        return
+    of = b.column("group").dictionary_encode()
+    code, names, h = of.indices.to_numpy(), of.dictionary.to_pylist(), b.column("h").to_numpy()
+    x, c = b.column("x").flatten().to_numpy().reshape(-1, k), b.column("n").flatten().to_numpy()
+    size = pc.list_value_length(b.column("n")).to_numpy()
+    begin = np.cumsum(size) - size
+    order = np.lexsort((size, code))
+    edge = np.flatnonzero(np.diff(code[order]) | np.diff(size[order])) + 1
+    for at in np.split(order, edge):
+        j = int(size[at[0]])
+        most = max(1, 200_000 // (j * cells))
+        for i in range(0, len(at), most):
+            part = at[i : i + most]
+            rows = begin[part][:, None] + np.arange(j)
+            yield names[code[part[0]]], part, h[part], x[rows], c[rows]
+
+
+def _rows(sets: DataFrame, scan: Callable, schema: str) -> pa.Table:
+    """The rows of a pass over the sets, which all tasks make at once.
+
+    A task yields a row or one for each group; as many tasks as cores, but 48 at least, bound what comes back.
+    """
+    most = max(48, sets.sparkSession.sparkContext.defaultParallelism)
+    return sets.select("h", "group", "x", "n").coalesce(most).mapInArrow(scan, schema).toArrow()
+
+
+def _added(sets: DataFrame, scan: Callable) -> np.ndarray | None:
+    """The sum of the vectors that the tasks yield as bytes, None without a task."""
+    rows = _rows(sets, scan, "v binary").column("v")
+    return sum((np.frombuffer(v.as_buffer()) for v in rows), 0.0) if len(rows) else None
+
+
 def moments_by(sets: DataFrame, k: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """:func:`moments` of each group."""
-    rows = _moment_rows(sets, k)
-    found = {r["group"]: _spread(r[1:], k) for r in rows.groupBy("group").agg(*_moment_sums(k)).collect()}
+    found = {g: _spread(v, k) for g, v in _moment_sums(sets, k).items()}
     return {g: v[0] for g, v in found.items()}, {g: v[1] for g, v in found.items()}
 
 
 def moments(sets: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population deviation (1 if 0) of each feature over all alternatives."""
-    return _spread(_moment_rows(sets, k).agg(*_moment_sums(k)).first(), k)
+    return _spread(sum(_moment_sums(sets, k).values(), np.zeros(1 + 2 * k)), k)
 
 
-def _moment_rows(sets: DataFrame, k: int) -> DataFrame:
-    part = lambda i: F.filter("x", lambda v, at: at % k == i)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return sets.select("group", F.size("n").alias("m"), *[total(part(i)).alias(f"s{i}") for i in range(k)], *[total(F.transform(part(i), lambda v: v * v)).alias(f"q{i}") for i in range(k)])
+def _moment_sums(sets: DataFrame, k: int) -> dict[str, np.ndarray]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for g, _, _, x, _ in _blocks(b, k):
+                total[g] = total.get(g, 0) + np.concatenate([[x.shape[0] * x.shape[1]], x.sum((0, 1)), (x * x).sum((0, 1))])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["group", "v"])
 
-
-def _moment_sums(k: int) -> list:
-    return [F.sum("m"), *[F.sum(f"s{i}") for i in range(k)], *[F.sum(f"q{i}") for i in range(k)]]
+    out: dict[str, np.ndarray] = {}
+    for g, v in zip(*[c.to_pylist() for c in _rows(sets, scan, "group string, v array<double>").columns]):
+        out[g] = out.get(g, 0) + np.array(v)
+    return out
 
 
-def _spread(r: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
-    m = max(float(r[0] or 0), 1.0)
-    mean = np.array([float(v or 0) for v in r[1 : k + 1]]) / m
-    var = np.maximum(np.array([float(v or 0) for v in r[k + 1 :]]) / m - mean**2, 0)
-    sd = np.sqrt(var)
+def _spread(r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    m = max(r[0], 1.0)
+    mean = r[1 : k + 1] / m
+    sd = np.sqrt(np.maximum(r[k + 1 :] / m - mean**2, 0))
     return mean, np.where(sd < 1e-12, 1.0, sd)
 
 
-def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
-    z = h.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+def _uniform(h: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """A hash of ``h`` and the seed (an integer or an array of uint64) in [0, 1)."""
+    shift = seed * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019) if isinstance(seed, np.ndarray) else np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+    z = h.astype(np.uint64) + shift
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
@@ -100,14 +154,40 @@ class Problem:
             on = on & ((at == self.inner_fold) == self.inner_inside)
         return on.astype(float)
 
+    @property
+    def share(self) -> float:
+        """The expected share of the group's sets that have a weight."""
+        part = lambda n, inside: 1.0 if not n else 1 / n if inside else 1 - 1 / n
+        return (0.5 if self.half else 1.0) * part(self.folds, self.inside) * part(self.inner, self.inner_inside)
+
+
+class _Weightings:
+    """The problems of each group and their distinct weightings of sets."""
+
+    def __init__(self, problems: list[Problem]) -> None:
+        self.problems, self.found = problems, {}
+
+    def __call__(self, group: str) -> tuple[np.ndarray, list[Problem], np.ndarray]:
+        """(problems of the group, distinct weightings, the one of each problem)"""
+        if group not in self.found:
+            at = [i for i, q in enumerate(self.problems) if q.group in (None, group)]
+            cells: dict[Problem, int] = {}
+            of = [cells.setdefault(replace(self.problems[i], l1=0.0, l2=0.0, group=None), len(cells)) for i in at]
+            self.found[group] = np.array(at, int), list(cells), np.array(of, int)
+        return self.found[group]
+
+
+def _weights(cells: list[Problem], h: np.ndarray) -> np.ndarray:
+    return np.stack([q.weights(h, h) for q in cells])
+
 
 @dataclass
 class Sums:
-    """What a pass yields for each problem."""
+    """What a pass yields for each problem; without slopes no gradient and Hessian."""
 
     ll: np.ndarray
-    grad: np.ndarray
-    hess: np.ndarray
+    grad: np.ndarray | None
+    hess: np.ndarray | None
     n: np.ndarray
     hits: np.ndarray
     null: np.ndarray
@@ -126,69 +206,119 @@ def _of(scale: Scale, group: str) -> np.ndarray:
     return scale[group] if isinstance(scale, dict) else scale
 
 
-def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray, mean: Scale, sd: Scale, meat: bool = False, permute: int | None = None) -> Sums:
+def evaluate(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray, mean: Scale, sd: Scale, meat: bool = False, slopes: bool = True) -> Sums:
     """Log-likelihood, gradient, Hessian, counts, hits and null log-likelihood of all problems."""
-    p = len(problems)
+    return _evaluated(sets, k, problems, beta, mean, sd, meat, slopes)[0]
+
+
+_LEAST = float(np.log(1e-12))
+
+
+def _evaluated(sets: DataFrame, k: int, problems: list[Problem], beta: np.ndarray, mean: Scale, sd: Scale, meat: bool = False, slopes: bool = True, permute: tuple[int | None, ...] = (None,)) -> list[Sums]:
+    """:func:`evaluate` with each of the features ``permute`` permuted within sets, in one pass."""
+    p, (up, down) = len(problems), np.triu_indices(k)
+    # Columns: log-likelihood, choices, hits, null log-likelihood, gradient, upper half of the Hessian, that of the meat.
+    width = 4 + (k + len(up) * (2 if meat else 1) if slopes else 0)
+
+    def shared(X, c, w, b):
+        """The columns of each weighting and coefficient vector: sums by set, then over the sets of each weighting."""
+        m = c.sum(1)
+        v = X @ b.T
+        v -= v.max(axis=1, keepdims=True)
+        q = np.exp(v)
+        s = q.sum(axis=1, keepdims=True)
+        q /= s
+        ll = np.einsum("sj,sju->su", c, np.maximum(v - np.log(s), _LEAST))
+        one = np.ones_like(ll)
+        y = [ll, m[:, None] * one, np.take_along_axis(c, v.argmax(axis=1), axis=1), (-m * np.log(c.shape[1]))[:, None] * one]
+        y = [a[:, :, None] for a in y]
+        if slopes:
+            q = q.transpose(0, 2, 1)
+            bar = q @ X
+            g = np.einsum("sj,sjk->sk", c, X)[:, None, :] - m[:, None, None] * bar
+            y += [g, m[:, None, None] * (q @ (X[:, :, up] * X[:, :, down]) - bar[:, :, up] * bar[:, :, down])]
+            y += [g[:, :, up] * g[:, :, down]] if meat else []
+        y = np.concatenate(y, axis=2)
+        return (w @ y.reshape(len(y), -1)).reshape(len(w), len(b), -1)
+
+    def each(X, c, w, b):
+        """The columns of problems with a weighting and coefficients of their own, by products of matrices."""
+        n, j, _ = X.shape
+        out, m, flat = np.zeros((len(b), width)), c.sum(1), X.reshape(n * j, k)
+        v = (flat @ b.T).reshape(n, j, -1)
+        v -= v.max(axis=1, keepdims=True)
+        top = None if slopes else v.argmax(axis=1)
+        said = np.einsum("sj,sjp->sp", c, v)
+        q = np.exp(v)
+        s = q.sum(axis=1)
+        if q.min() <= 1e-12 * j:
+            ll = np.einsum("sj,sjp->sp", c, np.maximum(v - np.log(s)[:, None, :], _LEAST))
+        else:
+            ll = said - m[:, None] * np.log(s)
+        out[:, 0] = np.einsum("sp,ps->p", ll, w)
+        out[:, 1] = w @ m
+        out[:, 3] = w @ (-m * np.log(j))
+        if not slopes:
+            out[:, 2] = np.einsum("sp,ps->p", np.take_along_axis(c, top, axis=1), w)
+            return out
+        q *= (1 / s)[:, None, :]
+        bar = np.ascontiguousarray((X.transpose(0, 2, 1) @ q).transpose(2, 0, 1))
+        wm = w * m
+        q *= wm.T[:, None, :]
+        rows = q.reshape(n * j, -1).T @ np.concatenate([flat, flat[:, up] * flat[:, down]], axis=1)
+        out[:, 4 : 4 + k] = w @ np.einsum("sj,sjk->sk", c, X) - rows[:, :k]
+        out[:, 4 + k :] = rows[:, k:] - ((bar * wm[:, :, None]).transpose(0, 2, 1) @ bar)[:, up, down]
+        return out
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ll, n, hits, null = (np.zeros(p) for _ in range(4))
-        grad, hess, outer = np.zeros((p, k)), np.zeros((p, k, k)), np.zeros((p, k, k) if meat else (0,))
-        for pdf in frames:
-            hashes, groups = pdf["h"].to_numpy(), pdf["group"].to_numpy()
-            w = np.stack([q.weights(hashes, groups) for q in problems])
-            for j, (h, group, x, c) in enumerate(zip(hashes, groups, pdf["x"], pdf["n"])):
-                on = np.flatnonzero(w[:, j])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, of, betas = np.zeros((len(permute), p, width)), _Weightings(problems), {}
+        for b in batches:
+            for group, _, h, X, c in _blocks(b, k, max(1, min(p, 256))):
+                on, cells, cell = of(group)
                 if not len(on):
                     continue
-                X, c = (np.asarray(x, float).reshape(-1, k) - _of(mean, group)) / _of(sd, group), np.asarray(c, float)
-                if permute is not None:
-                    X = X.copy()
-                    X[:, permute] = X[np.argsort(_uniform(np.arange(len(c), dtype=np.uint64) + np.uint64(int(h)), 11)), permute]
-                v = X @ beta[on].T
-                v -= v.max(axis=0)
-                e = np.exp(v)
-                q = e / e.sum(axis=0)
-                m = c.sum()
-                ll[on] += c @ np.log(np.maximum(q, 1e-12))
-                g = ((c[:, None] - m * q).T @ X)
-                grad[on] += g
-                bar = q.T @ X
-                hess[on] += m * (np.einsum("ao,ai,aj->oij", q, X, X) - np.einsum("oi,oj->oij", bar, bar))
-                if meat:
-                    outer[on] += np.einsum("oi,oj->oij", g, g)
-                n[on] += m
-                hits[on] += c[np.argmax(q, axis=0)]
-                null[on] -= m * np.log(len(c))
-        out = [ll, grad, hess, n, hits, null] + ([outer] if meat else [])
-        yield pd.DataFrame({"v": [np.concatenate([o.ravel() for o in out])]})
-
-    # One row for each task comes back: problems x features squared numbers.
-    total = None
-    for r in sets.select("h", "group", "x", "n").mapInPandas(scan, "v array<double>").toLocalIterator():
-        v = np.array(r[0])
-        total = v if total is None else total + v
-    size = p * (4 + k + k * k + (k * k if meat else 0))
-    total = np.zeros(size) if total is None else total
-    at = np.cumsum([p, p * k, p * k * k, p, p, p])
-    parts = np.split(total, at)
-    return Sums(parts[0], parts[1].reshape(p, k), parts[2].reshape(p, k, k), parts[3], parts[4], parts[5], parts[6].reshape(p, k, k) if meat else None)
+                if group not in betas:
+                    one, at = np.unique(beta[on], axis=0, return_inverse=True)
+                    betas[group] = one, at.ravel()
+                one, at = betas[group]
+                w = _weights(cells, h)
+                X = (X - _of(mean, group)) / _of(sd, group)
+                for i, f in enumerate(permute):
+                    Z = X
+                    if f is not None:
+                        Z = X.copy()
+                        to = np.argsort(_uniform(np.arange(c.shape[1], dtype=np.uint64) + h.astype(np.uint64)[:, None], 11), axis=1)
+                        Z[:, :, f] = np.take_along_axis(X[:, :, f], to, axis=1)
+                    total[i, on] += shared(Z, c, w, one)[cell, at] if meat or (slopes and 4 * len(one) <= len(on)) else each(Z, c, w[cell], beta[on])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    total = _added(sets, scan)
+    total = np.zeros((len(permute), p, width)) if total is None else total.reshape(len(permute), p, width)
+
+    def full(half: np.ndarray) -> np.ndarray:
+        out = np.empty((p, k, k))
+        out[:, up, down] = out[:, down, up] = half
+        return out
+
+    cut_at = 4 + k + len(up)
+    return [Sums(t[:, 0], t[:, 4 : 4 + k] if slopes else None, full(t[:, 4 + k : cut_at]) if slopes else None, t[:, 1], t[:, 2], t[:, 3], full(t[:, cut_at:]) if meat else None) for t in total]
 
 
 def training_spread(sets: DataFrame, k: int, problems: list[Problem]) -> np.ndarray:
     """The population deviation (1 if 0) of each feature over the alternatives that each problem trains on."""
     p = len(problems)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((p, 1 + 2 * k))
-        for pdf in frames:
-            if len(pdf):
-                w = np.stack([q.weights(pdf["h"].to_numpy(), pdf["group"].to_numpy()) for q in problems])
-                rows = [np.asarray(x, float).reshape(-1, k) for x in pdf["x"]]
-                total += w @ np.stack([np.concatenate([[len(r)], r.sum(0), (r * r).sum(0)]) for r in rows])
-        yield pd.DataFrame({"v": [total.ravel()]})
-
-    # One row for each task: problems x features numbers.
-    total = sum((np.array(r[0]) for r in sets.select("h", "group", "x").mapInPandas(scan, "v array<double>").toLocalIterator()), np.zeros(p * (1 + 2 * k))).reshape(p, -1)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, of = np.zeros((p, 1 + 2 * k)), _Weightings(problems)
+        for b in batches:
+            for group, _, h, x, _ in _blocks(b, k):
+                on, cells, cell = of(group)
+                if len(on):
+                    total[on] += (_weights(cells, h) @ np.concatenate([np.full((len(x), 1), float(x.shape[1])), x.sum(1), (x * x).sum(1)], axis=1))[cell]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    total = _added(sets, scan)
+    total = np.zeros((p, 1 + 2 * k)) if total is None else total.reshape(p, -1)
     m = np.maximum(total[:, :1], 1.0)
     sd = np.sqrt(np.maximum(total[:, k + 1 :] / m - (total[:, 1 : k + 1] / m) ** 2, 0))
     return np.where(sd < 1e-12, 1.0, sd)
@@ -213,13 +343,31 @@ def _lasso_steps(b: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, ro
     return x
 
 
+def _starts(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Scale, free: tuple[int, ...]) -> np.ndarray:
+    """Where :func:`solve` begins: at zero, or for a penalised problem on part of the sets at the fit of all of them.
+
+    The whole has its penalty raised to be as large beside the likelihood as the part's is.
+    """
+    whole: dict[Problem, int] = {}
+    of = [whole.setdefault(Problem(l2=q.l2 / q.share, l1=q.l1 / q.share, group=q.group), len(whole)) if q.share < 1 and (q.l1 or q.l2) else -1 for q in problems]
+    beta = np.zeros((len(problems), k))
+    if whole and sum(i >= 0 for i in of) > 2 * len(whole):
+        fit, _ = solve(sets, k, list(whole), mean, sd, free)
+        for i, at in enumerate(of):
+            if at >= 0:
+                beta[i] = fit[at]
+    return beta
+
+
 def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Scale, free: tuple[int, ...] = (), rounds: int = 30, spread: np.ndarray | None = None) -> tuple[np.ndarray, Sums]:
     """Coefficients of all problems by (proximal) Newton steps with halving; ``free`` ones unpenalised.
 
     ``spread`` (problems x features) are deviations to standardise by in place of ``sd``, such as
     those of each problem's training sets. Means cancel within a set, and another deviation is the
     same as another weight of the penalty, so the features themselves need not be scaled anew; the
-    coefficients stay on the scale of ``sd``.
+    coefficients stay on the scale of ``sd``. Only problems that are not solved yet are evaluated;
+    a step that promises less than a hundred-millionth of the objective is the last one and is taken
+    unseen, so the sums (without hits) are those before it.
     """
     p = len(problems)
     ratio = np.ones((p, k)) if spread is None else np.stack([spread[i] / _of(sd, q.group) for i, q in enumerate(problems)])
@@ -227,36 +375,49 @@ def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Sca
     pen, pen1 = ratio * ratio, ratio
     l2, l1 = np.array([q.l2 for q in problems]), np.array([q.l1 for q in problems])
 
-    def objective(s: Sums, b: np.ndarray) -> np.ndarray:
-        return -s.ll + 0.5 * l2 * (pen * b * b).sum(1) + l1 * (pen1 * np.abs(b)).sum(1)
+    def objective(ll: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return -ll + 0.5 * l2[at] * (pen[at] * b * b).sum(1) + l1[at] * (pen1[at] * np.abs(b)).sum(1)
 
-    beta = np.zeros((p, k))
+    beta = _starts(sets, k, problems, mean, sd, free)
     s = evaluate(sets, k, problems, beta, mean, sd)
-    best = objective(s, beta)
+
+    def put(at: np.ndarray, t: Sums, of: np.ndarray) -> None:
+        for name in ("ll", "grad", "hess", "n", "hits", "null"):
+            getattr(s, name)[at] = getattr(t, name)[of]
+
+    # What the sets of a problem leave open would keep the value of other sets: such a problem begins at zero.
+    moved = np.flatnonzero((beta != 0).any(axis=1))
+    if len(moved):
+        h = s.hess[moved] + np.einsum("pi,ij->pij", l2[moved, None] * pen[moved], np.eye(k))
+        d = np.sqrt(np.maximum(np.einsum("pii->pi", h), 1e-300))
+        again = moved[np.linalg.eigvalsh(h / d[:, :, None] / d[:, None, :])[:, 0] < 1e-8]
+        if len(again):
+            beta[again] = 0.0
+            put(again, evaluate(sets, k, [problems[i] for i in again], beta[again], mean, sd), np.arange(len(again)))
+    left = np.arange(p)
+    best = objective(s.ll, beta, left)
     scale = np.ones(p)
     for _ in range(rounds):
-        new, lasso = beta.copy(), np.flatnonzero(l1)
-        g = s.grad - l2[:, None] * pen * beta
-        h = s.hess + np.einsum("pi,ij->pij", l2[:, None] * pen + 1e-9, np.eye(k))
-        step = np.zeros((p, k))
-        step[lasso] = _lasso_steps(beta[lasso], g[lasso], h[lasso], l1[lasso, None] * pen1[lasso]) - beta[lasso]
-        for i in np.flatnonzero(l1 == 0):
-            step[i] = np.linalg.lstsq(h[i], g[i], rcond=None)[0]
-        new += scale[:, None] * np.clip(step, -5, 5)
-        if np.abs(new - beta).max() < 1e-8:
-            break
-        t = evaluate(sets, k, problems, new, mean, sd)
-        now = objective(t, new)
-        ok = now <= best + 1e-12
-        gain = np.where(ok, best - now, 0)
-        beta = np.where(ok[:, None], new, beta)
-        for name in ("ll", "grad", "hess", "n", "hits", "null"):
-            a, b = getattr(s, name), getattr(t, name)
-            setattr(s, name, np.where(ok.reshape(-1, *[1] * (a.ndim - 1)), b, a))
-        best = np.where(ok, now, best)
-        scale = np.where(ok, np.minimum(1.0, scale * 2), scale / 2)
-        if ok.all() and gain.max() < 1e-9 * (1 + np.abs(best).max()):
+        b, lasso = beta[left], np.flatnonzero(l1[left])
+        g = s.grad[left] - l2[left, None] * pen[left] * b
+        h = s.hess[left] + np.einsum("pi,ij->pij", l2[left, None] * pen[left], np.eye(k))
+        # Directions that the sets leave open are not moved along; rounding would be all that moves them.
+        step = np.einsum("pij,pj->pi", np.linalg.pinv(h, rcond=1e-12, hermitian=True), g)
+        h = h + 1e-9 * np.eye(k)
+        step[lasso] = _lasso_steps(b[lasso], g[lasso], h[lasso], l1[left][lasso, None] * pen1[left][lasso]) - b[lasso]
+        step = scale[left, None] * np.clip(step, -5, 5)
+        gain = (g * step).sum(1) - 0.5 * np.einsum("pi,pij,pj->p", step, h, step) - l1[left] * (pen1[left] * (np.abs(b + step) - np.abs(b))).sum(1)
+        done = (gain < 1e-8 * (1 + np.abs(best[left]))) | (np.abs(step).max(axis=1) < 1e-8)
+        beta[left[done]] += step[done]
+        left, new = left[~done], (b + step)[~done]
+        if not len(left):
             break
+        t = evaluate(sets, k, [problems[i] for i in left], new, mean, sd)
+        now = objective(t.ll, new, left)
+        ok = now <= best[left] + 1e-12 * (1 + np.abs(best[left]))
+        beta[left[ok]], best[left[ok]] = new[ok], now[ok]
+        put(left[ok], t, ok)
+        scale[left] = np.where(ok, np.minimum(1.0, scale[left] * 2), scale[left] / 2)
     beta[np.abs(beta) < 1e-7] = 0.0
     return beta, s
 
@@ -308,21 +469,22 @@ def wald(fit: dict, added: list[str]) -> tuple[float, int, float]:
     return w, len(at), chi2_sf(w, len(at))
 
 
-def cross_validated(sets: DataFrame, features: list[str], penalties: list[float], free: tuple[int, ...] = (), folds: int = 5, seeds: tuple[int, ...] = (0, 1, 2), l1: bool = False) -> list[tuple]:
+def cross_validated(sets: DataFrame, features: list[str], penalties: list[float], free: tuple[int, ...] = (), folds: int = 5, seeds: tuple[int, ...] = (0, 1, 2), l1: bool = False, ready: bool = False) -> list[tuple]:
     """(group, penalty, mean held-out log-likelihood, its deviation, hit rate, pseudo R squared).
 
     All groups, folds, seeds and penalties are solved together, so the sets are read once for each step.
     Folds come from a hash of the set's key; features are standardised by the training sets alone.
+    ``ready`` sets are read from a checkpoint already.
     """
     k = len(features)
-    sets = cut(sets)
+    sets = sets if ready else cut(sets)
     mean, sd = moments_by(sets, k)
     if not mean:
         return []
     cells = [(g, p) for g in sorted(mean) for p in penalties]
     train = [Problem(l2=0 if l1 else p, l1=p if l1 else 0, seed=s, folds=folds, fold=f, group=g) for g, p in cells for s in seeds for f in range(folds)]
     beta, _ = solve(sets, k, train, mean, sd, free, spread=training_spread(sets, k, train))
-    held = evaluate(sets, k, [Problem(seed=q.seed, folds=folds, fold=q.fold, inside=True, group=q.group) for q in train], beta, mean, sd)
+    held = evaluate(sets, k, [Problem(seed=q.seed, folds=folds, fold=q.fold, inside=True, group=q.group) for q in train], beta, mean, sd, slopes=False)
     out, per = [], len(seeds) * folds
     for i, (g, p) in enumerate(cells):
         at = [j for j in range(i * per, (i + 1) * per) if held.n[j] > 0]
@@ -335,15 +497,15 @@ def cross_validated(sets: DataFrame, features: list[str], penalties: list[float]
 PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
-def tuned(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), learner: str = "l2", penalties: tuple[float, ...] = PENALTIES, folds: int = 5, inner: int = 3, seeds: tuple[int, ...] = (0, 1, 2)) -> dict:
+def tuned(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), learner: str = "l2", penalties: tuple[float, ...] = PENALTIES, folds: int = 5, inner: int = 3, seeds: tuple[int, ...] = (0, 1, 2), ready: bool = False) -> dict:
     """The fits of each group, seed and fold without that fold's sets, as held-out ``problems`` and ``beta``.
 
     ``learner`` is clogit (no penalty), l2 or l1. A penalty is the one with the best mean
     log-likelihood over inner folds of the training sets. All are solved together. Features are
-    standardised by the sets that a fit trains on.
+    standardised by the sets that a fit trains on. ``ready`` sets are read from a checkpoint already.
     """
     k = len(features)
-    sets = cut(sets)
+    sets = sets if ready else cut(sets)
     mean, sd = moments_by(sets, k)
     train = [Problem(seed=s, folds=folds, fold=f, group=g) for g in sorted(mean) for s in seeds for f in range(folds)]
     out = {"sets": sets, "mean": mean, "sd": sd, "features": features, "problems": [], "beta": np.zeros((0, k))}
@@ -352,7 +514,7 @@ def tuned(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), lear
     if learner != "clogit":
         tries = [replace(q, **{learner: p}, inner=inner, inner_fold=i) for q in train for p in penalties for i in range(inner)]
         beta, _ = solve(sets, k, tries, mean, sd, free, spread=training_spread(sets, k, tries))
-        held = evaluate(sets, k, [replace(q, inner_inside=True) for q in tries], beta, mean, sd)
+        held = evaluate(sets, k, [replace(q, inner_inside=True) for q in tries], beta, mean, sd, slopes=False)
         ll = np.where(held.n > 0, held.ll / np.maximum(held.n, 1), np.nan).reshape(len(train), len(penalties), inner)
         n = (~np.isnan(ll)).sum(2)
         score = np.where(n > 0, np.nansum(ll, 2) / np.maximum(n, 1), -np.inf)
@@ -361,9 +523,14 @@ def tuned(sets: DataFrame, features: list[str], free: tuple[int, ...] = (), lear
     return out | {"problems": [replace(q, inside=True) for q in train], "beta": beta}
 
 
-def held_out(fit: dict, permute: int | None = None) -> Sums:
+def held_out(fit: dict) -> Sums:
     """The sums of each held-out problem of :func:`tuned`."""
-    return evaluate(fit["sets"], len(fit["features"]), fit["problems"], fit["beta"], fit["mean"], fit["sd"], permute=permute)
+    return permuted(fit, (None,))[0]
+
+
+def permuted(fit: dict, features: tuple[int | None, ...]) -> list[Sums]:
+    """:func:`held_out` with each of some features (None: none) permuted within sets, in one pass."""
+    return _evaluated(fit["sets"], len(fit["features"]), fit["problems"], fit["beta"], fit["mean"], fit["sd"], slopes=False, permute=features)
 
 
 def tuned_metrics(fit: dict) -> list[tuple]:
@@ -382,21 +549,66 @@ def held_out_scores(fit: dict) -> DataFrame:
     """group, key and mean held-out log-likelihood for each choice of every set, averaged over seeds."""
     k, problems, beta, mean, sd = len(fit["features"]), fit["problems"], fit["beta"], fit["mean"], fit["sd"]
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            hashes, groups = pdf["h"].to_numpy(), pdf["group"].to_numpy()
-            w = np.stack([q.weights(hashes, groups) for q in problems])
-            out = []
-            for j, (g, key, x, n) in enumerate(zip(groups, pdf["key"], pdf["x"], pdf["n"])):
-                v = ((np.asarray(x, float).reshape(-1, k) - mean[g]) / sd[g]) @ beta[w[:, j] > 0].T
-                v -= v.max(axis=0)
-                c = np.asarray(n, float)
-                out.append((g, key, float((c @ np.maximum(v - np.log(np.exp(v).sum(axis=0)), np.log(1e-12)) / c.sum()).mean())))
-            yield pd.DataFrame(out, columns=["group", "key", "ll"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Weightings(problems)
+        for b in batches:
+            out = np.zeros(b.num_rows)
+            for g, at, h, X, c in _blocks(b, k, len(problems)):
+                on, cells, cell = of(g)
+                w = _weights(cells, h)[cell]
+                v = ((X - mean[g]) / sd[g]) @ beta[on].T
+                v -= v.max(axis=1, keepdims=True)
+                v -= np.log(np.exp(v).sum(axis=1, keepdims=True))
+                ll = np.einsum("sj,sjp->ps", c, np.maximum(v, _LEAST)) / c.sum(1)
+                out[at] = (ll * w).sum(0) / w.sum(0)
+            yield pa.RecordBatch.from_arrays([b.column("group"), b.column("key"), pa.array(out)], names=["group", "key", "ll"])
 
     if not problems:
         return fit["sets"].select("group", "key", F.lit(0.0).alias("ll"))
-    return fit["sets"].select("group", "key", "h", "x", "n").mapInPandas(scan, "group string, key string, ll double")
+    return fit["sets"].select("group", "key", "h", "x", "n").mapInArrow(scan, "group string, key string, ll double")
+
+
+def score_bootstrap(scores: DataFrame, pairs: list[tuple[str, str]], reps: int) -> DataFrame:
+    """Mean of the second less the first score of each pair by group, with its 95 % interval over resampled keys.
+
+    A replicate gives each key a Poisson(1) weight from a hash of both, the same in all groups and pairs, so
+    comparisons are over common replicates. The weights of a batch are one matrix; what comes
+    back of a task is a row for each group and replicate.
+    """
+    m = len(pairs)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.column("group").dictionary_encode()
+            code, h = of.indices.to_numpy(), b.column("h").to_numpy()
+            v = np.stack([np.ones(b.num_rows), *[b.column(y).to_numpy() - b.column(x).to_numpy() for x, y in pairs]], axis=1)
+            for c, g in enumerate(of.dictionary.to_pylist()):
+                t = total.setdefault(g, np.zeros((reps + 1, m + 1)))
+                mine = np.flatnonzero(code == c)
+                t[0] += v[mine].sum(0)
+                for i in range(0, len(mine), 256):
+                    part = mine[i : i + 256]
+                    u = _uniform(h[part][None, :], np.arange(reps, dtype=np.uint64)[:, None])
+                    w = np.zeros(u.shape)
+                    for bound in POISSON:
+                        w += u >= bound
+                    t[1:] += w @ v[part]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["group", "v"])
+
+    rows = scores.select("group", F.xxhash64("key").alias("h"), *sorted({x for p in pairs for x in p})).coalesce(max(48, scores.sparkSession.sparkContext.defaultParallelism)).mapInArrow(scan, "group string, v binary").toArrow()
+    total: dict[str, np.ndarray] = {}
+    for g, v in zip(*[c.to_pylist() for c in rows.columns]):
+        total[g] = total.get(g, 0) + np.frombuffer(v).reshape(reps + 1, m + 1)
+    out = []
+    for g, t in sorted(total.items()):
+        drawn = t[1:][t[1:, 0] > 0]
+        for i, (x, y) in enumerate(pairs, 1):
+            lo, hi = np.percentile(drawn[:, i] / drawn[:, 0], [2.5, 97.5]).tolist() if len(drawn) >= 0.5 * reps else (None, None)
+            out.append((g, f"{y} - {x}", float(t[0, i] / t[0, 0]), int(t[0, 0]), len(drawn), lo, hi))
+    return scores.sparkSession.createDataFrame(out, "model_name string, comparison string, difference double, n long, n_draws long, lo double, hi double")
 
 
 def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int, ...] = (), samples: int = 50, tries: int = 12) -> list[tuple]:
@@ -431,9 +643,10 @@ def permutation_importance(fit: dict) -> list[tuple]:
 
     ``fit`` is from :func:`tuned`; losses are means over folds and seeds.
     """
-    base, out = held_out(fit), []
-    for i, f in enumerate(fit["features"]):
-        s = held_out(fit, permute=i)
+    if not fit["problems"]:
+        return []
+    (base, *sums), out = permuted(fit, (None, *range(len(fit["features"])))), []
+    for f, s in zip(fit["features"], sums):
         for g in sorted(fit["mean"]):
             at = [j for j, q in enumerate(fit["problems"]) if q.group == g and base.n[j] > 0]
             loss = (base.ll[at] - s.ll[at]) / base.n[at]
