@@ -355,6 +355,19 @@ def test_inner_folds_begin_near_their_fit(spark, monkeypatch):
     assert np.allclose(held.ll, sums[0].ll) and sums[1].ll.sum() < held.ll.sum() and not np.allclose(sums[1].ll, sums[2].ll)
 
 
+def test_half_samples_equal_fits_from_zero(spark, monkeypatch):
+    df, cols = _simulated(spark, 200, np.array([0.9, -0.6, 0.1, 0.0]), seed=22)
+    x = C.cut(C.choice_sets(df, ["g"], "a", "n", cols))
+    mean, sd = C.moments_by(x, 4)
+    halves = [C.Problem(l1=12.0, seed=100 + i, half=True, group="") for i in range(40)]
+    seen = _counted(monkeypatch)
+    near, _ = C.solve(x, 4, halves, mean, sd)
+    assert sum(seen) < 4 * len(halves) + 20
+    monkeypatch.setattr(C, "_starts", lambda sets, k, problems, *a: np.zeros((len(problems), k)))
+    far, _ = C.solve(x, 4, halves, mean, sd)
+    assert np.abs(near - far).max() < 1e-5 and ((near != 0) == (far != 0)).all() and (near == 0).any()
+
+
 def test_a_feature_that_training_sets_leave_open_stays_at_zero(spark):
     df, cols = _simulated(spark, 120, np.array([0.8, 0.5]), seed=23)
     x = C.choice_sets(df, ["g"], "a", "n", cols)
