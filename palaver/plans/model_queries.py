@@ -104,8 +104,8 @@ def m12(spark, d):
     """Every penalty by itself, and (penalty null) the one chosen in inner folds of each training set."""
     x = cut(sets(spark, d, FULL))
     free = (len(FULL) - 1,)
-    rows = C.cross_validated(x, FULL, list(C.PENALTIES), free)
-    rows += [(m, None, ll, sd, hit, r2) for m, ll, sd, hit, _, r2 in C.tuned_metrics(C.tuned(x, FULL, free))]
+    rows = C.cross_validated(x, FULL, list(C.PENALTIES), free, ready=True)
+    rows += [(m, None, ll, sd, hit, r2) for m, ll, sd, hit, _, r2 in C.tuned_metrics(C.tuned(x, FULL, free, ready=True))]
     return spark.createDataFrame(rows, "model_name string, penalty double, mean_ll double, sd_ll double, hit_rate double, pseudo_r2 double")
 
 

@@ -379,3 +379,16 @@ def test_a_feature_that_training_sets_leave_open_stays_at_zero(spark):
     mean, sd = C.moments_by(y, 2)
     beta, _ = C.solve(y, 2, parts, mean, sd, (1,))
     assert beta[0, 1] == 0 and np.abs(beta[1:, 1]).min() > 0.01
+
+
+def test_cross_validation_reads_one_checkpoint(spark, monkeypatch):
+    import palaver.plans.model_queries as Q
+
+    df, _ = _simulated(spark, 25, np.array([0.8, -0.4]), seed=24)
+    x = C.choice_sets(df.withColumns({c: F.col("f0") if i else F.col("f1") for i, c in enumerate(Q.FULL)}), ["g"], "a", "n", Q.FULL)
+    cuts = []
+    monkeypatch.setattr(Q, "sets", lambda *a: x)
+    for where in (Q, C):
+        monkeypatch.setattr(where, "cut", lambda f, plain=C.cut: cuts.append(f) or plain(f))
+    rows = Q.m12(spark, "").collect()
+    assert len(cuts) == 1 and sorted(str(r["penalty"]) for r in rows) == ["0.01", "0.1", "1.0", "10.0", "100.0", "None"]
