@@ -111,22 +111,26 @@ def m12(spark, d):
 
 def rule_hits(b, score: str, draws: int = 25):
     """Hit rate of voting for the highest ``score`` of each ballot, averaged over random tie-breaks."""
-    x = b.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    best = F.struct(F.col(score).alias("s"), hash_rank(F.col("model_name"), F.col("game_id"), F.col("player"), F.col("draw")).alias("h"))
-    top = x.groupBy("model_name", "game_id", "draw").agg(F.max_by("n", best).alias("hit"), F.sum("n").alias("n")).where("n > 0")
-    return top.groupBy("model_name").agg((F.sum("hit") / F.sum("n")).alias("hit_rate"))
+    keys = ["model_name", "game_id"]
+    r = b.groupBy(*keys).agg(F.collect_list(F.struct(F.col(score).alias("s"), F.col("player").alias("p"), F.col("n").cast("long").alias("n"))).alias("r"), F.sum("n").alias("n")).where("n > 0")
+    # Only what is tied for the first place is drawn.
+    top = r.withColumn("best", F.array_max("r")["s"]).select(*keys, "n", F.filter("r", lambda x: x["s"].eqNullSafe(F.col("best"))).alias("t"))
+    drawn = lambda i: F.array_max(F.transform("t", lambda x: F.struct(hash_rank(F.col("model_name"), F.col("game_id"), x["p"], i).alias("h"), x["n"].alias("n"))))["n"]
+    hit = F.when(F.size("t") == 1, F.col("t")[0]["n"] * draws).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.lit(0).cast("long"), lambda a, i: a + drawn(i)))
+    return top.groupBy("model_name").agg((F.sum(hit) / (F.sum("n") * draws)).alias("hit_rate"))
 
 
 @query("M15_grid")
 def m15(spark, d):
     """Every block and learner, and the rules that vote for the most talkative or most accused player."""
     b = cut(ballot(spark, d))
+    whole = cut(C.choice_sets(b, ["game_id"], "player", "n", FULL, "model_name"))
     rows = []
     for block, cols in BLOCKS.items():
         full = [*cols, "is_circle_option"]
-        x = cut(C.choice_sets(b, ["game_id"], "player", "n", full, "model_name"))
+        x = whole if full == FULL else cut(C.with_features(whole, FULL, full))
         for learner in ("clogit", "l2", "l1"):
-            rows += [(m, block, learner, *r) for m, *r in C.tuned_metrics(C.tuned(x, full, (len(cols),), learner))]
+            rows += [(m, block, learner, *r) for m, *r in C.tuned_metrics(C.tuned(x, full, (len(cols),), learner, ready=True))]
     for rule, score in (("most_talkative", "n_utterances"), ("most_accused", "acc_werewolf")):
         rows += [(r["model_name"], rule, "rule", None, None, float(r["hit_rate"]), None, None) for r in rule_hits(b, score).collect()]
     return spark.createDataFrame(rows, "model_name string, block string, learner string, mean_ll double, sd_ll double, hit_rate double, sd_hit double, pseudo_r2 double")

@@ -392,3 +392,25 @@ def test_cross_validation_reads_one_checkpoint(spark, monkeypatch):
         monkeypatch.setattr(where, "cut", lambda f, plain=C.cut: cuts.append(f) or plain(f))
     rows = Q.m12(spark, "").collect()
     assert len(cuts) == 1 and sorted(str(r["penalty"]) for r in rows) == ["0.01", "0.1", "1.0", "10.0", "100.0", "None"]
+
+
+def test_rules_draw_ties_only_and_as_before(spark):
+    from palaver.functions.keys import hash_rank
+    from palaver.plans.model_queries import rule_hits
+
+    rng = random.Random(5)
+    b = spark.createDataFrame([(m, f"g{g}", p, float(rng.randrange(3)), rng.randrange(3)) for m in "ab" for g in range(30) for p in "wxyz"], "model_name string, game_id string, player string, s double, n int")
+    x = b.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(25))))
+    best = F.struct("s", hash_rank(F.col("model_name"), F.col("game_id"), F.col("player"), F.col("draw")).alias("h"))
+    top = x.groupBy("model_name", "game_id", "draw").agg(F.max_by("n", best).alias("hit"), F.sum("n").alias("n")).where("n > 0")
+    want = {r[0]: r[1] for r in top.groupBy("model_name").agg(F.sum("hit") / F.sum("n")).collect()}
+    got = rule_hits(b, "s")
+    assert {r[0]: pytest.approx(r[1], abs=1e-12) for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sets_with_some_features(spark):
+    df, cols = _simulated(spark, 20, np.array([0.8, -0.4, 0.1]), seed=25)
+    part = C.with_features(C.choice_sets(df, ["g"], "a", "n", cols), cols, ["f2", "f0"])
+    want = C.choice_sets(df, ["g"], "a", "n", ["f2", "f0"])
+    assert sorted((r["key"], r["x"], r["n"]) for r in part.collect()) == sorted((r["key"], r["x"], r["n"]) for r in want.collect())
