@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.keys import hash_rank
-from palaver.operators import bootstrap as B
 from palaver.operators import choice as C
 from palaver.operators.joins import summed_by_name
 from palaver.plans.event_queries import ROLES, accusations
@@ -160,16 +159,13 @@ def m18(spark, d):
 @query("M19_block_bootstrap")
 def m19(spark, d):
     """Held-out log-likelihood of one block less that of another, games resampled."""
-    score = {}
+    whole, score = cut(sets(spark, d, FULL)), None
     for name, cols in BLOCKS.items():
         full = [*cols, "is_circle_option"]
-        score[name] = cut(C.held_out_scores(C.tuned(sets(spark, d, full), full, (len(cols),))))
-    out = None
-    for a, b in (("A", "B"), ("B", "both"), ("A", "both")):
-        x = score[b].withColumnRenamed("ll", "la").join(score[a].withColumnRenamed("ll", "lb"), ["group", "key"])
-        one = x.select(F.col("group").alias("model_name"), F.lit(f"{b} - {a}").alias("comparison"), "key", "la", "lb")
-        out = one if out is None else out.unionByName(one)
-    return B.paired(cut(out), "key", "la", "lb", 2000, by=["model_name", "comparison"])
+        x = whole if full == FULL else cut(C.with_features(whole, FULL, full))
+        one = C.held_out_scores(C.tuned(x, full, (len(cols),), ready=True)).withColumnRenamed("ll", name)
+        score = one if score is None else score.join(one, ["group", "key"])
+    return C.score_bootstrap(score, [("A", "B"), ("B", "both"), ("A", "both")], 2000)
 
 
 @query("M20_iia")

@@ -414,3 +414,17 @@ def test_sets_with_some_features(spark):
     part = C.with_features(C.choice_sets(df, ["g"], "a", "n", cols), cols, ["f2", "f0"])
     want = C.choice_sets(df, ["g"], "a", "n", ["f2", "f0"])
     assert sorted((r["key"], r["x"], r["n"]) for r in part.collect()) == sorted((r["key"], r["x"], r["n"]) for r in want.collect())
+
+
+def test_bootstrap_of_scores(spark):
+    from palaver.operators import bootstrap as B
+
+    rng = np.random.default_rng(3)
+    rows = [(m, f"k{i}", float(a), float(a + d)) for m, s in (("m1", 0.0), ("m2", 0.3)) for i, (a, d) in enumerate(zip(rng.normal(size=300), rng.normal(s, 1, 300)))]
+    x = spark.createDataFrame(rows, "group string, key string, a double, b double")
+    got = {r["model_name"]: r for r in C.score_bootstrap(x, [("a", "b")], 2000).collect()}
+    for r in B.paired(x, "key", "b", "a", 2000, by=["group"]).collect():
+        g = got[r["group"]]
+        assert g["comparison"] == "b - a" and g["difference"] == pytest.approx(r["difference"]) and (g["n"], g["n_draws"]) == (300, r["n_draws"])
+        assert abs(g["lo"] - r["lo"]) < 0.02 and abs(g["hi"] - r["hi"]) < 0.02
+    assert C.score_bootstrap(x.limit(0), [("a", "b")], 10).count() == 0
