@@ -1,7 +1,6 @@
 """Reading levels of documents from the surprisal of their text.
 
-An interpolated trigram model is trained for each graded level on a bounded sample of labelled
-documents. Every sentence of a document gets its mean surprisal under each model, so a document has
+An interpolated trigram model is trained for each graded level on all labelled documents. Every sentence of a document gets its mean surprisal under each model, so a document has
 a distribution of surprisal differences for each step of the scale: under the models below the step
 less under those above it. The median of that distribution is mapped to the chance that the document
 lies above the step by isotonic regression over the labelled documents, each scored without its own
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from palaver.session import cut
 
 LEVELS = ("easy", "middle", "hard")
-#: Labelled documents that train the models, taken in hash order; the rest of the pipeline uses all rows.
-MAX_LABELLED = 20_000
+#: Labelled documents up to which they are sent to all executors; more are joined by a shuffle.
+BROADCAST = 500_000
 #: Buckets of a count table are the power of two above a quarter of the training tokens, within these.
 MIN_BUCKETS, MAX_BUCKETS = 1 << 16, 1 << 20
 #: Characters that are handled at a time; a longer text is handled in parts that end with a sentence.
@@ -231,12 +230,45 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.repeat([s[0] for s in stack], [int(s[2]) for s in stack])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, grades) of at most ``most`` labelled documents, in hash order of their ids."""
+def pooled(xs: np.ndarray, total: np.ndarray, weight: np.ndarray, last: np.ndarray | None = None) -> list[list[float]]:
+    """Pool-adjacent-violators: (first x, last x, sum, weight) of each block of rows that are ordered by x."""
+    stack: list[list[float]] = []
+    for row in zip(xs.tolist(), (xs if last is None else last).tolist(), total.tolist(), weight.tolist()):
+        stack.append(list(row))
+        while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+            b, a = stack.pop(), stack.pop()
+            stack.append([a[0], b[1], a[2] + b[2], a[3] + b[3]])
+    return stack
+
+
+def steps_fit(fit: DataFrame, x: str, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The isotonic fit of ``grade >= step`` on ``x``, as the ends of its blocks.
+
+    Each range of ``x`` is pooled by itself and the blocks of all ranges are pooled again, which gives
+    the blocks of the whole; only blocks come to the driver.
+    """
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[float]] = []
+        for b in batches:
+            cols = [np.asarray(c, float) for c in zip(*held)] or [np.zeros(0)] * 4
+            new = [b.column(i).to_numpy().astype(float) for i in range(3)]
+            held = pooled(np.append(cols[0], new[0]), np.append(cols[2], new[1]), np.append(cols[3], new[2]), np.append(cols[1], new[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.float64()) for i in range(4)], names=["x", "last", "total", "weight"])
+
+    rows = fit.groupBy(F.col(x).alias("x")).agg(F.count_if(F.col("grade") >= step).alias("total"), F.count("*").alias("weight"))
+    got = rows.repartitionByRange("x").sortWithinPartitions("x").mapInArrow(pool, "x double, last double, total double, weight double").toArrow().sort_by("x")
+    blocks = pooled(*[got.column(c).to_numpy() for c in ("x", "total", "weight", "last")])
+    ends = [(x, b[2] / b[3]) for b in blocks for x in sorted({b[0], b[1]})]
+    return np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, grades) of all labelled documents."""
     grade = F.when(F.lower("reading_level") == LEVELS[0], 0).when(F.lower("reading_level") == LEVELS[1], 1).when(F.lower("reading_level") == LEVELS[2], 2)
     rated = labels.select("doc_id", "rater", grade.alias("g")).where("g is not null and doc_id is not null").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("g")).alias("grades"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grades").alias("grades"))
+    rated = cut(rated)
+    return docs.select("doc_id", "text").join(F.broadcast(rated) if rated.count() <= BROADCAST else rated, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grades").alias("grades"))
 
 
 def summaries(tables: np.ndarray, cutter: Ngrams, texts: list[str | None], grades: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +301,7 @@ class Model:
         rows = cut(labelled(docs, labels).where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("text", "grades").repartition(max(8, spark.sparkContext.defaultParallelism)))
         tokens = (rows.agg(F.sum(F.length("text") * F.size("grades"))).first()[0] or 0) // 5
         self.buckets = buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << int(tokens // 4).bit_length()))
-        counted = rows.mapInArrow(_count(buckets), "grade int, bucket int, n long").groupBy("grade", "bucket").agg(F.sum("n").cast("int").alias("n"))
+        counted = rows.mapInArrow(_count(buckets), "grade int, bucket int, n long").groupBy("grade", "bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
         # At most levels x tables x MAX_BUCKETS numbers.
         got = counted.toArrow()
         flat = np.zeros((_TABLES * buckets, len(LEVELS)), dtype=np.int32)
@@ -284,10 +316,9 @@ class Model:
                 rated = [(*m, g) for i, m in zip(kept, med.tolist()) for g in grades[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rated], pa.float64()), pa.array([r[1] for r in rated], pa.float64()), pa.array([r[2] for r in rated], pa.int32())], names=["s1", "s2", "grade"])
 
-        # At most MAX_LABELLED documents with their ratings.
-        fit = rows.mapInArrow(score, "s1 double, s2 double, grade int").toArrow()
-        grade = fit.column("grade").to_numpy()
-        self.maps = [isotonic(fit.column(f"s{k}").to_numpy(), (grade >= k).astype(float)) for k in range(1, len(LEVELS))] if fit.num_rows else []
+        fit = cut(rows.mapInArrow(score, "s1 double, s2 double, grade int"))
+        some = fit.limit(1).count() > 0
+        self.maps = [steps_fit(fit, f"s{k}", k) for k in range(1, len(LEVELS))] if some else []
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """doc_id, grade, reading_level and the 10 %, 50 % and 90 % quantiles of sentence surprisal.

@@ -205,3 +205,23 @@ def test_quantiles_by_group():
     for q in (0.0, 0.1, 0.5, 0.9, 1.0):
         got = R.quantile_by(doc, x, q, 6)
         assert np.isnan(got[4]) and all(got[g] == pytest.approx(np.quantile(x[doc == g], q)) for g in (0, 1, 2, 3, 5))
+
+
+def test_all_labelled_documents_train(spark, monkeypatch):
+    n = 20_500
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "element_at(array('easy', 'middle', 'hard'), cast(id % 3 as int) + 1) as reading_level", "'r' as rater")
+    assert R.labelled(docs, labels).count() == n
+    monkeypatch.setattr(R, "BROADCAST", 10)
+    assert R.labelled(docs, labels).count() == n
+
+
+def test_steps_fitted_by_ranges_equal_the_whole(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=3000), 2)
+    grade = np.clip(np.round(x + rng.normal(scale=0.8, size=3000) + 1), 0, 2).astype(int)
+    fit = spark.createDataFrame([(float(a), int(g)) for a, g in zip(x, grade)], "s1 double, grade int")
+    for k in (1, 2):
+        got, want = R.steps_fit(fit, "s1", k), R.isotonic(x, (grade >= k).astype(float))
+        at = np.linspace(-4, 4, 2001)
+        assert np.allclose(np.interp(at, *got), np.interp(at, *want), atol=1e-12) and len(got[0]) < len(want[0]) and (np.diff(got[0]) > 0).all()
