@@ -40,6 +40,27 @@ def choice_sets(ballot: DataFrame, keys: list[str], alternative: str, count: str
     return g.where(F.aggregate("n", F.lit(0.0), lambda a, b: a + b) > 0)
 
 
+def sets_by_key(alternatives: DataFrame, votes: DataFrame, key: str, alternative: str, count: str, features: list[str], group: str, fixed: dict[str, list[float]] = {}) -> DataFrame:
+    """As :func:`choice_sets`, where all voters (``group``) of a key have the same alternatives.
+
+    ``votes`` has one row for each key, voter and alternative. ``fixed`` are further alternatives of
+    every key, with their features. Both sides are gathered by key before they meet, so no
+    alternative's row is repeated for each voter.
+    """
+    session = votes.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    one = lambda a, x: F.struct(a.cast("string").alias("a"), F.array(*x).alias("x"))
+    more = [one(F.lit(a), [F.lit(float(v)) for v in x]) for a, x in fixed.items()]
+    rows = F.collect_list(one(F.col(alternative), [F.coalesce(F.col(f), F.lit(0)).cast("double") for f in features]))
+    a = alternatives.repartition(parts, key).groupBy(key).agg(rows.alias("r")).select(key, F.array_sort(F.concat("r", F.array(*more)) if more else F.col("r")).alias("r"))
+    voter = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    v = votes.select(key, voter.alias("group"), F.struct(F.col(alternative).cast("string").alias("a"), F.coalesce(F.col(count), F.lit(0)).cast("double").alias("n")).alias("v"))
+    v = v.repartition(parts, key).groupBy(key, "group").agg(F.map_from_entries(F.collect_list("v")).alias("v"))
+    n = F.transform("r.a", lambda x: F.coalesce(F.try_element_at("v", x), F.lit(0.0)))
+    g = v.join(a, key).select(F.col(key).cast("string").alias("key"), "group", F.flatten("r.x").alias("x"), n.alias("n"), F.col("r.a").alias("alts"))
+    return g.select("key", "group", hash_rank(F.col("key")).alias("h"), "x", "n", "alts").where(F.aggregate("n", F.lit(0.0), lambda a, b: a + b) > 0)
+
+
 def with_features(sets: DataFrame, features: list[str], kept: list[str]) -> DataFrame:
     """The sets with some of their features."""
     at = [features.index(f) for f in kept]
@@ -49,11 +70,19 @@ def with_features(sets: DataFrame, features: list[str], kept: list[str]) -> Data
 def _blocks(b: pa.RecordBatch, k: int, cells: int = 1) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(group, places in the batch, hashes, features, counts) of sets that have one group and one number of alternatives.
 
+    Places of :func:`packed` sets are those in their row.
     Features are sets x alternatives x ``k``. A block has as many sets as make some 200,000 numbers for
     each alternative in ``cells`` columns, so its arrays stay in the processor's cache.
     """
     if not b.num_rows:
         return
+    if "j" in b.schema.names:
+        for group, j, *parts in zip(*[b.column(c).to_pylist() for c in ("group", "j")], *[_buffers(b.column(c)) for c in ("h", "x", "n")]):
+            h, x, c = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1]).reshape(-1, j, k), np.frombuffer(parts[2]).reshape(-1, j)
+            most = max(1, 200_000 // (j * cells))
+            for i in range(0, len(h), most):
+                yield group, np.arange(i, min(i + most, len(h))), h[i : i + most], x[i : i + most], c[i : i + most]
+        return
     of = b.column("group").dictionary_encode()
     code, names, h = of.indices.to_numpy(), of.dictionary.to_pylist(), b.column("h").to_numpy()
     x, c = b.column("x").flatten().to_numpy().reshape(-1, k), b.column("n").flatten().to_numpy()
@@ -70,13 +99,34 @@ def _blocks(b: pa.RecordBatch, k: int, cells: int = 1) -> Iterator[tuple[str, np
             yield names[code[part[0]]], part, h[part], x[rows], c[rows]
 
 
+def _buffers(column: pa.Array) -> Iterator[pa.Buffer]:
+    return (v.as_buffer() for v in column)
+
+
+def packed(sets: DataFrame, k: int) -> DataFrame:
+    """The sets of one group and one number of alternatives as arrays, many to a row, for passes without keys.
+
+    A pass over them decodes no rows and sorts nothing. There are a few partitions for each core,
+    so a pass over little is no pass over many tasks.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(g, x.shape[1], h.tobytes(), x.tobytes(), c.tobytes()) for g, _, h, x, c in _blocks(b, k)]
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["group", "j", "h", "x", "n"])
+
+    few = max(12, 2 * sets.sparkSession.sparkContext.defaultParallelism)
+    return sets.select("h", "group", "x", "n").coalesce(few).mapInArrow(scan, "group string, j int, h binary, x binary, n binary")
+
+
 def _rows(sets: DataFrame, scan: Callable, schema: str) -> pa.Table:
     """The rows of a pass over the sets, which all tasks make at once.
 
     A task yields a row or one for each group; as many tasks as cores, but 48 at least, bound what comes back.
     """
     most = max(48, sets.sparkSession.sparkContext.defaultParallelism)
-    return sets.select("h", "group", "x", "n").coalesce(most).mapInArrow(scan, schema).toArrow()
+    return sets.select("h", "group", "x", "n", *[c for c in sets.columns if c == "j"]).coalesce(most).mapInArrow(scan, schema).toArrow()
 
 
 def _added(sets: DataFrame, scan: Callable) -> np.ndarray | None:
@@ -161,6 +211,10 @@ class Problem:
         return (0.5 if self.half else 1.0) * part(self.folds, self.inside) * part(self.inner, self.inner_inside)
 
 
+#: A half sample of all groups, whatever its seed.
+_HALF = Problem(half=True)
+
+
 class _Weightings:
     """The problems of each group and their distinct weightings of sets."""
 
@@ -178,6 +232,8 @@ class _Weightings:
 
 
 def _weights(cells: list[Problem], h: np.ndarray) -> np.ndarray:
+    if all(replace(q, seed=0) == _HALF for q in cells):
+        return (_uniform(h[None, :], np.array([[q.seed] for q in cells], np.uint64)) < 0.5).astype(float)
     return np.stack([q.weights(h, h) for q in cells])
 
 
@@ -359,9 +415,11 @@ def _starts(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: S
     return beta
 
 
-def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Scale, free: tuple[int, ...] = (), rounds: int = 30, spread: np.ndarray | None = None) -> tuple[np.ndarray, Sums]:
+def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Scale, free: tuple[int, ...] = (), rounds: int = 30, spread: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, Sums]:
     """Coefficients of all problems by (proximal) Newton steps with halving; ``free`` ones unpenalised.
 
+    They begin at ``start``, or else where :func:`_starts` says.
+
     ``spread`` (problems x features) are deviations to standardise by in place of ``sd``, such as
     those of each problem's training sets. Means cancel within a set, and another deviation is the
     same as another weight of the penalty, so the features themselves need not be scaled anew; the
@@ -378,7 +436,7 @@ def solve(sets: DataFrame, k: int, problems: list[Problem], mean: Scale, sd: Sca
     def objective(ll: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
         return -ll + 0.5 * l2[at] * (pen[at] * b * b).sum(1) + l1[at] * (pen1[at] * np.abs(b)).sum(1)
 
-    beta = _starts(sets, k, problems, mean, sd, free)
+    beta = _starts(sets, k, problems, mean, sd, free) if start is None else start.copy()
     s = evaluate(sets, k, problems, beta, mean, sd)
 
     def put(at: np.ndarray, t: Sums, of: np.ndarray) -> None:
@@ -615,17 +673,35 @@ def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int
     """(group, feature, how often a lasso on half of the sets keeps it, lambda).
 
     A group's penalty keeps about ``target`` features on all of its sets, bisected on a log scale;
-    then all half samples of all groups are solved together at that penalty.
+    then all half samples of all groups are solved together at that penalty. Fits begin between those
+    of the penalties next to theirs, half samples at the fit of all sets at twice the penalty.
     """
     k = len(features)
-    sets = cut(sets)
+    sets = cut(packed(sets, k))
     mean, sd = moments_by(sets, k)
     if not mean:
         return []
     ends = {g: (1e-4, 1e4) for g in sorted(mean)}
+    known: dict[str, dict[float, np.ndarray]] = {g: {} for g in ends}
+
+    def near(grid: list[tuple[str, float]]) -> np.ndarray:
+        """Coefficients between those of the next penalties that are solved, on a log scale; at zero without any."""
+        out = np.zeros((len(grid), k))
+        for i, (g, x) in enumerate(grid):
+            at = sorted(known[g])
+            for f in range(k if at else 0):
+                out[i, f] = np.interp(np.log(x), np.log(at), [known[g][y][f] for y in at])
+        return out
+
+    def fit(grid: list[tuple[str, float]]) -> np.ndarray:
+        beta, _ = solve(sets, k, [Problem(l1=x, group=g) for g, x in grid], mean, sd, free, start=near(grid))
+        for (g, x), b in zip(grid, beta):
+            known[g][x] = b
+        return beta
+
     for _ in range(tries):
         grid = [(g, float(x)) for g, (lo, hi) in ends.items() for x in np.exp(np.linspace(np.log(lo), np.log(hi), 6))[1:-1]]
-        beta, _ = solve(sets, k, [Problem(l1=x, group=g) for g, x in grid], mean, sd, free)
+        beta = fit(grid)
         kept = [(b != 0).sum() - sum(b[i] != 0 for i in free) for b in beta]
         for g, (lo, hi) in ends.items():
             over = [x for (q, x), n in zip(grid, kept) if q == g and n > target]
@@ -634,7 +710,8 @@ def stability(sets: DataFrame, features: list[str], target: int, free: tuple[int
         if all(hi / lo < 1.05 for lo, hi in ends.values()):
             break
     lam = {g: float(np.sqrt(lo * hi)) for g, (lo, hi) in ends.items()}
-    beta, _ = solve(sets, k, [Problem(l1=v, seed=100 + i, half=True, group=g) for g, v in lam.items() for i in range(samples)], mean, sd, free)
+    whole = fit([(g, 2 * v) for g, v in lam.items()])
+    beta, _ = solve(sets, k, [Problem(l1=v, seed=100 + i, half=True, group=g) for g, v in lam.items() for i in range(samples)], mean, sd, free, start=np.repeat(whole, samples, axis=0))
     return [(g, f, float((beta[j * samples : (j + 1) * samples, i] != 0).mean()), lam[g]) for j, g in enumerate(lam) for i, f in enumerate(features)]
 
 

@@ -13,7 +13,7 @@ from palaver.operators import sets as S
 from palaver.operators.labels import half, positions
 from palaver.plans.shred_queries import LEVELS
 from palaver.plans.silver import games, lines, slots, sql, valid_votes, votes
-from palaver.operators.shred import shred
+from palaver.operators.shred import filled, shred
 from palaver.session import cut
 from palaver.tables import first_delivery, table
 
@@ -43,6 +43,13 @@ def accusations(spark, d):
     return a.join(t["relations"].select(*up, "type"), up).join(t["items"].select(*up[:2], "line_number", "accuser"), up[:2]).join(t["records"].select("record_id", "game_id"), "record_id")
 
 
+def accused(spark, d):
+    """Game, type and name of each accusation, as :func:`accusations` has them: one walk down the records, no joins."""
+    i = records(spark, d).where("record_id is not null").select("game_id", F.explode("items").alias("i")).where("i is not null")
+    r = i.select("game_id", F.explode("i.relations").alias("r")).where("r is not null")
+    return r.select("game_id", F.col("r.type").alias("type"), F.explode("r.accused").alias("accused")).where(filled(F.col("accused")))
+
+
 REC = """r as (select record_id, game_id, metadata, items from accusation_records qualify row_number() over (partition by record_id order by loaded_at) = 1),
 i as (select record_id, game_id, i as item_no, items[i] as it from (select *, unnest(range(1, coalesce(len(items), 0) + 1)) as i from r) where items[i] is not null),
 l as (select record_id, game_id, item_no, it.line_number as line_number, it.accuser as accuser, j as relation_no, it.relations[j] as re from (select *, unnest(range(1, coalesce(len(it.relations), 0) + 1)) as j from i) where it.relations[j] is not null),

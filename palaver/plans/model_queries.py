@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from palaver.functions.keys import hash_rank
 from palaver.operators import choice as C
 from palaver.operators.joins import summed_by_name
-from palaver.plans.event_queries import ROLES, accusations
-from palaver.plans.silver import LABELS, NO_LABEL, lines, slots, sql, valid_votes
+from palaver.plans.event_queries import ROLES, accused
+from palaver.plans.silver import LABELS, NO_LABEL, roster, slots, spoken, sql, valid_votes
 from palaver.session import cut
 
 QUERIES: dict = {}
@@ -33,26 +33,37 @@ def query(name: str, statement: str | None = None):
 
 
 def features(spark, d):
-    """Strategy counts and received accusations of each seat."""
-    e = lines(spark, d).where("player is not null")
-    pt = e.groupBy("game_id", "player").agg(F.count("*").alias("n_utterances"), *[F.count_if(F.array_contains("labels", k)).alias(f"pt_{k.lower().replace(' ', '_')}") for k in LABELS])
+    """Strategy counts and received accusations of each seat.
+
+    Lines are counted by game and speaker before they meet the roster, so the join is of counts.
+    """
+    said = spoken(spark, d).groupBy("game_id", "k").agg(F.count("*").alias("n_utterances"), *[F.count_if(F.array_contains("labels", k)).alias(f"pt_{k.lower().replace(' ', '_')}") for k in LABELS])
+    pt = said.join(roster(spark, d), ["game_id", "k"])
     kind = F.coalesce("type", F.lit(""))
-    ac = accusations(spark, d).where("accused <> 'UNKNOWN'").groupBy("game_id", F.col("accused").alias("player")).agg(F.count_if(kind == "werewolf").alias("acc_werewolf"), F.count_if(kind == "deception").alias("acc_deception"), F.count_if(~kind.isin("werewolf", "deception")).alias("acc_other"))
+    ac = accused(spark, d).where("accused <> 'UNKNOWN'").groupBy("game_id", F.col("accused").alias("player")).agg(F.count_if(kind == "werewolf").alias("acc_werewolf"), F.count_if(kind == "deception").alias("acc_deception"), F.count_if(~kind.isin("werewolf", "deception")).alias("acc_other"))
     return summed_by_name(slots(spark, d).select("game_id", "slot", "player", "end_role", "vote"), [pt, ac], ["game_id"], "player", A + BB)
 
 
+def counted(spark, d):
+    """The stochastic votes of each model and game for each alternative."""
+    return valid_votes(spark, d).where("decoding = 'stochastic'").groupBy(F.coalesce("model_name", F.lit("")).alias("model_name"), "game_id", F.col("target").alias("player")).agg(F.count("*").alias("n"))
+
+
 def ballot(spark, d, circle: bool = True):
     """Alternatives of each model and game with the model's stochastic votes for them."""
     f = features(spark, d).withColumn("is_circle_option", F.lit(0.0)).select("game_id", "player", *A, *BB, "is_circle_option")
     if circle:
         none = f.select("game_id").distinct().select("game_id", F.lit("No Werewolf").alias("player"), *[F.lit(0.0).alias(c) for c in A + BB], F.lit(1.0).alias("is_circle_option"))
         f = f.unionByName(none)
-    n = valid_votes(spark, d).where("decoding = 'stochastic'").groupBy(F.coalesce("model_name", F.lit("")).alias("model_name"), "game_id", F.col("target").alias("player")).agg(F.count("*").alias("n"))
+    n = counted(spark, d)
     return n.select("model_name", "game_id").distinct().join(f, "game_id").join(n, ["model_name", "game_id", "player"], "left").fillna(0, ["n"])
 
 
 def sets(spark, d, cols, circle=True):
-    return C.choice_sets(ballot(spark, d, circle), ["game_id"], "player", "n", cols, "model_name")
+    """The choice sets of :func:`ballot`."""
+    f = features(spark, d).withColumn("is_circle_option", F.lit(0.0)).select("game_id", "player", *cols)
+    none = {"No Werewolf": [float(c == "is_circle_option") for c in cols]} if circle else {}
+    return C.sets_by_key(f, counted(spark, d), "game_id", "player", "n", cols, "model_name", none)
 
 
 def fits(spark, d, cols=None, circle=True):

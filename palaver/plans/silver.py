@@ -27,17 +27,26 @@ def slots(spark: SparkSession, d: str) -> DataFrame:
     return x.select("game_no", "game_id", "source", "n_players", "slot", F.col("z.player_names").alias("player"), F.col("z.start_roles").alias("start_role"), F.col("z.end_roles").alias("end_role"), F.col("z.voting_outcome").alias("vote"))
 
 
-def lines(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
-    """One row for each utterance with its labels as an array and its speaker's roster spelling.
+def spoken(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    """One row for each utterance with its labels as an array and the key ``k`` of its speaker.
 
     The utterance itself is there only with ``text``, so that counts shuffle no texts.
     """
     words = ["utterance"] if text else []
     u = first_delivery(table(spark, d, "utterances"), ["line_id"], "loaded_at", ["game_id", "source", "rec_id", "speaker", "annotation", *words])
     # Labels are made of what is left, and only where a query uses them.
-    u = u.withColumn("labels", label_array(F.col("annotation"), NO_LABEL)).withColumn("k", bare_label(F.col("speaker")))
-    p = slots(spark, d).select("game_id", "player", name_key(F.col("player")).alias("k"))
-    return u.join(p, ["game_id", "k"], "left").select("line_id", "game_id", "source", "rec_id", "player", "k", "labels", *words)
+    return u.withColumn("labels", label_array(F.col("annotation"), NO_LABEL)).withColumn("k", bare_label(F.col("speaker")))
+
+
+def roster(spark: SparkSession, d: str) -> DataFrame:
+    """The players of each game with the key ``k`` of their names."""
+    return slots(spark, d).select("game_id", "player", name_key(F.col("player")).alias("k"))
+
+
+def lines(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    """:func:`spoken` with its speaker's roster spelling."""
+    words = ["utterance"] if text else []
+    return spoken(spark, d, text).join(roster(spark, d), ["game_id", "k"], "left").select("line_id", "game_id", "source", "rec_id", "player", "k", "labels", *words)
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -368,6 +369,65 @@ def test_half_samples_equal_fits_from_zero(spark, monkeypatch):
     assert np.abs(near - far).max() < 1e-5 and ((near != 0) == (far != 0)).all() and (near == 0).any()
 
 
+def test_stability_in_few_passes_equals_fits_from_zero(spark, monkeypatch):
+    one, cols = _simulated(spark, 150, np.array([0.9, -0.6, 0.1, 0.0]), seed=26)
+    two, _ = _simulated(spark, 120, np.array([0.0, 0.7, -0.2, 0.4]), seed=27)
+    x = C.cut(C.choice_sets(one.withColumn("m", F.lit("a")).unionByName(two.withColumn("m", F.lit("b"))), ["g"], "a", "n", cols, "m"))
+    mean, sd = C.moments_by(x, 4)
+    seen = _counted(monkeypatch)
+    rows = {(r[0], r[1]): r[2:] for r in C.stability(x, cols, 2, samples=30, tries=4)}
+    assert len(seen) <= 20  # 27 when each penalty was begun at zero
+    monkeypatch.setattr(C, "_starts", lambda sets, k, problems, *a: np.zeros((len(problems), k)))
+    for g in "ab":
+        at = rows[g, cols[0]][1]
+        kept = [(C.solve(x, 4, [C.Problem(l1=at * f, group=g)], mean, sd)[0][0] != 0).sum() for f in (0.95, 1.05)]
+        assert kept[0] >= 2 >= kept[1]
+        beta, _ = C.solve(x, 4, [C.Problem(l1=at, seed=100 + i, half=True, group=g) for i in range(30)], mean, sd)
+        assert [rows[g, f][0] for f in cols] == (beta != 0).mean(0).tolist()
+
+
+def test_packed_sets_give_the_same_sums(spark):
+    df, cols = _simulated(spark, 60, np.array([0.8, -0.4, 0.1]), seed=28)
+    df = df.where("not (g < 'g3' and a = 'a0')").withColumn("m", F.when(F.col("g") < "g2", "a").otherwise("b"))
+    x = C.choice_sets(df, ["g"], "a", "n", cols, "m")
+    y = C.cut(C.packed(x, 3))
+    assert y.count() < x.count()
+    (mean, sd), (mean2, sd2) = C.moments_by(x, 3), C.moments_by(y, 3)
+    assert all(np.allclose(mean[g], mean2[g]) and np.allclose(sd[g], sd2[g]) for g in "ab")
+    problems = [C.Problem(l1=1.0, seed=s, half=True, group=g) for g in "ab" for s in range(5)]
+    beta = np.random.default_rng(0).normal(size=(10, 3))
+    a, b = C.evaluate(x, 3, problems, beta, mean, sd), C.evaluate(y, 3, problems, beta, mean, sd)
+    assert all(np.allclose(getattr(a, f), getattr(b, f)) for f in ("ll", "grad", "hess", "n"))
+    h = np.array([r["h"] for r in x.collect()])
+    cells = [replace(q, group=None) for q in problems]
+    assert (C._weights(cells, h) == np.stack([q.weights(h, h) for q in cells])).all()
+
+
+def test_sets_gathered_by_key_equal_those_of_ballots(spark):
+    rng = random.Random(7)
+    seats = [(f"g{g}", p, rng.choice([None, 0.5, 2.0]), float(g)) for g in range(8) for p in ("x", "y", "z", "x", None)[: rng.randrange(2, 6)]]
+    votes = [(m, f"g{g}", p, rng.randrange(4)) for m in ("a", None) for g in range(9) for p in ("x", "z", "nobody", "stranger") if rng.random() < 0.6]
+    f = spark.createDataFrame(seats, "g string, a string, f0 double, f1 double")
+    v = spark.createDataFrame(votes, "m string, g string, a string, n long").withColumn("m", F.coalesce("m", F.lit("")))
+    b = f.unionByName(f.select("g").distinct().select("g", F.lit("nobody").alias("a"), F.lit(0.0).alias("f0"), F.lit(1.0).alias("f1")))
+    b = v.select("m", "g").distinct().join(b, "g").join(v, ["m", "g", "a"], "left")
+    want, got = C.choice_sets(b, ["g"], "a", "n", ["f0", "f1"], "m"), C.sets_by_key(f, v, "g", "a", "n", ["f0", "f1"], "m", {"nobody": [0.0, 1.0]})
+    assert want.dtypes == got.dtypes and want.count() > 8
+    assert sorted(map(repr, want.collect())) == sorted(map(repr, got.collect()))
+
+
+def test_accused_equals_the_joined_accusations(spark, tmp_path):
+    from palaver.plans.event_queries import accusations, accused
+
+    items = "array<struct<line_number: int, accuser: string, relations: array<struct<type: string, accused: array<string>, evidence: string>>>>"
+    one = [(3, "A", [("werewolf", ["B", " ", None, "C"], "e"), None, (None, ["B"], None), ("deception", None, None), ("other", [], None)])]
+    rows = [(1, "g1", one, 2), (1, "g1", [], 3), (2, "g2", [None, (4, None, None), (5, "B", [("werewolf", ["UNKNOWN", "A", "A"], None)])], 1), (3, None, one, 1), (None, "g4", one, 1), (5, "g5", None, 1)]
+    df = spark.createDataFrame(rows, f"record_id bigint, game_id string, items {items}, at int")
+    df.select("record_id", "game_id", F.struct(F.lit("m").alias("source_file")).alias("metadata"), "items", F.timestamp_seconds("at").alias("loaded_at")).write.parquet(f"{tmp_path}/accusation_records.parquet")
+    want, got = accusations(spark, str(tmp_path)).select("game_id", "type", "accused"), accused(spark, str(tmp_path))
+    assert got.count() == 9 and sorted(map(repr, want.collect())) == sorted(map(repr, got.collect()))
+
+
 def test_a_feature_that_training_sets_leave_open_stays_at_zero(spark):
     df, cols = _simulated(spark, 120, np.array([0.8, 0.5]), seed=23)
     x = C.choice_sets(df, ["g"], "a", "n", cols)
